@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -14,6 +15,10 @@ BOOST, CAPS, NEGATE = 0.293, 0.733, -0.74
 MAX_INLINE_WORDS = 20_000
 
 
+#: Up to this size one map is scanned faster than a group is computed.
+ONE_MAP = 12
+
+
 @dataclass(frozen=True)
 class ValenceLexicon:
     valences: dict[str, float]
@@ -21,13 +26,17 @@ class ValenceLexicon:
     negations: tuple[str, ...] = ()
 
     def entries(self) -> dict[str, tuple]:
-        words = {*self.valences, *self.boosters, *self.negations}
+        """Every word the rule looks at; ``but`` is always one of them."""
+        words = {*self.valences, *self.boosters, *self.negations, "but"}
         return {
-            w: (self.valences.get(w), self.boosters.get(w), True if w in self.negations else None)
+            w: (self.valences.get(w), self.boosters.get(w), True if w in self.negations else None, w == "but")
             for w in sorted(words)
         }
 
-    fields = (("v", "double"), ("b", "double"), ("neg", "boolean"))
+    def all_words_have_letter_pairs(self) -> bool:
+        return all(re.search("[a-z]{2}", w) for w in self.valences)
+
+    fields = (("v", "double"), ("b", "double"), ("neg", "boolean"), ("but", "boolean"))
 
 
 @dataclass(frozen=True)
@@ -56,7 +65,7 @@ def lookup(lexicon: ValenceLexicon | PolarityLexicon):
     if len(entries) > MAX_INLINE_WORDS:
         raise ValueError(f"{len(entries)} words: pass the lexicon as a table")
     shape = "struct<" + ",".join(f"{n}:{t}" for n, t in lexicon.fields) + ">"
-    n = max(len(entries), 1)
+    n = 1 if len(entries) <= ONE_MAP else len(entries)
     groups: list[list[Column]] = [[] for _ in range(n)]
     for word, properties in entries.items():
         cell = F.struct(*[F.lit(p).cast(t).alias(f) for p, (f, t) in zip(properties, lexicon.fields)])
@@ -64,6 +73,9 @@ def lookup(lexicon: ValenceLexicon | PolarityLexicon):
     empty = f"map<string,{shape}>"
     table = F.array(*[(F.create_map(*g) if g else F.create_map()).cast(empty) for g in groups])
 
+    if n == 1:
+        return lambda token: F.element_at(F.get(table, F.lit(0)), token)
+
     def find(token: Column) -> Column:
         group = F.pmod(F.crc32(token.cast("binary")), F.lit(n).cast("bigint")).cast("int")
         return F.element_at(F.get(table, group), token)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.functions.marks import label_from_compound, label_from_polarity
-from postlake.functions.text import Col, SPACES, _col, clean_text, fold_ascii
+from postlake.functions.text import Col, JAVA_SPACE, WHITE_SPACE, _col, clean_text, fold_ascii
 from postlake.operators import lexicon as L
 
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -29,9 +29,28 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A gap between tokens: white space with the punctuation after it, and any token that is all punctuation.
+#: Every quantifier is possessive, so long runs neither backtrack nor recurse.
+_PUNCT_CLASS = r"!-/:-@\[-`{-~"
+GAP = f"(?U)[{JAVA_SPACE}]++(?:[{_PUNCT_CLASS}]*+[{JAVA_SPACE}]++)*+[{_PUNCT_CLASS}]*+"
+_OUTER = ASCII_PUNCTUATION + WHITE_SPACE
+
+
+def _body(text: Column) -> Column:
+    return F.btrim(text, F.lit(_OUTER))
+
+
+def _split(body: Column) -> Column:
+    """Tokens of a trimmed text; only closing punctuation is still on them."""
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, GAP))
+
+
+def _strip(token: Column) -> Column:
+    return F.rtrim(token, F.lit(ASCII_PUNCTUATION))
+
+
 def tokens(text: Col) -> Column:
-    trimmed = F.transform(F.split(_col(text), SPACES), lambda t: F.btrim(t, F.lit(ASCII_PUNCTUATION)))
-    return F.filter(trimmed, lambda t: t != "")
+    return F.transform(_split(_body(_col(text))), _strip)
 
 
 def _is_upper(token: Column) -> Column:
@@ -52,20 +71,41 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def _valence_at(cells: Column, raw: Column, shouting: Column, but_at: Column) -> Callable:
-    def value(cell: Column, i: Column) -> Column:
-        sign = F.signum(cell["v"])
-        caps = F.when(shouting & _is_upper(F.get(raw, i)), F.lit(L.CAPS)).otherwise(F.lit(0.0))
-        v = cell["v"] + caps * sign
-        negated = F.lit(False)
-        for back, weight in enumerate(STEP_BACK, start=1):
-            before = F.get(cells, i - back)
-            counts = before["v"].isNull() & before["b"].isNotNull()
-            v = v + F.when(counts, before["b"] * sign * F.lit(weight)).otherwise(F.lit(0.0))
-            negated = negated | F.coalesce(before["neg"], F.lit(False))
-        v = F.when(negated, v * F.lit(L.NEGATE)).otherwise(v)
-        v = F.when(but_at == 0, v).when(i + 1 < but_at, v * BEFORE_BUT).when(i + 1 > but_at, v * AFTER_BUT).otherwise(v)
-        return F.when(cell["v"].isNotNull() & (cell["v"] != 0), v).otherwise(F.lit(0.0))
+def _hits(folded: Column, find: Callable[[Column], Column]) -> Column:
+    """The listed words of a text in order: array of (position, properties)."""
+    cells = F.transform(folded, lambda t: find(_strip(t)))
+    placed = F.transform(cells, lambda c, i: F.when(c.isNotNull(), F.struct(i.alias("i"), c.alias("c"))))
+    return F.filter(placed, lambda h: h.isNotNull())
+
+
+def _near(hits: Column, h: Column, here: Column, reach: int) -> Column:
+    """The listed words up to ``reach`` tokens before this one."""
+    start = F.greatest(h - reach, F.lit(0))
+    return F.filter(F.slice(hits, start + 1, h - start), lambda o: here["i"] - o["i"] <= reach)
+
+
+def _valence_at(hits: Column, raw: Column, mixed: Column, but_at: Column) -> Callable:
+    weights = F.array(*[F.lit(w) for w in STEP_BACK])
+
+    def value(hit: Column, h: Column) -> Column:
+        near = _near(hits, h, hit, len(STEP_BACK))
+        return F.when(hit["c"]["v"] != 0, bind(near, lambda others: with_near(hit, others)))
+
+    def with_near(hit: Column, others: Column) -> Column:
+        start, i = hit["c"]["v"], hit["i"]
+
+        def boost(acc: Column, o: Column) -> Column:
+            counts = o["c"]["v"].isNull() & o["c"]["b"].isNotNull()
+            return F.when(counts, acc + o["c"]["b"] * F.get(weights, i - o["i"] - 1)).otherwise(acc)
+
+        shouted = mixed & F.coalesce(_is_upper(F.get(raw, i)), F.lit(False))
+        strength = F.when(shouted, F.lit(L.CAPS)).otherwise(F.lit(0.0))
+        v = start + F.signum(start) * F.aggregate(others, strength, boost)
+        negated = F.exists(others, lambda o: F.coalesce(o["c"]["neg"], F.lit(False)))
+        v = v * F.when(negated, F.lit(L.NEGATE)).otherwise(F.lit(1.0))
+        return v * (
+            F.when(but_at.isNull() | (i == but_at), 1.0).when(i < but_at, BEFORE_BUT).otherwise(AFTER_BUT)
+        )
 
     return value
 
@@ -104,27 +144,33 @@ def valence(text: Col, lexicon: L.ValenceLexicon = L.ENGLISH) -> Column:
     """Struct (compound, positive, negative, neutral, label) of a text; zeros and neutral when blank."""
     find = L.lookup(lexicon)
     safe = F.coalesce(_col(text), F.lit(""))
+    # The written case matters only for shouted words, and most texts have none.
+    may_shout = r"\p{Lu}{2}" if lexicon.all_words_have_letter_pairs() else r"\p{Lu}"
 
-    def with_tokens(raw: Column) -> Column:
-        return bind(F.transform(raw, fold_ascii), lambda folded: with_folded(raw, folded))
+    def with_body(body: Column) -> Column:
+        return bind(_split(fold_ascii(body)), lambda folded: with_folded(body, folded))
 
-    def with_folded(raw: Column, folded: Column) -> Column:
+    def with_folded(body: Column, folded: Column) -> Column:
         context = F.struct(
-            F.transform(folded, find).alias("cells"),
-            F.exists(raw, lambda t: ~_is_upper(t)).alias("shouting"),
-            F.array_position(folded, "but").alias("but_at"),
+            _hits(folded, find).alias("hits"),
+            F.size(folded).alias("n"),
+            F.when(body.rlike(may_shout), _split(body)).alias("raw"),
         )
-        return bind(context, lambda c: with_context(raw, c))
+        return bind(context, with_context)
 
-    def with_context(raw: Column, c: Column) -> Column:
-        values = F.transform(c["cells"], _valence_at(c["cells"], raw, c["shouting"], c["but_at"]))
-        return bind(values, lambda vs: _finish_from(vs, raw))
+    def with_context(c: Column) -> Column:
+        once = F.struct(
+            F.coalesce(F.exists(c["raw"], lambda t: ~_is_upper(t)), F.lit(False)).alias("mixed"),
+            F.get(F.filter(c["hits"], lambda h: h["c"]["but"]), F.lit(0))["i"].alias("but_at"),
+        )
+        return bind(once, lambda o: with_values(c, o))
 
-    def _finish_from(vs: Column, raw: Column) -> Column:
-        return bind(_summary(vs, F.size(raw), punctuation_emphasis(safe)), _finish)
+    def with_values(c: Column, o: Column) -> Column:
+        values = F.transform(c["hits"], _valence_at(c["hits"], c["raw"], o["mixed"], o["but_at"]))
+        used = F.filter(values, lambda v: v.isNotNull())
+        return bind(used, lambda vs: bind(_summary(vs, c["n"], punctuation_emphasis(safe)), _finish))
 
-    scores = bind(tokens(safe), with_tokens)
-    return bind(scores, _labelled)
+    return bind(bind(_body(safe), with_body), _labelled)
 
 
 def _labelled(s: Column) -> Column:
@@ -140,17 +186,20 @@ def polarity(text: Col, lexicon: L.PolarityLexicon = L.ENGLISH_POLARITY) -> Colu
     def clip(v: Column, low: float, high: float) -> Column:
         return F.greatest(F.lit(low), F.least(F.lit(high), v))
 
-    def word(cells: Column) -> Callable:
-        def value(cell: Column, i: Column) -> Column:
-            scale = F.coalesce(F.get(cells, i - 1)["m"], F.lit(1.0))
-            negated = F.coalesce(F.get(cells, i - 1)["neg"], F.lit(False)) | F.coalesce(
-                F.get(cells, i - 2)["neg"], F.lit(False)
-            )
-            p = clip(cell["p"] * scale, -1.0, 1.0)
-            p = F.when(negated, p * F.lit(-0.5)).otherwise(p)
-            return F.when(
-                cell["p"].isNotNull(), F.struct(p.alias("p"), clip(cell["s"] * scale, 0.0, 1.0).alias("s"))
-            )
+    def word(hits: Column) -> Callable:
+        def value(hit: Column, h: Column) -> Column:
+            return F.when(hit["c"]["p"].isNotNull(), bind(_near(hits, h, hit, 2), lambda others: with_near(hit, others)))
+
+        def with_near(hit: Column, others: Column) -> Column:
+            cell = hit["c"]
+
+            def modify(acc: Column, o: Column) -> Column:
+                return F.when(hit["i"] - o["i"] == 1, F.coalesce(o["c"]["m"], F.lit(1.0))).otherwise(acc)
+
+            scale = F.aggregate(others, F.lit(1.0), modify)
+            negated = F.exists(others, lambda o: F.coalesce(o["c"]["neg"], F.lit(False)))
+            p = clip(cell["p"] * scale, -1.0, 1.0) * F.when(negated, F.lit(-0.5)).otherwise(F.lit(1.0))
+            return F.struct(p.alias("p"), clip(cell["s"] * scale, 0.0, 1.0).alias("s"))
 
         return value
 
@@ -161,13 +210,12 @@ def polarity(text: Col, lexicon: L.PolarityLexicon = L.ENGLISH_POLARITY) -> Colu
             F.coalesce(F.try_divide(_total(F.transform(values, lambda v: v["s"])), n), F.lit(0.0)).alias("subjectivity"),
         )
 
-    def with_cells(cells: Column) -> Column:
-        found = F.filter(F.transform(cells, word(cells)), lambda v: v.isNotNull())
+    def with_hits(hits: Column) -> Column:
+        found = F.filter(F.transform(hits, word(hits)), lambda v: v.isNotNull())
         return bind(found, mean)
 
-    cells = F.transform(tokens(safe), lambda t: find(fold_ascii(t)))
     rounded = bind(
-        bind(cells, with_cells),
+        bind(_hits(_split(fold_ascii(_body(safe))), find), with_hits),
         lambda m: F.struct(F.round(m["polarity"], 6).alias("polarity"), F.round(m["subjectivity"], 6).alias("subjectivity")),
     )
     return bind(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlake.functions.marks import TTL_SEARCH, expires_at
 from postlake.functions.text import Col
-from postlake.session import pin_utc
+from postlake.session import pin_utc, spread
 
 #: "Now" of every expiry rule; never the wall clock.
 NOW = "2024-01-15 00:00:00"
@@ -34,6 +34,11 @@ class Tables:
     def posts(self, source: DataFrame | None = None) -> DataFrame:
         return posts_from(self.raw("documents") if source is None else source)
 
+    def texts(self) -> DataFrame:
+        """Posts for heavy text work, on all cores even when the table is one small file."""
+        columns = ("doc_id", "text", "lang", "source")
+        return posts_from(spread(self.raw("documents").select(*columns)))
+
     def scores(self) -> DataFrame:
         return scores_from(self.raw("labels"))
 

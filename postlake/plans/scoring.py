@@ -6,6 +6,7 @@ from postlake.functions.text import SPACES
 from postlake.operators import lexicon as L, scoring as N
 from postlake.plans.registry import query
 from postlake.plans.text import CLEAN_SQL
+from postlake.session import spread
 
 #: Fixed values for the scale queries.
 VALENCES = {"the": 0.1, "is": 0.3, "was": -0.4, "that": 0.2, "of": -0.1, "with": 0.5}
@@ -80,14 +81,14 @@ def polarity_sql(source: str, text: str) -> str:
 
 @query("score_valence", "tw", ", " + valence_sql("tw", "text") + " SELECT * FROM valence")
 def _(t):
-    scored = N.score(t.posts().select("id", "text"), "vader", lexicon=FIXTURE, prefix="")
+    scored = N.score(t.texts().select("id", "text"), "vader", lexicon=FIXTURE, prefix="")
     return scored.select("id", *N.SCORE_FIELDS["vader"])
 
 
 @query("score_valence_table", "tw", ", " + valence_sql("tw", "text") + " SELECT * FROM valence")
 def _(t):
     """The same rule through a join, for a lexicon of any size; here the words come from the texts."""
-    seen = t.posts().select(F.explode(N.tokens("text")).alias("token"))
+    seen = t.texts().select(F.explode(N.tokens("text")).alias("token"))
     words = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token")
     valence = F.lit(None).cast("double")
     for w, v in VALENCES.items():
@@ -96,12 +97,12 @@ def _(t):
         "token", valence.alias("valence"), F.when(F.col("token") == "are", L.BOOST).alias("step"),
         F.when(F.col("token") == "at", True).alias("negation"),
     ).filter(F.coalesce(F.col("valence").isNotNull() | F.col("step").isNotNull() | F.col("negation"), F.lit(False)))
-    return N.score_with_table(t.posts().select("id", "text"), table, "id")
+    return N.score_with_table(t.texts().select("id", "text"), table, "id")
 
 
 @query("score_polarity", "tw", ", " + polarity_sql("tw", "text") + " SELECT * FROM polar")
 def _(t):
-    scored = N.score(t.posts().select("id", "text"), "textblob", lexicon=FIXTURE_POLARITY, prefix="")
+    scored = N.score(t.texts().select("id", "text"), "textblob", lexicon=FIXTURE_POLARITY, prefix="")
     return scored.select("id", *N.SCORE_FIELDS["textblob"])
 
 
@@ -112,7 +113,7 @@ _BLANKS = "(SELECT id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN repeat(' ',
 def _(t):
     n = F.col("id").cast("bigint") % 3
     holes = F.when(n == 1, "   ").when(n == 2, F.col("text"))
-    scored = N.score(t.posts().select("id", holes.alias("text")), "vader", lexicon=FIXTURE, prefix="")
+    scored = N.score(t.texts().select("id", holes.alias("text")), "vader", lexicon=FIXTURE, prefix="")
     return scored.select("id", "compound", "label")
 
 
@@ -122,7 +123,7 @@ def _(t):
     + " SELECT id, compound AS sentiment_compound, label AS sentiment_label FROM valence",
 )
 def _(t):
-    scored = N.enrich(t.posts().select("id", "text"), lexicon=FIXTURE)
+    scored = N.enrich(t.texts().select("id", "text"), lexicon=FIXTURE)
     return scored.select("id", "sentiment_compound", "sentiment_label")
 
 
@@ -133,7 +134,7 @@ def _(t):
     " SELECT * FROM v UNION ALL SELECT * FROM p",
 )
 def _(t):
-    posts = t.posts().select("id", "text")
+    posts = t.texts().select("id", "text")
     parts = []
     for method, lexicon, field in (("vader", FIXTURE, "compound"), ("textblob", FIXTURE_POLARITY, "polarity")):
         s = N.score(posts, method, lexicon=lexicon, prefix="")
@@ -147,7 +148,7 @@ def _(t):
     + " SELECT id, compound AS sentiment_compound, label AS sentiment_label FROM valence",
 )
 def _(t):
-    docs = t.raw("documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = spread(t.raw("documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
     return N.score_distinct(docs, lexicon=FIXTURE).select("id", "sentiment_compound", "sentiment_label")
 
 
@@ -165,4 +166,4 @@ ENRICH_COLUMNS = (
       FROM cleaned JOIN valence USING (id)""",
 )
 def _(t):
-    return N.enrich(t.posts(), lexicon=FIXTURE).select(*ENRICH_COLUMNS)
+    return N.enrich(t.texts(), lexicon=FIXTURE).select(*ENRICH_COLUMNS)

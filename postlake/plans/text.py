@@ -18,7 +18,7 @@ CLEAN_SQL = (
 
 @query("fn_clean_text", "tw", f"SELECT id, {CLEAN_SQL} AS cleaned FROM tw")
 def _(t):
-    return t.posts().select("id", X.clean_text("text").alias("cleaned"))
+    return t.texts().select("id", X.clean_text("text").alias("cleaned"))
 
 
 def _joined(c):
@@ -48,7 +48,7 @@ def _(t):
       || list_transform(regexp_extract_all(text, '{URL}'), lambda x: {{'metadata_type': 'url', 'value': x}})) AS m FROM tw)""",
 )
 def _(t):
-    return post_metadata(t.posts(), source=F.col("text"))
+    return post_metadata(t.texts(), source=F.col("text"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
 
@@ -64,3 +64,13 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.getFileStatus(jpath).isDirectory()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that is read by fewer tasks than there are cores one task per core.
+
+    Meant for small files in front of heavy text work. A large table already has many scan tasks and
+    passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
