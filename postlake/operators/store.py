@@ -72,7 +72,7 @@ def nest_sentiment(joined: DataFrame) -> DataFrame:
 
 def post_metadata(posts: DataFrame, source: Column | None = None) -> DataFrame:
     """One row per hashtag, mention and link. Cleaned text has none left, so the original is read first."""
-    text = F.coalesce("original_text", "text") if source is None else source
+    text = F.coalesce(F.nullif("original_text", F.lit("")), F.col("text")) if source is None else source
     return posts.select(F.col("id").alias("tweet_id"), F.explode(metadata_entries(text)).alias("_m")).select(
         "tweet_id", "_m.metadata_type", "_m.value"
     )

@@ -90,7 +90,10 @@ def bounded_intake(stream: DataFrame, arrival: str, cap: int) -> DataFrame:
 
 
 def dedup(stream: DataFrame, key: str, ts: str, within: str = "2 days") -> DataFrame:
-    """First row of every id. Ids older than the watermark are forgotten, so the state stays bounded."""
+    """One row of every id, from the first micro-batch that has it (which one of that batch is open).
+
+    Ids older than the watermark are forgotten, so the state stays bounded.
+    """
     fresh = stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
     return collect_stream(fresh, "dedup").drop("batch_id")
 
