@@ -15,7 +15,7 @@ HOT_SHARE = 1000
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that hold more than 1/HOT_SHARE of the rows; fewer than HOT_SHARE rows by construction."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    total = counts.agg(F.sum("_n").alias("_all")).scalar()
     return counts.filter((F.col("_n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(
         F.col(key).alias("_hot_key")
     )

@@ -14,7 +14,10 @@ request takes one token or is denied. Two observations make it a set of distribu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,13 +43,15 @@ def last_refill_from(times: np.ndarray, interval: int) -> np.ndarray:
         hop = further
 
 
-def refill_points(times: np.ndarray, interval: int, entry: int) -> np.ndarray:
-    """Indices into the distinct ``times`` at which the bucket refills, given no refill before ``entry``."""
-    out, at = [], int(np.searchsorted(times, entry))
-    while at < len(times):
-        out.append(at)
-        at = int(np.searchsorted(times, times[at] + interval))
-    return np.asarray(out, dtype=np.int64)
+def runs_of(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, stop) of every run of equal keys in a sorted batch; nulls are a key like any other."""
+    if not len(batch):
+        return
+    codes = batch.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+    starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
+    columns = [batch[k].to_numpy() for k in keys]
+    for start, stop in zip(starts, starts[1:]):
+        yield tuple(None if pd.isna(c[start]) else c[start] for c in columns), start, stop
 
 
 def _first_interval(at: np.ndarray, interval: int) -> int:
@@ -78,8 +83,12 @@ def mark_refills(requests: DataFrame, keys: Sequence[str], ts: str, order_id: st
             out[k] = pdf[k].iloc[0]
         return out[[*keys, O.SLICE, "at", "leaves"]]
 
+    # Only a key cut by a slice bound needs an entry from outside, and a bound cuts at most one key.
+    pieces = sliced.select(*keys, O.SLICE).distinct()
+    cut = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    same = reduce(lambda x, y: x & y, [sliced[k].eqNullSafe(cut[k]) for k in keys])
     steps = (
-        sliced.select(*keys, O.SLICE, ts).groupBy(*keys, O.SLICE)
+        sliced.select(*keys, O.SLICE, ts).join(F.broadcast(cut), same, "left_semi").groupBy(*keys, O.SLICE)
         .applyInPandas(summarise, f"{key_types}, {O.SLICE} int, at bigint, leaves bigint")
         .withColumn("_block", F.floor(F.col(O.SLICE) / BLOCK).cast("int")).checkpoint()
     )
@@ -113,22 +122,37 @@ def mark_refills(requests: DataFrame, keys: Sequence[str], ts: str, order_id: st
 
     blocks = steps.groupBy(*keys, "_block").applyInPandas(compose, f"{key_types}, _block int, at bigint, leaves bigint")
     block_entry = blocks.groupBy(*keys).applyInPandas(entries("_block"), f"{key_types}, _block int, entry bigint")
-    slice_entry = (
-        steps.join(block_entry, [*keys, "_block"]).groupBy(*keys, "_block")
-        .applyInPandas(entries(O.SLICE), f"{key_types}, {O.SLICE} int, entry bigint")
-    )
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order_id], kind="stable")
-        raw = pdf[ts].to_numpy()
-        times, first = np.unique(raw, return_index=True)
-        flags = np.zeros(len(pdf), dtype=np.int32)
-        flags[first[refill_points(times, interval_us, int(pdf["entry"].iloc[0]))]] = 1
-        return pdf.drop(columns="entry").assign(is_refill=flags)
+    given = [F.col(k).alias(f"_k_{k}") for k in [*keys, "_block"]]
+    with_entry = steps.join(block_entry.select(*given, "entry"), _same([*keys, "_block"])).select(*steps.columns, "entry")
+    slice_entry = with_entry.groupBy(*keys, "_block").applyInPandas(entries(O.SLICE), f"{key_types}, {O.SLICE} int, entry bigint")
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A slice streams through in order; the next possible refill is all that is remembered."""
+        current, due = None, START
+        for batch in batches:
+            times, entry = batch[ts].tolist(), batch["entry"].to_numpy()
+            flags = np.zeros(len(batch), dtype=np.int32)
+            for key, start, stop in runs_of(batch, [*keys, O.SLICE]):
+                if key != current:
+                    current, due = key, int(entry[start])
+                at = bisect_left(times, due, start, stop)
+                while at < stop:
+                    flags[at] = 1
+                    due = times[at] + interval_us
+                    at = bisect_left(times, due, at + 1, stop)
+            yield batch.drop(columns="entry").assign(is_refill=flags)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sliced.schema.fields)
-    marked = sliced.join(slice_entry, [*keys, O.SLICE]).select(*sliced.columns, "entry").groupBy(*keys, O.SLICE)
-    return marked.applyInPandas(mark, f"{fields}, is_refill int").checkpoint()
+    # Two entries per slice at most, so they are broadcast and every slice stays where it is.
+    given = slice_entry.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, O.SLICE]], "entry")
+    entered = sliced.join(F.broadcast(given), _same([*keys, O.SLICE]), "left")
+    entered = entered.select(*sliced.columns, F.coalesce("entry", F.lit(START)).alias("entry"))
+    in_order = entered.sortWithinPartitions(O.SLICE, *keys, ts, order_id)
+    return in_order.mapInPandas(mark, f"{fields}, is_refill int").checkpoint()
+
+
+def _same(columns: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in columns])
 
 
 def replay(
@@ -160,16 +184,27 @@ def replay(
     key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
     wait = -1.0 if max_wait_s is None else float(max_wait_s)
 
-    def refill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        tokens, grants = _token_levels(
-            pdf["at"].to_numpy(), pdf["n"].to_numpy(), float(pdf["capacity"].iloc[0]), float(pdf["rate"].iloc[0]),
-            interval_s, wait,
-        )
-        return pdf[[*keys, "epoch"]].assign(tokens=tokens, grants=grants)
-
-    # One row per refill of a key: bounded by the log's time span over the interval.
-    levels = limits.groupBy(*keys).applyInPandas(refill, f"{key_types}, epoch bigint, tokens double, grants bigint")
+    def refill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level, last = None, 0.0, 0
+        for batch in batches:
+            at, n = batch["at"].tolist(), batch["n"].tolist()
+            sizes, rates = batch["capacity"].tolist(), batch["rate"].tolist()
+            tokens, grants = [0.0] * len(batch), [0] * len(batch)
+            for key, start, stop in runs_of(batch, keys):
+                for i in range(start, stop):
+                    if key != current:
+                        current, level = key, sizes[i]
+                    else:
+                        level = min(sizes[i], level + (at[i] - last) / 1e6 / interval_s * rates[i])
+                    last = at[i]
+                    tokens[i] = level
+                    grants[i] = granted(level, n[i], rates[i], interval_s, wait)
+                    level -= grants[i]
+            yield batch[[*keys, "epoch"]].assign(tokens=tokens, grants=grants)
+
+    # One row per refill of a key, bounded by the log's time span over the interval, read in order.
+    in_order = limits.repartition(*keys).sortWithinPartitions(*keys, "epoch")
+    levels = in_order.mapInPandas(refill, f"{key_types}, epoch bigint, tokens double, grants bigint")
     levels = levels.select(F.struct(*keys, "epoch").alias("_epoch_key"), "tokens", "grants")
     joined = lookup_left_join(placed, levels, "_epoch_key", [order_id])
     missing = F.lit(1.0) - (F.col("tokens") - (F.col("place") - 1))
@@ -184,12 +219,14 @@ def granted(tokens: float, n: int, rate: float, interval_s: float, max_wait_s: f
     """How many of ``n`` requests between two refills are admitted."""
     if max_wait_s < 0:
         return n
+    if max_wait_s == 0:
+        return min(n, int(tokens)) if tokens >= 1 else 0
 
     def admits(taken: int) -> bool:
         missing = 1.0 - (tokens - taken)
         return missing <= 0 or missing / rate * interval_s <= max_wait_s
 
-    guess = min(max(int(np.floor(tokens + max_wait_s * rate / interval_s)), 0), n)
+    guess = min(max(int(math.floor(tokens + max_wait_s * rate / interval_s)), 0), n)
     while guess > 0 and not admits(guess - 1):
         guess -= 1
     while guess < n and admits(guess):
@@ -197,19 +234,6 @@ def granted(tokens: float, n: int, rate: float, interval_s: float, max_wait_s: f
     return guess
 
 
-def _token_levels(at, n, capacity: float, rate: float, interval_s: float, max_wait_s: float):
-    tokens, grants = np.empty(len(at)), np.empty(len(at), dtype=np.int64)
-    level = capacity
-    for i in range(len(at)):
-        if i:
-            elapsed = (int(at[i]) - int(at[i - 1])) / 1e6
-            level = min(capacity, level + elapsed / interval_s * rate)
-        tokens[i] = level
-        grants[i] = granted(level, int(n[i]), rate, interval_s, max_wait_s)
-        level -= int(grants[i])
-    return tokens, grants
-
-
 def two_buckets(
     requests: DataFrame, endpoint_keys: Sequence[str], app_keys: Sequence[str], ts: str, order_id: str,
     endpoint_limit: tuple[Column, Column], app_limit: tuple[Column, Column], interval_s: float = 1.0,

@@ -119,7 +119,8 @@ def component_health(status_log: DataFrame, component: str, status: str, latest:
     code = F.lit(0)
     for name, level in SEVERITY.items():
         code = F.when(F.col("status") == name, level).otherwise(code)
-    worst = last.agg(F.max(code).alias("_w")).scalar()
+    # Reading the count here keeps both uses of ``last`` alike, so the log is scanned once.
+    worst = last.agg(F.max(F.when(F.col("n_results") > 0, code)).alias("_w")).scalar()
     overall = F.when(worst == 3, "unhealthy").when(worst == 2, "degraded").otherwise("healthy")
     return last.select(F.col(component).alias("component"), "status", "n_results", overall.alias("overall_status"))
 

@@ -57,21 +57,23 @@ def with_position(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + local).drop("_before")
 
 
-def trailing_rows(
-    positioned: DataFrame, keys: Sequence[str], depth: int, aggregates: dict[str, Column], block: int | None = None
-) -> DataFrame:
-    """Aggregates over the last ``depth`` rows of a key, ending at each row.
+def trailing_mean(positioned: DataFrame, keys: Sequence[str], value: str, depth: int, block: int = 50_000) -> DataFrame:
+    """``rolling_mean`` and ``n_in_window`` over the last ``depth`` rows of a key, ending at each row.
 
     Positions are cut into blocks; a block also receives the ``depth - 1`` rows before it, so each
-    window is complete although no task holds more than ``block + depth`` rows of a key.
+    window is complete although no task holds more than ``block + depth`` rows of a key. Inside a
+    block a window is the difference of two running sums, one step per row whatever the depth.
     """
-    block = max(block or 50_000, depth)
+    block = max(block, depth)
     own = F.floor((F.col("rn") - 1) / F.lit(block))
     offset = (F.col("rn") - 1) % F.lit(block)
     helps_next = offset >= block - (depth - 1)
     copies = F.when(helps_next, F.array(own, own + 1)).otherwise(F.array(own))
     spread = positioned.withColumn("_own", own).withColumn("_block", F.explode(copies))
-    frame = Window.partitionBy(*keys, "_block").orderBy("rn").rowsBetween(-(depth - 1), 0)
-    for name, agg in aggregates.items():
-        spread = spread.withColumn(name, agg.over(frame))
-    return spread.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+    in_block = Window.partitionBy(*keys, "_block").orderBy("rn")
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    running = spread.withColumns({"_sum": F.sum(F.coalesce(value, F.lit(0.0))).over(so_far), "_n": F.count(value).over(so_far)})
+    before = running.withColumns({f"_old{c}": F.lag(c, depth, 0).over(in_block) for c in ("_sum", "_n")})
+    n = F.col("_n") - F.col("_old_n")
+    means = before.withColumns({"rolling_mean": F.try_divide(F.col("_sum") - F.col("_old_sum"), n), "n_in_window": n})
+    return means.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_sum", "_n", "_old_sum", "_old_n")

@@ -12,8 +12,7 @@ from postlake.operators import ordered as O
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, depth: int = 1000) -> DataFrame:
     sliced = O.slice_by_order(df, keys, order)
     positioned = O.with_position(sliced, keys, order)
-    frame = {"rolling_mean": F.avg(value), "n_in_window": F.count(F.lit(1))}
-    return O.trailing_rows(positioned, keys, depth, frame).drop(O.SLICE)
+    return O.trailing_mean(positioned, keys, value, depth).drop(O.SLICE)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], n: int = 10) -> DataFrame:

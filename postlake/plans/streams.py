@@ -12,12 +12,23 @@ from postlake.streaming import jobs as J
 from postlake.streaming.sinks import collect_stream, stream_files
 
 
-def table_stream(t: Tables, name: str):
-    return stream_files(t.spark, t.path(name), t.raw(name).schema)
+#: A bucket's requests of one micro-batch are sorted in one task, so its micro-batches are small.
+STATEFUL_BYTES = "1g"
 
 
-def log_stream(t: Tables, *columns: str):
-    return t.log(table_stream(t, "events")).select(*columns)
+def table_stream(t: Tables, name: str, max_bytes: str = "256g"):
+    return stream_files(t.spark, t.path(name), t.raw(name).schema, max_bytes)
+
+
+def text_stream(t: Tables):
+    """Documents as a stream; one small file is spread over the cores like in a batch."""
+    stream, cores = table_stream(t, "documents"), t.spark.sparkContext.defaultParallelism
+    narrow = t.raw("documents").rdd.getNumPartitions() < cores
+    return t.posts(stream.repartition(cores) if narrow else stream)
+
+
+def log_stream(t: Tables, *columns: str, max_bytes: str = "256g"):
+    return t.log(table_stream(t, "events", max_bytes)).select(*columns)
 
 
 @query(
@@ -39,7 +50,7 @@ def _per_second_to_interval(limits):
 @query("stream_token_bucket", "log", LG.BUCKET_ORACLE)
 def _(t):
     decisions = J.token_bucket(
-        log_stream(t, "endpoint", "event_id", "ts_us"), ["endpoint"], "ts_us", "event_id",
+        log_stream(t, "endpoint", "event_id", "ts_us", max_bytes=STATEFUL_BYTES), ["endpoint"], "ts_us", "event_id",
         _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL,
     )
     return collect_stream(decisions, "bucket").select("event_id", "endpoint", "allowed")
@@ -47,7 +58,7 @@ def _(t):
 
 @query("stream_two_buckets", "log", LG.TWO_ORACLE)
 def _(t):
-    requests = log_stream(t, "endpoint", "source", "event_id", "ts_us")
+    requests = log_stream(t, "endpoint", "source", "event_id", "ts_us", max_bytes=STATEFUL_BYTES)
     own = J.token_bucket(
         requests, ["endpoint"], "ts_us", "event_id", _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL,
         name="endpoint_allowed",
@@ -64,7 +75,7 @@ def _(t):
 @query("stream_admission_delay", "log", LG.DELAY_ORACLE)
 def _(t):
     decisions = J.token_bucket(
-        log_stream(t, "endpoint", "event_id", "ts_us"), ["endpoint"], "ts_us", "event_id",
+        log_stream(t, "endpoint", "event_id", "ts_us", max_bytes=STATEFUL_BYTES), ["endpoint"], "ts_us", "event_id",
         _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL, LG.MAX_WAIT,
     )
     done = collect_stream(decisions, "delays")
@@ -76,7 +87,7 @@ def _(t):
     ", " + valence_sql("tw", "text") + " SELECT id, compound AS sentiment_compound, label AS sentiment_label FROM valence",
 )
 def _(t):
-    posts = t.posts(table_stream(t, "documents")).select("id", "text")
+    posts = text_stream(t).select("id", "text")
     return J.score_stream(posts, lexicon=FIXTURE).select("id", "sentiment_compound", "sentiment_label")
 
 

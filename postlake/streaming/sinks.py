@@ -10,12 +10,16 @@ from pyspark.sql.types import LongType, StructType
 from postlake.session import is_directory, scratch_path
 
 
-def stream_files(spark: SparkSession, path: str, schema: StructType, max_files: int = 256, fmt: str = "parquet") -> DataFrame:
+def stream_files(
+    spark: SparkSession, path: str, schema: StructType, max_bytes: str = "256g", max_files: int | None = None, fmt: str = "parquet"
+) -> DataFrame:
     """A file stream over a table folder, or over a single table file.
 
-    ``max_files`` bounds a micro-batch, and with it what one key can hold in one task.
+    ``max_bytes`` (or ``max_files``) bounds a micro-batch, and with it what one key can hold in one
+    task of a stateful job.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt)
+    reader = spark.readStream.schema(schema).format(fmt)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_files else reader.option("maxBytesPerTrigger", max_bytes)
     if is_directory(spark, path):
         return reader.load(path)
     folder, name = path.rstrip("/").rsplit("/", 1)

@@ -38,8 +38,9 @@ def test_positions_and_slices(spark, events):
 
 def test_rolling(events):
     df, by_key = events
-    out = W.O.trailing_rows(O.with_position(O.slice_by_order(df, ["k"], ["ts", "id"]), ["k"], ["ts", "id"]), ["k"], 40, {"m": F.avg("v"), "n": F.count("v")}, block=70)
-    got = {r["id"]: (r["m"], r["n"]) for r in out.collect()}
+    placed = O.with_position(O.slice_by_order(df, ["k"], ["ts", "id"]), ["k"], ["ts", "id"])
+    out = O.trailing_mean(placed, ["k"], "v", 40, block=70)
+    got = {r["id"]: (r["rolling_mean"], r["n_in_window"]) for r in out.collect()}
     assert len(got) == df.count()
     for rows in by_key.values():
         for i, r in enumerate(rows):
