@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.operators import ordered as O
 from postlake.operators.joins import lookup_left_join
@@ -71,7 +71,11 @@ def _by_slice(pdf: pd.DataFrame, part: str):
 
 
 def mark_refills(requests: DataFrame, keys: Sequence[str], ts: str, order_id: str, interval_us: int) -> DataFrame:
-    """The requests in slices, with ``is_refill`` on the request that refills its bucket."""
+    """The requests in slices, each with three numbers counted inside its (key, slice).
+
+    ``_pos`` is its position, ``_refills`` the refills up to it, ``_since`` the position of the last
+    one (0 before the first).
+    """
     sliced = O.slice_by_order(requests, keys, [ts, order_id])
     key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -128,19 +132,25 @@ def mark_refills(requests: DataFrame, keys: Sequence[str], ts: str, order_id: st
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A slice streams through in order; the next possible refill is all that is remembered."""
-        current, due = None, START
+        current, due, pos, refills, since = None, START, 0, 0, 0
         for batch in batches:
             times, entry = batch[ts].tolist(), batch["entry"].to_numpy()
-            flags = np.zeros(len(batch), dtype=np.int32)
+            counts, last, places = (np.empty(len(batch), dtype=np.int64) for _ in range(3))
             for key, start, stop in runs_of(batch, [*keys, O.SLICE]):
                 if key != current:
-                    current, due = key, int(entry[start])
-                at = bisect_left(times, due, start, stop)
-                while at < stop:
-                    flags[at] = 1
-                    due = times[at] + interval_us
-                    at = bisect_left(times, due, at + 1, stop)
-            yield batch.drop(columns="entry").assign(is_refill=flags)
+                    current, due, pos, refills, since = key, int(entry[start]), 0, 0, 0
+                places[start:stop] = np.arange(pos + 1, pos + 1 + stop - start)
+                here = start
+                while here < stop:
+                    at = bisect_left(times, due, here, stop)
+                    counts[here:at], last[here:at] = refills, since
+                    if at < stop:
+                        refills, since = refills + 1, pos + 1 + at - start
+                        counts[at], last[at] = refills, since
+                        due = times[at] + interval_us
+                    here = at + 1
+                pos += stop - start
+            yield batch.drop(columns="entry").assign(_pos=places, _refills=counts, _since=last)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sliced.schema.fields)
     # Two entries per slice at most, so they are broadcast and every slice stays where it is.
@@ -148,7 +158,7 @@ def mark_refills(requests: DataFrame, keys: Sequence[str], ts: str, order_id: st
     entered = sliced.join(F.broadcast(given), _same([*keys, O.SLICE]), "left")
     entered = entered.select(*sliced.columns, F.coalesce("entry", F.lit(START)).alias("entry"))
     in_order = entered.sortWithinPartitions(O.SLICE, *keys, ts, order_id)
-    return in_order.mapInPandas(mark, f"{fields}, is_refill int").checkpoint()
+    return in_order.mapInPandas(mark, f"{fields}, _pos bigint, _refills bigint, _since bigint").checkpoint()
 
 
 def _same(columns: Sequence[str]) -> Column:
@@ -167,17 +177,18 @@ def replay(
     """
     interval_us = int(round(interval_s * 1_000_000))
     marked = mark_refills(requests, keys, ts, order_id, interval_us)
-    order = [ts, order_id]
-    positioned = O.with_position(marked, keys, order)
-    refill_at = F.when(F.col("is_refill") == 1, F.col("rn"))
-    carried = O.carry_over(
-        positioned, keys, {"_epochs": F.sum("is_refill"), "_since": F.max(refill_at)}, {"_epochs": F.sum, "_since": F.max}
+    last_refill = F.when(F.col("_s") > 0, F.col("_before") + F.col("_s"))
+    placed = O.carry_over(
+        marked, keys, {"_n": F.count(F.lit(1)), "_r": F.max("_refills"), "_s": F.max("_since")},
+        {"_before": O.sum_before("_n"), "_refills_before": O.sum_before("_r")},
+        {"_since_before": lambda earlier: F.max(last_refill).over(earlier)},
+        keep=["_before", "_refills_before", "_since_before"],
+    )
+    since = F.when(F.col("_since") > 0, F.col("_before") + F.col("_since")).otherwise(F.col("_since_before"))
+    placed = placed.withColumns(
+        {"epoch": F.col("_refills_before") + F.col("_refills"), "place": F.col("_before") + F.col("_pos") - since + 1}
     )
-    running = O.in_slice(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    since = F.greatest(F.col("_since"), F.max(refill_at).over(running))
-    epoch = F.coalesce("_epochs", F.lit(0)) + F.sum("is_refill").over(running)
-    placed = carried.withColumns({"epoch": epoch, "place": F.col("rn") - since + 1}).drop("_epochs", "_since", "rn", O.SLICE)
-    placed = placed.withColumn("_epoch_key", F.struct(*keys, "epoch")).checkpoint()
+    placed = placed.select(*requests.columns, "epoch", "place", F.struct(*keys, "epoch").alias("_epoch_key"))
 
     per_epoch = placed.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("at"))
     limits = per_epoch.withColumns({"capacity": capacity.cast("double"), "rate": rate.cast("double")})
@@ -211,7 +222,7 @@ def replay(
     allowed = F.col("place") <= F.col("grants")
     delay = F.when(allowed & (missing > 0), missing / rate.cast("double") * F.lit(interval_s)).otherwise(F.lit(0.0))
     return joined.withColumns({"allowed": allowed.cast("int"), "delay_s": delay}).drop(
-        "_epoch_key", "tokens", "grants", "epoch", "place", "is_refill"
+        "_epoch_key", "tokens", "grants", "epoch", "place"
     )
 
 

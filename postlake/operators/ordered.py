@@ -1,60 +1,73 @@
 """Ordered computations per key that never gather a whole key in one task.
 
 Rows are range-partitioned by (key, order); each range is a *slice* and a busy key simply owns
-many of them. Windows run inside (key, slice); what a slice must know about the rows before it is
-carried over from one small row per (key, slice).
+many of them. Running values are first computed inside (key, slice) and stored; what a slice must
+know about the rows before it comes from one small row per (key, slice).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from postlake.session import shared_base
 
 SLICE = "_slice"
-EARLIER = (Window.unboundedPreceding, -1)
+POSITION = "_pos"
 
+#: Columns to add, each made from the window it may look through.
+Step = dict[str, Callable[[WindowSpec], Column]]
 
-def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
-    """Range-partition and number the ranges.
 
-    The checkpoint makes the numbers data: two branches of a plan, or a recomputed task, must not
-    see different range bounds. ``order`` has to end in a unique column so that ties can be split.
+def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], *steps: Step, slices: int | None = None) -> DataFrame:
+    """Range-partition, number the ranges and add running columns inside each (key, slice).
+
+    The checkpoint makes the slice numbers data: two branches of a plan, or a recomputed task, must
+    not see different range bounds. It also stores the running columns, so that the totals and the
+    rows are both read from it. ``order`` has to end in a unique column so that ties can be split.
     """
     shared_base(df.sparkSession)
     columns = [*keys, *order]
     ranged = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
-    return ranged.withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    out = ranged.withColumn(SLICE, F.spark_partition_id())
+    running = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for step in steps:
+        out = out.withColumns({name: make(running) for name, make in step.items()})
+    return out.checkpoint()
+
+
+def position(running: WindowSpec) -> Column:
+    """1-based position inside the slice."""
+    return F.count(F.lit(1)).over(running)
 
 
-def in_slice(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
+def carry_over(sliced: DataFrame, keys: Sequence[str], totals: dict[str, Column], *steps: Step, keep: Sequence[str]) -> DataFrame:
+    """Add ``keep`` columns to every row, worked out on one row per (key, slice).
+
+    ``totals`` aggregates a slice; the steps see the totals and, through their window, those of the
+    earlier slices of the key.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    small = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
+    for step in steps:
+        small = small.withColumns({name: make(earlier) for name, make in step.items()})
+    at = [*keys, SLICE]
+    small = small.select(*[F.col(k).alias(f"_k_{k}") for k in at], *keep)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in at])
+    return sliced.join(small, same, "left").drop(*[f"_k_{k}" for k in at])
 
 
-def carry_over(
-    sliced: DataFrame, keys: Sequence[str], totals: dict[str, Column], combine: dict[str, Callable[[Column], Column]]
-) -> DataFrame:
-    """Add, per row, ``combine`` over the ``totals`` of all earlier slices of its key."""
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*EARLIER)
-    per_slice = sliced.groupBy(*keys, SLICE).agg(*[c.alias(f"_t_{n}") for n, c in totals.items()])
-    carried = per_slice.select(
-        *[F.col(k).alias(f"_k_{k}") for k in [*keys, SLICE]],
-        *[make(F.col(f"_t_{n}")).over(earlier).alias(n) for n, make in combine.items()],
-    )
-    same = None
-    for k in [*keys, SLICE]:
-        cond = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = cond if same is None else same & cond
-    return sliced.join(carried, same, "left").drop(*[f"_k_{k}" for k in [*keys, SLICE]])
+def sum_before(column: str) -> Callable[[WindowSpec], Column]:
+    return lambda earlier: F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
 
-def with_position(sliced: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", slices: int | None = None) -> DataFrame:
     """1-based position of every row within its key."""
-    out = carry_over(sliced, keys, {"_before": F.count(F.lit(1))}, {"_before": F.sum})
-    local = F.row_number().over(in_slice(keys, order)).cast("bigint")
-    return out.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + local).drop("_before")
+    sliced = slice_by_order(df, keys, order, {POSITION: position}, slices=slices)
+    out = carry_over(sliced, keys, {"_n": F.count(F.lit(1))}, {"_before": sum_before("_n")}, keep=["_before"])
+    return out.withColumn(name, F.col("_before") + F.col(POSITION)).drop("_before", POSITION, SLICE)
 
 
 def trailing_mean(positioned: DataFrame, keys: Sequence[str], value: str, depth: int, block: int = 50_000) -> DataFrame:

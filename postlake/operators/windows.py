@@ -10,9 +10,7 @@ from postlake.operators import ordered as O
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, depth: int = 1000) -> DataFrame:
-    sliced = O.slice_by_order(df, keys, order)
-    positioned = O.with_position(sliced, keys, order)
-    return O.trailing_mean(positioned, keys, value, depth).drop(O.SLICE)
+    return O.trailing_mean(O.with_position(df, keys, order), keys, value, depth)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], n: int = 10) -> DataFrame:
@@ -29,49 +27,61 @@ def last_n(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], n
 def failure_streaks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, disable_at: int = 3
 ) -> DataFrame:
-    """Consecutive failures at each event and whether the key has ever reached the limit."""
-    sliced = O.slice_by_order(df.withColumn("_failed", F.coalesce(failed, F.lit(False))), keys, order)
-    positioned = O.with_position(sliced, keys, order)
-    success_at = F.when(~F.col("_failed"), F.col("rn"))
-    carried = O.carry_over(positioned, keys, {"_last_ok": F.max(success_at)}, {"_last_ok": F.max})
-    here = F.max(success_at).over(O.in_slice(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    last_ok = F.coalesce(F.greatest(F.col("_last_ok"), here), F.lit(0))
-    streaks = carried.withColumn("streak", F.when(F.col("_failed"), F.col("rn") - last_ok).otherwise(F.lit(0)))
-    reached = F.when(F.col("streak") >= disable_at, F.col("rn"))
-    out = O.carry_over(streaks.drop("_last_ok"), keys, {"_off": F.min(reached)}, {"_off": F.min})
-    first_here = F.min(reached).over(O.in_slice(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    off = F.coalesce(F.col("_off"), first_here).isNotNull()
-    return out.withColumn("disabled", off.cast("int")).drop("_off", "_failed", O.SLICE)
+    """Consecutive failures at each event and whether the key has ever reached the limit.
+
+    A slice only needs the streak it starts with: it lengthens the failures before the first success
+    of the slice, and may reach the limit earlier there.
+    """
+    ok_at = F.when(~F.col("_failed"), F.col(O.POSITION))
+    sliced = O.slice_by_order(
+        df.withColumn("_failed", F.coalesce(failed, F.lit(False))), keys, order,
+        {O.POSITION: O.position},
+        {"_last_ok": lambda running: F.coalesce(F.max(ok_at).over(running), F.lit(0))},
+    )
+    local = F.col(O.POSITION) - F.col("_last_ok")
+    totals = {
+        "_n": F.count(F.lit(1)), "_ok": F.max(ok_at), "_first_ok": F.min(ok_at),
+        "_own": F.min(F.when(local >= disable_at, F.col(O.POSITION))),
+    }
+    leading = F.coalesce(F.col("_first_ok") - 1, F.col("_n"))
+    early = F.when(F.col("_start") + leading >= disable_at, F.greatest(F.lit(disable_at) - F.col("_start"), F.lit(1)))
+    out = O.carry_over(
+        sliced, keys, totals,
+        {"_before": O.sum_before("_n")},
+        {"_since": lambda earlier: F.coalesce(F.max(F.col("_before") + F.col("_ok")).over(earlier), F.lit(0))},
+        {"_start": lambda earlier: F.col("_before") - F.col("_since")},
+        {"_reach": lambda earlier: F.least(F.col("_own"), F.when(leading > 0, early))},
+        {"_off": lambda earlier: F.coalesce(F.max(F.col("_reach").isNotNull()).over(earlier), F.lit(False))},
+        keep=["_start", "_reach", "_off"],
+    )
+    streak = F.when(F.col("_last_ok") > 0, local).otherwise(F.col("_start") + F.col(O.POSITION))
+    off = F.col("_off") | F.coalesce(F.col(O.POSITION) >= F.col("_reach"), F.lit(False))
+    done = out.withColumns({"streak": F.when(F.col("_failed"), streak).otherwise(F.lit(0)), "disabled": off.cast("int")})
+    return done.drop("_failed", "_last_ok", "_start", "_reach", "_off", O.POSITION, O.SLICE)
 
 
 def batch_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
-    positioned = O.with_position(O.slice_by_order(df, keys, order), keys, order)
-    return positioned.withColumn("batch_no", F.floor((F.col("rn") - 1) / F.lit(size)).cast("bigint")).drop(O.SLICE)
+    positioned = O.with_position(df, keys, order)
+    return positioned.withColumn("batch_no", F.floor((F.col("rn") - 1) / F.lit(size)).cast("bigint"))
 
 
 def clamped_gauge(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column) -> DataFrame:
-    """Running sum of +1/-1 steps that never falls below zero."""
-    sliced = O.slice_by_order(df.withColumn("_step", step.cast("bigint")), keys, order)
-    running = O.in_slice(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn("_sum", F.sum("_step").over(running))
-    totals = {"_s": F.sum("_step"), "_m": F.min("_sum")}
+    """Running sum of +1/-1 steps that never falls below zero: the sum minus its lowest point so far."""
+    sliced = O.slice_by_order(
+        df.withColumn("_step", step.cast("bigint")), keys, order,
+        {"_sum": lambda running: F.sum("_step").over(running)},
+        {"_low": lambda running: F.min("_sum").over(running)},
+    )
     # The lowest point of an earlier slice counts from that slice's own starting level.
-    earlier = Window.partitionBy(*keys).orderBy(O.SLICE).rowsBetween(*O.EARLIER)
-    per_slice = local.groupBy(*keys, O.SLICE).agg(*[c.alias(n) for n, c in totals.items()])
-    start = F.coalesce(F.sum("_s").over(earlier), F.lit(0))
-    levels = per_slice.withColumn("_start", start).withColumn("_low", F.col("_start") + F.col("_m"))
-    carried = levels.select(
-        *[F.col(k).alias(f"_k_{k}") for k in [*keys, O.SLICE]], "_start", F.min("_low").over(earlier).alias("_floor")
+    out = O.carry_over(
+        sliced, keys, {"_s": F.sum("_step"), "_m": F.min("_sum")},
+        {"_start": O.sum_before("_s")},
+        {"_floor": lambda earlier: F.coalesce(F.min(F.col("_start") + F.col("_m")).over(earlier), F.lit(0))},
+        keep=["_start", "_floor"],
     )
-    same = None
-    for k in [*keys, O.SLICE]:
-        cond = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = cond if same is None else same & cond
-    joined = local.join(carried, same, "left").drop(*[f"_k_{k}" for k in [*keys, O.SLICE]])
-    total = F.col("_start") + F.col("_sum")
-    lowest = F.min(F.col("_sum")).over(running) + F.col("_start")
-    floor = F.least(F.lit(0), F.coalesce(F.col("_floor"), F.lit(0)), lowest)
-    return joined.withColumn("gauge", total - floor).drop("_step", "_sum", "_start", "_floor", O.SLICE)
+    floor = F.least(F.lit(0), F.col("_floor"), F.col("_start") + F.col("_low"))
+    gauge = F.col("_start") + F.col("_sum") - floor
+    return out.withColumn("gauge", gauge).drop("_step", "_sum", "_low", "_start", "_floor", O.SLICE)
 
 
 def lru_retain(accesses: DataFrame, key: str, at: str, max_size: int) -> DataFrame:
@@ -85,9 +95,9 @@ def backoff_schedule(
     first_minutes: int = 15, cap_minutes: int = 120,
 ) -> DataFrame:
     """Cooldown after the k-th hit of a key: doubling from 15 minutes, never over two hours."""
-    positioned = O.with_position(O.slice_by_order(hits, keys, order), keys, order, name="hit_no")
+    positioned = O.with_position(hits, keys, order, name="hit_no")
     doublings = F.least(F.col("hit_no") - 1, F.lit(30)).cast("double")
     minutes = F.least(F.lit(float(first_minutes)) * F.pow(F.lit(2.0), doublings), F.lit(float(cap_minutes)))
     out = positioned.withColumn("cooldown_minutes", minutes.cast("bigint"))
     until = F.col(at) + F.make_dt_interval(mins=F.col("cooldown_minutes").cast("int"))
-    return out.withColumn("cooldown_until", until).drop(O.SLICE)
+    return out.withColumn("cooldown_until", until)

@@ -25,20 +25,20 @@ def events(spark):
 @pytest.fixture(autouse=True)
 def many_slices(monkeypatch):
     original = O.slice_by_order
-    monkeypatch.setattr(O, "slice_by_order", lambda df, keys, order, slices=None: original(df, keys, order, slices or 13))
+    monkeypatch.setattr(O, "slice_by_order", lambda *args, slices=None: original(*args, slices=slices or 13))
 
 
 def test_positions_and_slices(spark, events):
     df, by_key = events
     sliced = O.slice_by_order(df, ["k"], ["ts", "id"])
     assert sliced.filter("k = 'hot'").select(O.SLICE).distinct().count() > 4
-    got = {r["id"]: r["rn"] for r in O.with_position(sliced, ["k"], ["ts", "id"]).collect()}
+    got = {r["id"]: r["rn"] for r in O.with_position(df, ["k"], ["ts", "id"]).collect()}
     assert got == {r[2]: i for rows in by_key.values() for i, r in enumerate(rows, 1)}
 
 
 def test_rolling(events):
     df, by_key = events
-    placed = O.with_position(O.slice_by_order(df, ["k"], ["ts", "id"]), ["k"], ["ts", "id"])
+    placed = O.with_position(df, ["k"], ["ts", "id"])
     out = O.trailing_mean(placed, ["k"], "v", 40, block=70)
     got = {r["id"]: (r["rolling_mean"], r["n_in_window"]) for r in out.collect()}
     assert len(got) == df.count()
