@@ -12,9 +12,12 @@ from postlake.functions.marks import alive
 HOT_SHARE = 1000
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than 1/HOT_SHARE of the rows; fewer than HOT_SHARE rows by construction."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def hot_keys(df: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Keys that hold more than 1/HOT_SHARE of the rows; fewer than HOT_SHARE rows by construction.
+
+    ``counts`` (key, _n) saves the pass over ``df`` when the rows per key are known already.
+    """
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
     total = counts.agg(F.sum("_n").alias("_all")).scalar()
     return counts.filter((F.col("_n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(
         F.col(key).alias("_hot_key")
@@ -22,7 +25,8 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def lookup_left_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str], salts: int | None = None
+    left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str], salts: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Left join against a table with one row per key when some left keys may be very hot.
 
@@ -31,7 +35,7 @@ def lookup_left_join(
     """
     spark = left.sparkSession
     salts = salts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    hot = F.broadcast(hot_keys(left, key))
+    hot = F.broadcast(hot_keys(left, key, counts))
     salt = F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
     spread = left.join(hot, left[key] == F.col("_hot_key"), "left").withColumn("_salt", salt.cast("int")).drop("_hot_key")
     every = F.sequence(F.lit(0), F.lit(salts - 1))

@@ -217,7 +217,8 @@ def replay(
     in_order = limits.repartition(*keys).sortWithinPartitions(*keys, "epoch")
     levels = in_order.mapInPandas(refill, f"{key_types}, epoch bigint, tokens double, grants bigint")
     levels = levels.select(F.struct(*keys, "epoch").alias("_epoch_key"), "tokens", "grants")
-    joined = lookup_left_join(placed, levels, "_epoch_key", [order_id])
+    sizes = per_epoch.select(F.struct(*keys, "epoch").alias("_epoch_key"), F.col("n").alias("_n"))
+    joined = lookup_left_join(placed, levels, "_epoch_key", [order_id], counts=sizes)
     missing = F.lit(1.0) - (F.col("tokens") - (F.col("place") - 1))
     allowed = F.col("place") <= F.col("grants")
     delay = F.when(allowed & (missing > 0), missing / rate.cast("double") * F.lit(interval_s)).otherwise(F.lit(0.0))

@@ -13,10 +13,10 @@ from postlake.streaming.sinks import collect_stream, stream_files
 
 
 #: A bucket's requests of one micro-batch are sorted in one task, so its micro-batches are small.
-STATEFUL_BYTES = "1g"
+STATEFUL_BYTES = 1 << 30
 
 
-def table_stream(t: Tables, name: str, max_bytes: str = "256g"):
+def table_stream(t: Tables, name: str, max_bytes: int = 256 << 30):
     return stream_files(t.spark, t.path(name), t.raw(name).schema, max_bytes)
 
 
@@ -27,7 +27,7 @@ def text_stream(t: Tables):
     return t.posts(stream.repartition(cores) if narrow else stream)
 
 
-def log_stream(t: Tables, *columns: str, max_bytes: str = "256g"):
+def log_stream(t: Tables, *columns: str, max_bytes: int = 256 << 30):
     return t.log(table_stream(t, "events", max_bytes)).select(*columns)
 
 

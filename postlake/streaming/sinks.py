@@ -11,7 +11,7 @@ from postlake.session import is_directory, scratch_path
 
 
 def stream_files(
-    spark: SparkSession, path: str, schema: StructType, max_bytes: str = "256g", max_files: int | None = None, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType, max_bytes: int = 256 << 30, max_files: int | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """A file stream over a table folder, or over a single table file.
 
