@@ -122,15 +122,26 @@ def _summary(values: Column, n_tokens: Column, emphasis: Column) -> Column:
     )
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """Round half up after snapping to 12 decimals, so that the order of a sum cannot move a tie."""
+    return F.round(value.cast("decimal(20,12)"), digits).cast("double")
+
+
+def _sign(value: Column) -> Column:
+    """Sums that cancel count as zero whatever order they were added in."""
+    return F.signum(F.round(value, 9))
+
+
 def _finish(parts: Column) -> Column:
-    s = parts["sum"] + parts["emphasis"] * F.signum(parts["sum"])
-    compound = F.round(F.coalesce(s / F.sqrt(s * s + F.lit(NORM)), F.lit(0.0)), 4)
-    pos = parts["pos"] + F.when(parts["pos"] > parts["neg"], parts["emphasis"]).otherwise(F.lit(0.0))
-    neg = parts["neg"] + F.when(parts["neg"] > parts["pos"], parts["emphasis"]).otherwise(F.lit(0.0))
+    s = parts["sum"] + parts["emphasis"] * _sign(parts["sum"])
+    compound = _fixed(F.coalesce(s / F.sqrt(s * s + F.lit(NORM)), F.lit(0.0)), 4)
+    lead = _sign(parts["pos"] - parts["neg"])
+    pos = parts["pos"] + F.when(lead > 0, parts["emphasis"]).otherwise(F.lit(0.0))
+    neg = parts["neg"] + F.when(lead < 0, parts["emphasis"]).otherwise(F.lit(0.0))
     whole = pos + neg + parts["neu"]
 
     def share(part: Column) -> Column:
-        return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 3)
+        return _fixed(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), 3)
 
     return F.struct(
         compound.alias("compound"),
@@ -216,7 +227,7 @@ def polarity(text: Col, lexicon: L.PolarityLexicon = L.ENGLISH_POLARITY) -> Colu
 
     rounded = bind(
         bind(_hits(_split(fold_ascii(_body(safe))), find), with_hits),
-        lambda m: F.struct(F.round(m["polarity"], 6).alias("polarity"), F.round(m["subjectivity"], 6).alias("subjectivity")),
+        lambda m: F.struct(_fixed(m["polarity"], 6).alias("polarity"), _fixed(m["subjectivity"], 6).alias("subjectivity")),
     )
     return bind(
         rounded,

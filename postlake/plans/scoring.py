@@ -29,6 +29,10 @@ def _upper(c: str) -> str:
     return f"(regexp_matches({c}, '\\p{{Lu}}') AND NOT regexp_matches({c}, '\\p{{Ll}}'))"
 
 
+def _fixed(value: str, digits: int) -> str:
+    return f"round(CAST({value} AS DECIMAL(20,12)), {digits})::DOUBLE"
+
+
 def valence_sql(source: str, text: str) -> str:
     lex = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in VALENCES.items())
     near = ", ".join(
@@ -55,12 +59,12 @@ def valence_sql(source: str, text: str) -> str:
       parts AS (SELECT id, coalesce(s0, 0) AS s0, coalesce(p0, 0) AS p0, coalesce(n0, 0) AS n0, n_tok - coalesce(used, 0) AS z,
         least(bangs, 4) * 0.292::DOUBLE + CASE WHEN asks < 2 THEN 0 WHEN asks < 4 THEN asks * 0.18::DOUBLE ELSE 0.96::DOUBLE END AS e
         FROM marks LEFT JOIN sums USING (id)),
-      fin AS (SELECT id, s0 + e * sign(s0) AS s, p0 + CASE WHEN p0 > n0 THEN e ELSE 0 END AS p,
-        n0 + CASE WHEN n0 > p0 THEN e ELSE 0 END AS n, z FROM parts),
-      valence AS (SELECT id, round(s / sqrt(s * s + 15), 4) AS compound, coalesce(round(p / nullif(p + n + z, 0), 3), 0) AS positive,
-        coalesce(round(n / nullif(p + n + z, 0), 3), 0) AS negative, coalesce(round(z / nullif(p + n + z, 0), 3), 0) AS neutral,
-        CASE WHEN round(s / sqrt(s * s + 15), 4) >= 0.05 THEN 'positive' WHEN round(s / sqrt(s * s + 15), 4) <= -0.05 THEN 'negative'
-        ELSE 'neutral' END AS label FROM fin)"""
+      fin AS (SELECT id, s0 + e * sign(round(s0, 9)) AS s, p0 + CASE WHEN round(p0 - n0, 9) > 0 THEN e ELSE 0 END AS p,
+        n0 + CASE WHEN round(n0 - p0, 9) > 0 THEN e ELSE 0 END AS n, z FROM parts),
+      shares AS (SELECT id, {_fixed('s / sqrt(s * s + 15)', 4)} AS compound, {_fixed('coalesce(p / nullif(p + n + z, 0), 0)', 3)} AS positive,
+        {_fixed('coalesce(n / nullif(p + n + z, 0), 0)', 3)} AS negative, {_fixed('coalesce(z / nullif(p + n + z, 0), 0)', 3)} AS neutral FROM fin),
+      valence AS (SELECT *, CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END AS label
+        FROM shares)"""
 
 
 def polarity_sql(source: str, text: str) -> str:
@@ -74,9 +78,9 @@ def polarity_sql(source: str, text: str) -> str:
       vals AS (SELECT id, greatest(-1, least(1, p * k)) * CASE WHEN no THEN -0.5::DOUBLE ELSE 1 END AS p,
         greatest(0, least(1, s * k)) AS s FROM near WHERE p IS NOT NULL),
       means AS (SELECT id, avg(p) AS p, avg(s) AS s FROM vals GROUP BY id),
-      polar AS (SELECT id, coalesce(round(p, 6), 0) AS polarity, coalesce(round(s, 6), 0) AS subjectivity,
-        CASE WHEN round(p, 6) > 0 THEN 'positive' WHEN round(p, 6) < 0 THEN 'negative' ELSE 'neutral' END AS label
-        FROM base LEFT JOIN means USING (id))"""
+      fixed AS (SELECT id, {_fixed('coalesce(p, 0)', 6)} AS polarity, {_fixed('coalesce(s, 0)', 6)} AS subjectivity
+        FROM base LEFT JOIN means USING (id)),
+      polar AS (SELECT *, CASE WHEN polarity > 0 THEN 'positive' WHEN polarity < 0 THEN 'negative' ELSE 'neutral' END AS label FROM fixed)"""
 
 
 @query("score_valence", "tw", ", " + valence_sql("tw", "text") + " SELECT * FROM valence")

@@ -76,10 +76,11 @@ def brute(text, lex):
     e = 0.292 * min(text.count("!"), 4) + (0 if q < 2 else 0.18 * q if q < 4 else 0.96)
     pos, neg = sum(v + 1 for v in values if v > 0), sum(1 - v for v in values if v < 0)
     neu = len(toks) - sum(v != 0 for v in values)
-    s += e * (s > 0) - e * (s < 0)
-    if pos > neg:
+    sign, lead = round(s, 9), round(pos - neg, 9)
+    s += e * (sign > 0) - e * (sign < 0)
+    if lead > 0:
         pos += e
-    elif neg > pos:
+    elif lead < 0:
         neg += e
     whole = pos + neg + neu
     share = lambda x: x / whole if whole else 0.0
