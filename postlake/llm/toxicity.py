@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from postlake.llm import words as W
 from postlake.llm.arrow import batch_of, flat, map_slices
 
-#: Labelled rows of each class, at most, that the model is fitted to, and the longest text among them in bytes.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1500, 100_000
-BUCKETS, DIMENSIONS, GRAMS = 1 << 14, 8, (3, 4, 5)
-EPOCHS, RATE = 120, 0.1
+#: Labelled rows of class 0 and of class 1, at most, that the model is fitted to, and their longest text in bytes.
+SAMPLE_ROWS, SAMPLE_TEXT_BYTES = (4500, 1500), 100_000
+BUCKETS, DIMENSIONS, GRAMS = 1 << 14, 8, (4, 5)
+EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.05, 1e-4
+#: Blank words that each text carries beside its own, so that a handful of words is weak evidence.
+BLANKS = 16
 #: Words that a task remembers with their numbers.
 CACHE_WORDS = 1 << 19
 FOLDS = 5
@@ -71,9 +73,9 @@ def _within(size: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """Dense bags of the fit sample: per text the mean over its words of the mean over a word's subwords."""
+    """Dense bags of the fit sample, times 1024 in half precision: per text the mean over its words of a word's mean."""
     words = W.split(*flat(texts))
-    out = np.zeros((len(texts), BUCKETS), np.float32)
+    out = np.zeros((len(texts), BUCKETS), np.float16)
     _, lead, word = np.unique(words.hash, return_index=True, return_inverse=True)
     buckets, count = word_grams(words, lead)
     at = np.cumsum(count) - count
@@ -82,57 +84,59 @@ def features(texts: pa.Array) -> np.ndarray:
         if len(mine):
             n = count[mine]
             which = buckets[np.repeat(at[mine], n) + _within(n)]
-            out[i] = np.bincount(which, np.repeat(often / n / often.sum(), n), BUCKETS)
+            out[i] = np.bincount(which, np.repeat(1024 * often / n / (often.sum() + BLANKS), n), BUCKETS)
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
-    """Fit vectors and softmax together by Adam on the weighted cross entropy; the seed is fixed."""
-    share = float((weight * y).sum() / weight.sum()) if len(y) else 0.0
+def train(x: np.ndarray, y: np.ndarray) -> Model:
+    """Fit vectors and softmax together by Adam on the cross entropy, in small batches; the seed is fixed."""
+    share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float64), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     rng = np.random.default_rng(7)
-    scale = np.float32(1 / max(np.sqrt((x * x).sum(1).mean()), 1e-9))
+    some = x[:: max(1, len(x) // 256)].astype(np.float32)
+    scale = np.float32(1 / max(np.sqrt((some * some).sum(1).mean()), 1e-9))
     params = [rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    w = (weight / weight.sum()).astype(np.float32)[:, None]
     target = np.stack([1 - y, y], 1).astype(np.float32)
-    for step in range(1, EPOCHS + 1):
-        table, out, bias = params
-        hidden = x @ table * scale
-        logits = hidden @ out + bias
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        error = (p - target) * w
-        grads = [x.T @ (error @ out.T) * scale + 1e-6 * table, hidden.T @ error, error.sum(0)]
-        rate = RATE * (1 - step / (EPOCHS + 1))
-        for k, g in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    per_epoch = -(-len(x) // BATCH)
+    step, last = 0, EPOCHS * per_epoch
+    for _ in range(EPOCHS):
+        order = rng.permutation(len(x))
+        for lo in range(0, len(x), BATCH):
+            step += 1
+            rows = order[lo:lo + BATCH]
+            bag = x[rows].astype(np.float32) * scale
+            table, out, bias = params
+            hidden = bag @ table
+            logits = hidden @ out + bias
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            error = (p - target[rows]) / len(rows)
+            grads = [bag.T @ (error @ out.T) + DECAY * table, hidden.T @ error, error.sum(0)]
+            rate = RATE * (1 - step / (last + 1))
+            for k, g in enumerate(grads):
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g * g
+                params[k] = params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     table, out, bias = (p.astype(np.float64) for p in params)
     slope = out[:, 1] - out[:, 0]
-    return Model(table @ slope * float(scale), float(bias[1] - bias[0]))
+    return Model(table @ slope * float(scale) * 1024, float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from at most ``SAMPLE_ROWS`` labelled rows of each class, chosen by a hash of their id."""
+    """A model from a bounded number of labelled rows of each class, chosen by a hash of their id."""
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg((F.max(label) > 0).cast("int").alias("y"))
-    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("_id")
-    sample = [known.filter(F.col("y") == y).orderBy(order, "_id").limit(SAMPLE_ROWS) for y in (0, 1)]
-    # At most 2 * SAMPLE_ROWS ids and labels.
+    sample = [known.filter(F.col("y") == y).orderBy(order, "_id").limit(SAMPLE_ROWS[y]) for y in (0, 1)]
+    # At most sum(SAMPLE_ROWS) ids and labels.
     chosen = F.broadcast(sample[0].unionByName(sample[1]))
     usable = F.octet_length(text) <= SAMPLE_TEXT_BYTES
     rows = docs.join(chosen, F.col(doc_id) == F.col("_id")).filter(usable).select("_id", "y", text)
-    rows = rows.orderBy(order, "_id", F.xxhash64(text)).limit(2 * SAMPLE_ROWS).toArrow()
+    rows = rows.orderBy(order, "_id", F.xxhash64(text)).limit(sum(SAMPLE_ROWS)).toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
-    # Both classes weigh alike while the table is fitted; scores then mean the balance of the two.
-    n = np.array([max((y == 0).sum(), 1), max((y == 1).sum(), 1)])
-    if len(shares) < 2:
-        n = np.array([1, 1])
-    return train(features(rows.column(text).combine_chunks()), y, 1 / n[y.astype(int)])
+    return train(features(rows.column(text).combine_chunks()), y)
 
 
 class Scorer:
@@ -164,7 +168,7 @@ class Scorer:
         full = n > 0
         if full.any():
             sums[full] = np.add.reduceat(value[word], words.first[:-1][full])
-        return sums / np.maximum(n, 1) + self.model.bias
+        return sums / (n + BLANKS) + self.model.bias
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
