@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlake.llm import bpe, decontaminate, lines, toxicity
+from postlake.llm import bpe, decontaminate, html, lines, pii, secrets, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+#: A user brings a key of their own; with this one the registered query is repeatable.
+PII_KEY = b"postlake-demonstration-key"
 
 
 def tokenizer_path() -> str:
@@ -27,6 +29,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_texts(spark, sf_dir), tokenizer_path())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_texts(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(_texts(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -42,11 +49,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_texts(spark, sf_dir), PII_KEY).select("doc_id", "n_replaced", "pii_spans", "text")
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_main_text": op9_main_text,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLES = {
