@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlake.llm import bpe, decontaminate, html, lines, pii, secrets, toxicity
+from postlake.llm import bpe, decontaminate, html, jaccard, lines, neighbours, pii, secrets, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: A user brings a key of their own; with this one the registered query is repeatable.
@@ -25,6 +25,10 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_texts(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_texts(spark, sf_dir), tokenizer_path())
 
@@ -34,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(_texts(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -58,8 +66,10 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op5_neighbours": op5_neighbours,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
