@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlake.llm import bpe, decontaminate, html, jaccard, lines, neighbours, pii, secrets, toxicity
+from postlake.llm import bpe, decontaminate, html, jaccard, lines, neighbours, pii, secrets, suffix, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 #: A user brings a key of their own; with this one the registered query is repeatable.
@@ -25,6 +25,10 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(_texts(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_texts(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
