@@ -7,8 +7,10 @@ trigger meet in one partition. There the distinct phrases are the dictionary and
 parse. The dictionary's suffix array (ranks of 8, 16, 32 and 50 bytes by doubling) and the order of the parse give
 corpus order: spans that are equal stand together, the one of the smallest doc_id first; all in larger documents go.
 
-Only phrases whose trigger occurs in two documents can matter, so triggers travel first (four bytes each), the texts of
-phrases second, and only where a first pass found company.
+Only phrases whose trigger occurs in two documents can matter, so triggers travel first, each with 40 bits of a digest of
+its phrase. A second pass sends the texts of phrases whose trigger has several phrases, and a 64-bit digest where all its
+phrases are one (plain copies); other phrases stay at home. Between the passes documents travel in compressed slices.
+A slice is named by its place in the scan and its content; a slice that cannot be found again is an error.
 
 Defined results: null and empty texts have no byte; a text shorter than a span loses nothing; a row with a null doc_id
 neither loses nor removes anything; rows of equal doc_id do not remove each other; an empty table gives an empty table;
@@ -23,15 +25,15 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from postlake.llm import words as W
-from postlake.llm.arrow import SLICE_BYTES, batch_of, flat, map_slices, slices
-from postlake.llm.components import stored
+from postlake.llm.arrow import batch_of, flat, slices
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 24
 #: Bytes of texts whose phrases make one partition.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 _U = np.uint64
 _BYTE = W.stream(31, 256)
 _STEP = [W.stream(32, 8)[i:i + 1] | _U(1) for i in range(8)]
@@ -46,18 +48,19 @@ def grams(data: np.ndarray) -> np.ndarray:
     """Rolling hash of the GRAM bytes from each place on."""
     h, n, k = _BYTE[data], 1, 0
     while n < GRAM:
-        h = h[:-n] * _STEP[k] + h[n:] if len(h) > n else h[:0]
-        n, k = 2 * n, k + 1
+        step = min(n, GRAM - n)
+        h = h[:-step] * _STEP[k] + h[step:] if len(h) > step else h[:0]
+        n, k = n + step, k + 1
     return W.mix(h)
 
 
-def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of all texts in order: text, first span, number of spans, hash of the trigger."""
+def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of all texts in order: text, first span, number of spans, hash of the trigger, digest of the phrase."""
     none = np.zeros(0, np.int64)
     h = grams(data)
     width = SPAN - GRAM + 1
     if len(h) < width:
-        return none, none, none, np.zeros(0, _U)
+        return none, none, none, np.zeros(0, _U), np.zeros(0, _U)
     low = (h >> _U(32)) << _U(32) | np.arange(len(h), dtype=_U)
     n = 1
     while 2 * n <= width:
@@ -69,122 +72,148 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = place + SPAN <= offsets[text + 1]
     place, text, trigger = place[inside], text[inside], (low[inside] & _U(0xFFFFFFFF)).astype(np.int64)
     if not len(place):
-        return none, none, none, np.zeros(0, _U)
+        return none, none, none, np.zeros(0, _U), np.zeros(0, _U)
     new = np.ones(len(place), bool)
     new[1:] = (trigger[1:] != trigger[:-1]) | (text[1:] != text[:-1])
     begin = np.flatnonzero(new)
-    return text[begin], place[begin], np.diff(np.append(begin, len(place))), h[trigger[begin]]
+    start, spans = place[begin], np.diff(np.append(begin, len(place)))
+    # Four grams cover the bytes of a phrase: two from its front, two from its end.
+    end = start + spans + SPAN - 1
+    digest = W.mix(spans.astype(_U))
+    for at in (start, start + GRAM, end - 2 * GRAM, end - GRAM):
+        digest = W.mix(digest + h[at])
+    return text[begin], start, spans, h[trigger[begin]], digest
 
 
 def _bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
     return ((trigger >> _U(32)) % _U(buckets)).astype(np.int64)
 
 
-def _triggers(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per slice of rows and bucket: triggers and how many each text has; bucket -1 lists the texts."""
+def _slices(batches):
+    """(name, slice) of all rows of a task."""
+    place = 0
+    for batch in batches:
+        for part in slices(batch, "_text"):
+            data, offsets = flat(part.column("_text"))
+            name = hashlib.blake2b(f"{TaskContext.get().partitionId()}:{place}".encode(), digest_size=16)
+            name.update(offsets.tobytes())
+            name.update(data)
+            place += 1
+            yield name.digest(), part
+
+
+def _parsed(part: pa.RecordBatch, buckets: int):
+    """The phrases of documents that have an id, and the bucket of each."""
+    text, start, spans, trigger, digest = parse(*flat(part.column("_text")))
+    known = np.array(part.column("_id").is_valid())[text]
+    trigger = trigger[known]
+    return text[known], start[known], spans[known], trigger, _bucket(trigger, buckets), digest[known]
+
+
+def _packed_slices(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Every slice as compressed Arrow bytes under its name. All passes read the same columns, so that batches repeat."""
+    out = T.StructType([T.StructField("chunk", T.BinaryType()), T.StructField("rows", T.BinaryType())])
+
+    def run(batches):
+        for name, part in _slices(batches):
+            part = part.select(columns)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            yield batch_of(out, {"chunk": [name], "rows": [sink.getvalue().to_pybytes()]})
+
+    return docs.mapInArrow(run, out)
+
+
+def _unpacked(table: pa.Table, name) -> pa.RecordBatch:
+    if table.num_rows != 1:
+        raise RuntimeError(f"{table.num_rows} slices of the name {name}: the scan of the documents does not repeat")
+    return pa.ipc.open_stream(table.column("rows")[0].as_py()).read_all().combine_chunks().to_batches()[0]
+
+
+def _triggers(docs: DataFrame, buckets: int) -> DataFrame:
+    """Per slice and bucket: triggers, and how many each text has."""
     out = _packed("bucket", "chunk triggers counts")
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                text, _, _, trigger = parse(*flat(part.column("text")))
-                ids, digests = part.column("id").to_numpy(), part.column("row").to_numpy()
-                chunk = hashlib.blake2b(ids.tobytes() + digests.tobytes(), digest_size=16).digest()
-                bucket = _bucket(trigger, buckets)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                trigger, text = (trigger & _U(0xFFFFFFFF)).astype(np.uint32)[order], text[order]
-                full = np.flatnonzero(np.diff(bounds)).tolist()
-                spans = [slice(bounds[b], bounds[b + 1]) for b in full]
-                yield batch_of(out, {
-                    "bucket": [-1, *full], "chunk": [chunk] * (len(full) + 1), "triggers": [ids.tobytes(), *[trigger[s].tobytes() for s in spans]],
-                    "counts": [digests.tobytes(), *[np.bincount(text[s], minlength=len(ids)).astype(np.uint32).tobytes() for s in spans]],
-                })
-
-    return rows.mapInArrow(run, out)
+        for name, part in _slices(batches):
+            text, _, _, trigger, bucket, digest = _parsed(part, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            # 24 bits of the trigger beside those that the bucket holds, and 40 of the phrase.
+            trigger, text = ((trigger & _U(0xFFFFFF)) << _U(40) | digest >> _U(24))[order], text[order]
+            full = np.flatnonzero(np.diff(bounds)).tolist()
+            spans = [slice(bounds[b], bounds[b + 1]) for b in full]
+            yield batch_of(out, {
+                "bucket": full, "chunk": [name] * len(full), "triggers": [trigger[s].tobytes() for s in spans],
+                "counts": [np.bincount(text[s], minlength=part.num_rows).astype(np.uint32).tobytes() for s in spans],
+            })
+
+    return docs.mapInArrow(run, out)
 
 
 def _company(key, part: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: which triggers occur in two texts, as bits in the order of each row."""
-    triggers = [np.frombuffer(x, np.uint32) for x in part["triggers"]]
+    """One bucket, in the order of each row: bits for triggers that occur in two texts, then bits for several phrases."""
+    triggers = [np.frombuffer(x, _U) for x in part["triggers"]]
     counts = [np.frombuffer(x, np.uint32) for x in part["counts"]]
     text = np.repeat(np.arange(sum(map(len, counts))), np.concatenate(counts))
     trigger = np.concatenate(triggers)
-    order = np.argsort(trigger, kind="stable")
-    sorted_trigger, sorted_text = trigger[order], text[order]
-    begin = np.flatnonzero(np.concatenate([[True], sorted_trigger[1:] != sorted_trigger[:-1]]))
-    shared = np.minimum.reduceat(sorted_text, begin) != np.maximum.reduceat(sorted_text, begin)
-    flags = np.zeros(len(trigger), bool)
-    flags[order] = np.repeat(shared, np.diff(np.append(begin, len(trigger))))
+    order = np.argsort(trigger)
+    value, owner = trigger[order], text[order]
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] >> _U(40) != value[:-1] >> _U(40)]))
+    size = np.diff(np.append(begin, len(value)))
+    shared = np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin)
+    several = value[begin] != value[begin + size - 1]
+    flags = np.zeros((2, len(trigger)), bool)
+    flags[0, order], flags[1, order] = np.repeat(shared, size), np.repeat(shared & several, size)
     bounds = np.cumsum([0, *map(len, triggers)])
-    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    bits = [np.packbits(flags[:, a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return pd.DataFrame({"bucket": key[0], "chunk": part["chunk"], "triggers": bits, "counts": part["counts"]})
 
 
-def _flags(key, part: pd.DataFrame) -> pd.DataFrame:
-    """One slice: per text with any shared trigger its bits, by bucket and then by place."""
-    part = part.sort_values("bucket")
-    head = part.iloc[0]
-    ids, rows = np.frombuffer(head["triggers"], np.int64), np.frombuffer(head["counts"], np.int64)
-    owners, flags = [], []
-    for bits, counts in zip(part["triggers"].iloc[1:], part["counts"].iloc[1:], strict=True):
-        counts = np.frombuffer(counts, np.uint32)
-        owner = np.repeat(np.arange(len(ids)), counts)
-        owners.append(owner)
-        flags.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(owner)).astype(bool))
-    out = {"id": [], "row": [], "flags": []}
-    if owners:
-        owner, flag = np.concatenate(owners), np.concatenate(flags)
-        order = np.argsort(owner, kind="stable")
-        owner, flag = owner[order], flag[order]
-        bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
-        for i in np.unique(owner[flag]).tolist():
-            out["id"].append(ids[i])
-            out["row"].append(rows[i])
-            out["flags"].append(np.packbits(flag[bounds[i]:bounds[i + 1]]).tobytes())
-    return pd.DataFrame(out).astype({"id": "int64", "row": "int64"})
-
-
-def _phrases(rows: DataFrame, buckets: int) -> DataFrame:
-    """Per slice and bucket: the distinct phrases with company, and where each occurs."""
-
-    out = _packed("bucket", "ids rows texts lengths triggers which owner start")
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = flat(part.column("text"))
-                text, start, spans, trigger = parse(data, offsets)
-                bucket = _bucket(trigger, buckets)
-                order = np.lexsort((np.arange(len(text)), bucket, text))
-                count = np.bincount(text, minlength=part.num_rows)
-                bits = [np.unpackbits(np.frombuffer(f, np.uint8), count=int(n)) for f, n in zip(part.column("flags").to_pylist(), count, strict=True)]
-                kept = order[np.concatenate(bits).astype(bool)] if bits else order[:0]
-                kept = kept[np.argsort(bucket[kept], kind="stable")]
-                ids, digests = part.column("id").to_numpy(), part.column("row").to_numpy()
-                cols: dict[str, list] = {f.name: [] for f in out.fields}
-                raw = data.tobytes()
-                bounds = np.searchsorted(bucket[kept], np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(bounds)).tolist():
-                    mine = kept[bounds[b]:bounds[b + 1]]
-                    known: dict[bytes, int] = {}
-                    ends = start[mine] + spans[mine] + SPAN - 1
-                    which = [known.setdefault(raw[s:e], len(known)) for s, e in zip(start[mine].tolist(), ends.tolist(), strict=True)]
-                    which = np.array(which, np.uint32)
-                    _, lead = np.unique(which, return_index=True)
-                    docs, owner = np.unique(text[mine], return_inverse=True)
-                    for name, value in (
-                        ("ids", ids[docs]), ("rows", digests[docs]), ("lengths", np.array([len(k) for k in known], np.uint8)),
-                        ("triggers", trigger[mine][lead]), ("which", which), ("owner", owner.astype(np.uint32)),
-                        ("start", (start[mine] - offsets[text[mine]]).astype(np.int64)),
-                    ):
-                        cols[name].append(value.tobytes())
-                    cols["texts"].append(b"".join(known))
-                    cols["bucket"].append(b)
-                if cols["bucket"]:
-                    yield batch_of(out, cols)
-
-    return rows.mapInArrow(run, out)
+def _squeeze(value: np.ndarray | bytes) -> bytes:
+    raw = value if isinstance(value, bytes) else value.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _expand(value: bytes) -> bytes:
+    return pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
+
+
+def _phrases(part: pa.RecordBatch, name: bytes, answers: pa.Table, buckets: int, out: T.StructType) -> pa.Table:
+    """One slice: the distinct phrases with company by bucket, and where each occurs; all compressed."""
+    text, start, spans, _, bucket, digest = _parsed(part, buckets)
+    order = np.argsort(bucket, kind="stable")
+    count = np.bincount(bucket, minlength=buckets)
+    bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("triggers").to_pylist(), strict=True))
+    full = np.flatnonzero(count).tolist()
+    flags = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=2 * int(count[b])).reshape(2, -1) for b in full]
+    flags = np.concatenate(flags, axis=1).astype(bool) if flags else np.zeros((2, 0), bool)
+    kept, several = order[flags[0]], flags[1][flags[0]]
+    data, offsets = flat(part.column("_text"))
+    raw, ids = data.tobytes(), part.column("_id").fill_null(0).to_numpy()
+    cols: dict[str, list] = {f.name: [] for f in out.fields}
+    bounds = np.searchsorted(bucket[kept], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        mine = kept[bounds[b]:bounds[b + 1]]
+        full_text = several[bounds[b]:bounds[b + 1]].tolist()
+        known: dict[bytes, int] = {}
+        ends = (start[mine] + spans[mine] + SPAN - 1).tolist()
+        # A digest stands for the phrase, followed by its number of spans.
+        short = np.column_stack([digest[mine].view(np.uint8).reshape(-1, 8), spans[mine].astype(np.uint8)]).tobytes()
+        which = np.array([
+            known.setdefault(raw[s:e] if whole else short[9 * i:9 * i + 9], len(known))
+            for i, (s, e, whole) in enumerate(zip(start[mine].tolist(), ends, full_text, strict=True))], np.uint32)
+        docs, owner = np.unique(text[mine], return_inverse=True)
+        for column, value in (
+            ("ids", ids[docs]), ("places", docs.astype(np.uint32)), ("lengths", np.array([len(k) for k in known], np.uint8)),
+            ("which", which), ("owner", owner.astype(np.uint32)), ("start", (start[mine] - offsets[text[mine]]).astype(np.int64)),
+            ("texts", b"".join(known)),
+        ):
+            cols[column].append(_squeeze(value))
+        cols["bucket"].append(b)
+        cols["chunk"].append(name)
+    return pa.Table.from_batches([batch_of(out, cols)])
 
 
 def span_ranks(data: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -207,44 +236,35 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
 
 
-def _covered(key, part: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: per document the byte ranges that smaller documents hold too."""
+def _covered(part: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: per slice the byte ranges of its texts that smaller documents hold too."""
     number: dict[bytes, int] = {}
-    which, owner, start, ids, rows, triggers = [], [], [], [], [], []
+    which, owner, start, ids, places, slice_of = [], [], [], [], [], []
     shift = 0
-    for r in part.itertuples(index=False):
-        lengths = np.frombuffer(r.lengths, np.uint8).astype(np.int64)
-        ends = np.cumsum(lengths).tolist()
-        keys = np.frombuffer(r.triggers, _U)
-        mine = np.empty(len(lengths), np.int64)
-        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            phrase = r.texts[a:b]
-            n = number.get(phrase)
-            if n is None:
-                n = number[phrase] = len(number)
-                triggers.append(keys[i])
-            mine[i] = n
-        which.append(mine[np.frombuffer(r.which, np.uint32)])
-        ids.append(np.frombuffer(r.ids, np.int64))
-        rows.append(np.frombuffer(r.rows, np.int64))
-        owner.append(np.frombuffer(r.owner, np.uint32).astype(np.int64) + shift)
-        start.append(np.frombuffer(r.start, np.int64))
+    for n_slice, r in enumerate(part.itertuples(index=False)):
+        ends = np.cumsum(np.frombuffer(_expand(r.lengths), np.uint8).astype(np.int64)).tolist()
+        texts = _expand(r.texts)
+        mine = np.array([number.setdefault(texts[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
+        which.append(mine[np.frombuffer(_expand(r.which), np.uint32)])
+        ids.append(np.frombuffer(_expand(r.ids), np.int64))
+        places.append(np.frombuffer(_expand(r.places), np.uint32))
+        slice_of.append(np.full(len(ids[-1]), n_slice))
+        owner.append(np.frombuffer(_expand(r.owner), np.uint32).astype(np.int64) + shift)
+        start.append(np.frombuffer(_expand(r.start), np.int64))
         shift += len(ids[-1])
-    which, owner, start, ids, rows = map(np.concatenate, (which, owner, start, ids, rows))
+    which, owner, start, ids, places, slice_of = map(np.concatenate, (which, owner, start, ids, places, slice_of))
     doc = ids[owner]
     length = np.array([len(p) for p in number], np.int64)
-    spans = length - SPAN + 1
+    spans = np.array([len(p) - SPAN + 1 if len(p) >= SPAN else p[-1] for p in number], np.int64)
     at = np.cumsum(spans) - spans
     # The parse: the smallest document of each phrase of the dictionary.
     least = np.full(len(length), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
     smallest = np.repeat(least, spans)
-    # Phrases that share their trigger with another may share spans: those go into the suffix array.
-    _, trigger, often = np.unique(np.array(triggers, _U), return_inverse=True, return_counts=True)
-    several = np.flatnonzero(often[trigger] > 1)
+    # Phrases that share their trigger with another may share spans: those came as texts and go into the suffix array.
+    several = np.flatnonzero(length >= SPAN)
     if len(several):
-        chosen = set(several.tolist())
-        data = np.frombuffer(b"".join([p for p, i in number.items() if i in chosen]), np.uint8)
+        data = np.frombuffer(b"".join([p for p in number if len(p) >= SPAN]), np.uint8)
         base = np.cumsum(length[several]) - length[several]
         place = _runs(base, spans[several])
         rank = span_ranks(data, place)
@@ -254,24 +274,25 @@ def _covered(key, part: pd.DataFrame) -> pd.DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         first = smallest[target[order[begin]]]
         smallest[target[order]] = np.repeat(first, np.diff(np.append(begin, len(order))))
-    seen = np.repeat(doc, spans[which]) > smallest[_runs(at[which], spans[which])]
-    own = np.repeat(owner, spans[which])[seen]
-    place = _runs(start, spans[which])[seen]
-    order = np.lexsort((place, own))
-    own, place = own[order], place[order]
-    out = {"id": [], "row": [], "begin": [], "end": []}
-    if len(own):
+    out: dict[str, list] = {"chunk": [], "places": [], "begin": [], "end": []}
+    # Occurrences in the order of their texts, in parts of bounded size.
+    order = np.lexsort((start, owner))
+    which, owner, start, doc = which[order], owner[order], start[order], doc[order]
+    cuts = np.searchsorted(owner, np.searchsorted(slice_of, np.arange(len(part) + 1)))
+    for n_slice, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        w, n = which[a:b], spans[which[a:b]]
+        seen = np.repeat(doc[a:b], n) > smallest[_runs(at[w], n)]
+        if not seen.any():
+            continue
+        own, place = np.repeat(owner[a:b], n)[seen], _runs(start[a:b], n)[seen]
         new = np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)])
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], len(own)) - 1
-        docs = own[begin]
-        bounds = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            out["id"].append(ids[docs[a]])
-            out["row"].append(rows[docs[a]])
-            out["begin"].append(place[begin[a:b]].tobytes())
-            out["end"].append((place[last[a:b]] + SPAN).tobytes())
-    return pd.DataFrame(out).astype({"id": "int64", "row": "int64"})
+        out["chunk"].append(part["chunk"].iloc[n_slice])
+        out["places"].append(places[own[begin]].tobytes())
+        out["begin"].append(place[begin].tobytes())
+        out["end"].append((place[last] + SPAN).tobytes())
+    return pd.DataFrame(out)
 
 
 def union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,54 +312,52 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
         T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())),
     ]
-    kept = [c for c in docs.columns if c not in {f.name for f in added}]
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= SPAN))
+    kept = [c for c in docs.columns if c not in {f.name for f in added} | {"_id", "_text"}]
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *[c for c in kept if c != text])
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    sent = _triggers(rows, buckets)
-    schema = sent.schema
-    lists = F.col("bucket") < 0
-
-    def company(key, part):
-        # A list of texts goes through as it is.
-        return part if key[0] < 0 else _company(key, part)
-
-    # Lists are grouped by their slice, triggers by their bucket.
-    spread = F.when(lists, F.xxhash64("chunk")).otherwise(F.col("bucket"))
-    answered = sent.groupBy("bucket", spread.alias("part")).applyInPandas(company, schema)
-    flags = answered.groupBy("chunk").applyInPandas(_flags, "id long, row long, flags binary").dropDuplicates(["id", "row"])
-    flags = stored(flags, "shared-phrases")
-    marked = rows.join(flags, ["id", "row"]).select("id", "row", "text", "flags")
-    covered = _phrases(marked, buckets).groupBy("bucket").applyInPandas(lambda key, part: _covered(key, part), "id long, row long, begin binary, end binary")
-    # Written, so that its shuffle files and those before can go.
-    covered = stored(covered, "covered-spans")
-    per_doc = covered.groupBy(F.col("id").alias("_sfx_id"), F.col("row").alias("_sfx_row")).agg(F.collect_list("begin").alias("_begin"), F.collect_list("end").alias("_end"))
-    keyed = docs.select(*kept, F.xxhash64(text).alias("_text_row"))
-    on = (keyed[doc_id].cast("long") == per_doc["_sfx_id"]) & (keyed["_text_row"] == per_doc["_sfx_row"])
-    joined = keyed.join(per_doc, on, "left").select(*kept, "_begin", "_end")
+    phrase_schema = _packed("bucket", "chunk ids places texts lengths which owner start")
     out_schema = T.StructType([*[docs.schema[c] for c in kept], *added])
 
-    def make():
-        def step(part: pa.RecordBatch):
-            data, offsets = flat(part.column(text))
-            raw = data.tobytes()
-            cols = {"n_bytes": np.diff(offsets), "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
-            for i, (b, e) in enumerate(zip(part.column("_begin").to_pylist(), part.column("_end").to_pylist(), strict=True)):
-                begin, end = union(np.frombuffer(b"".join(b or []), np.int64), np.frombuffer(b"".join(e or []), np.int64))
-                low, high = int(offsets[i]), int(offsets[i + 1])
-                left = hashlib.sha256()
-                at = low
-                for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                    left.update(raw[at:low + x])
-                    at = low + y
-                left.update(raw[at:high])
-                cols["n_removed"].append(int((end - begin).sum()))
-                cols["n_spans"].append(len(begin))
-                cols["kept_sha256"].append(left.hexdigest())
-                cols["spans"].append(np.stack([begin, end], 1).ravel())
-            yield batch_of(out_schema, {c: part.column(c) for c in kept} | cols)
-
-        return step
-
-    return map_slices(joined, text, out_schema, make, SLICE_BYTES)
+    def phrases(key, answers: pa.Table, packed: pa.Table) -> pa.Table:
+        if not answers.num_rows:
+            return _none(phrase_schema)
+        name = answers.column("chunk")[0].as_py()
+        return _phrases(_unpacked(packed, name), name, answers, buckets, phrase_schema)
+
+    def finish(key, packed: pa.Table, found: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_finished(_unpacked(packed, key), found, kept, text, out_schema)])
+
+    answered = _triggers(rows, buckets).groupBy("bucket").applyInPandas(_company, _packed("bucket", "chunk triggers counts"))
+    found = answered.select("bucket", "chunk", "triggers").groupBy("chunk").cogroup(_packed_slices(rows, ["_id", "_text"]).groupBy("chunk")).applyInArrow(phrases, phrase_schema)
+    covered = found.groupBy("bucket").applyInPandas(lambda part: _covered(part), "chunk binary, places binary, begin binary, end binary")
+    return _packed_slices(rows, [c for c in rows.columns if c != "_id"]).groupBy("chunk").cogroup(covered.groupBy("chunk")).applyInArrow(finish, out_schema)
+
+
+def _none(schema: T.StructType) -> pa.Table:
+    return pa.Table.from_batches([batch_of(schema, {f.name: [] for f in schema.fields})])
+
+
+def _finished(part: pa.RecordBatch, found: pa.Table, kept: list[str], text: str, schema: T.StructType) -> pa.RecordBatch:
+    """One slice with the results of its texts."""
+    join = lambda name, kind: np.frombuffer(b"".join(found.column(name).to_pylist()), kind)
+    places, begins, ends = join("places", np.uint32), join("begin", np.int64), join("end", np.int64)
+    order = np.argsort(places, kind="stable")
+    places, begins, ends = places[order], begins[order], ends[order]
+    bounds = np.searchsorted(places, np.arange(part.num_rows + 1))
+    data, offsets = flat(part.column("_text"))
+    raw = data.tobytes()
+    cols = {"n_bytes": np.diff(offsets), "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
+    for i in range(part.num_rows):
+        begin, end = union(begins[bounds[i]:bounds[i + 1]], ends[bounds[i]:bounds[i + 1]])
+        low, high = int(offsets[i]), int(offsets[i + 1])
+        left, at = hashlib.sha256(), low
+        for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+            left.update(raw[at:low + x])
+            at = low + y
+        left.update(raw[at:high])
+        cols["n_removed"].append(int((end - begin).sum()))
+        cols["n_spans"].append(len(begin))
+        cols["kept_sha256"].append(left.hexdigest())
+        cols["spans"].append(np.stack([begin, end], 1).ravel())
+    return batch_of(schema, {c: part.column("_text" if c == text else c) for c in kept} | cols)
