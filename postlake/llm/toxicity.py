@@ -72,10 +72,16 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def features(texts: pa.Array) -> np.ndarray:
+def features(texts: pa.Array, at_once: int = 128) -> np.ndarray:
     """Dense bags of the fit sample, times 1024 in half precision: per text the mean over its words of a word's mean."""
-    words = W.split(*flat(texts))
     out = np.zeros((len(texts), BUCKETS), np.float16)
+    for low in range(0, len(texts), at_once):
+        _bags(texts.slice(low, at_once), out[low:low + at_once])
+    return out
+
+
+def _bags(texts: pa.Array, out: np.ndarray) -> None:
+    words = W.split(*flat(texts))
     _, lead, word = np.unique(words.hash, return_index=True, return_inverse=True)
     buckets, count = word_grams(words, lead)
     at = np.cumsum(count) - count
@@ -85,7 +91,6 @@ def features(texts: pa.Array) -> np.ndarray:
             n = count[mine]
             which = buckets[np.repeat(at[mine], n) + _within(n)]
             out[i] = np.bincount(which, np.repeat(1024 * often / n / (often.sum() + BLANKS), n), BUCKETS)
-    return out
 
 
 def train(x: np.ndarray, y: np.ndarray) -> Model:
