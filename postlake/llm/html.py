@@ -150,10 +150,14 @@ def features(page: list[Block], view: np.ndarray | None = None) -> list[list[str
         aside = {_ASIDE_TAGS[t] for t in b.tags if t in _ASIDE_TAGS} | {_ASIDE_OF[n] for n in b.names if n in _ASIDE_OF}
         own = next((t for t in reversed(b.tags)), "none")
         words = b.text.split()
+        kinds, own_tag, above = set(aside), own, set(b.tags) - {"html", "body", "div"} - _MAIN_TAGS
+        if view is not None:
+            # Names and tags of what is no article stand for each other here, so that those never seen count as well.
+            kinds, own_tag, above = set(), "none" if own in _ASIDE_TAGS else own, above - set(_ASIDE_TAGS)
         end = b.text[-1] in ".!?…»”\"'"
         long = _bin(len(words))
-        got = ["one", f"own:{own}", f"words:{long}", f"link:{int(b.linked * 4)}", f"end:{end}", f"own:{own}&words:{long > 2}&end:{end}"]
-        got += [f"mark:{m}" for m in marks] + [f"aside:{a}" for a in aside] + [f"above:{t}" for t in set(b.tags) - {"html", "body", "div"} - _MAIN_TAGS]
+        got = ["one", f"own:{own_tag}", f"words:{long}", f"link:{int(b.linked * 4)}", f"end:{end}", f"own:{own_tag}&words:{long > 2}&end:{end}"]
+        got += [f"mark:{m}" for m in marks] + [f"aside:{a}" for a in kinds] + [f"above:{t}" for t in above]
         got += ["marked"] * bool(marks) + ["aside"] * bool(aside) + ["marked&aside"] * bool(marks and aside) + ["marked&plain"] * bool(marks and not aside)
         got += ["sign"] * ("©" in b.text or "cookie" in b.text.lower())
         out.append(got)

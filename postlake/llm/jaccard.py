@@ -323,10 +323,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` without all but the first of each group of linked rows."""
     rows = classes(docs, doc_id, text)
     mine = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    gone = rows.filter(F.col("n_links") > 0).select("id", "row", (mine != F.col("first")).alias("gone")).distinct()
+    gone = rows.filter(F.col("n_links") > 0).select(F.col("id").alias("_pl_id"), F.col("row").alias("_pl_digest"), (mine != F.col("first")).alias("_pl_gone")).distinct()
     keyed = docs.withColumn("_pl_row", F.xxhash64(text))
-    marked = keyed.join(stored(gone, "later-copies"), keyed[doc_id].eqNullSafe(F.col("id")) & (keyed["_pl_row"] == F.col("row")), "left")
-    single = marked.filter(F.col("gone").isNull()).select(docs.columns)
+    on = keyed[doc_id].eqNullSafe(F.col("_pl_id")) & (F.col("_pl_row") == F.col("_pl_digest"))
+    marked = keyed.join(stored(gone, "later-copies"), on, "left")
+    single = marked.filter(F.col("_pl_gone").isNull()).select(docs.columns)
     # Rows that are equal even in doc_id: one of them stays.
-    heads = marked.filter(~F.col("gone")).dropDuplicates([doc_id, "_pl_row"]).select(docs.columns)
+    heads = marked.filter(~F.col("_pl_gone")).dropDuplicates([doc_id, "_pl_row"]).select(docs.columns)
     return single.unionByName(heads)

@@ -137,11 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = [known.filter(F.col("y") == y).orderBy(order, "_id").limit(SAMPLE_ROWS[y]) for y in (0, 1)]
     # At most sum(SAMPLE_ROWS) ids and labels.
     chosen = F.broadcast(sample[0].unionByName(sample[1]))
-    usable = F.octet_length(text) <= SAMPLE_TEXT_BYTES
-    rows = docs.join(chosen, F.col(doc_id) == F.col("_id")).filter(usable).select("_id", "y", text)
-    rows = rows.orderBy(order, "_id", F.xxhash64(text)).limit(sum(SAMPLE_ROWS)).toArrow()
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter(F.octet_length("_text") <= SAMPLE_TEXT_BYTES)
+    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "y", "_text")
+    rows = rows.orderBy(order, "_id", F.xxhash64("_text")).limit(sum(SAMPLE_ROWS)).toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
-    return train(features(rows.column(text).combine_chunks()), y)
+    return train(features(rows.column("_text").combine_chunks()), y)
 
 
 class Scorer:
