@@ -141,7 +141,7 @@ def _bin(n: float) -> int:
 
 
 def features(page: list[Block], view: np.ndarray | None = None) -> list[list[str]]:
-    """Names of the features that hold, per block. ``view``: 1 drops the marks of an article, 2 adds them."""
+    """Names of the features that hold, per block. ``view``: 1 drops the marks of an article, 2 adds them and a paragraph's tag."""
     out = []
     for i, b in enumerate(page):
         marks = {t for t in b.tags if t in _MAIN_TAGS} | {"name:" + n for n in b.names if n in _MAIN_NAMES}
@@ -153,7 +153,7 @@ def features(page: list[Block], view: np.ndarray | None = None) -> list[list[str
         kinds, own_tag, above = set(aside), own, set(b.tags) - {"html", "body", "div"} - _MAIN_TAGS
         if view is not None:
             # Names and tags of what is no article stand for each other here, so that those never seen count as well.
-            kinds, own_tag, above = set(), "none" if own in _ASIDE_TAGS else own, above - set(_ASIDE_TAGS)
+            kinds, own_tag, above = set(), "p" if view[i] == 2 else "none" if own in _ASIDE_TAGS else own, above - set(_ASIDE_TAGS)
         end = b.text[-1] in ".!?…»”\"'"
         long = _bin(len(words))
         got = ["one", f"own:{own_tag}", f"words:{long}", f"link:{int(b.linked * 4)}", f"end:{end}", f"own:{own_tag}&words:{long > 2}&end:{end}"]
