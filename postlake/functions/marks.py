@@ -39,9 +39,10 @@ def size_mb(c: Col) -> Column:
 
 
 def result_key(prefix: str, *parts: Col) -> Column:
-    """Digest that identifies one stored result; nulls are kept apart from empty text."""
-    texts = [F.coalesce(_col(p).cast("string"), F.lit("\u0000")) for p in parts]
-    return F.md5(F.concat_ws(":", F.lit(prefix), *texts).cast("binary"))
+    """Digest that identifies one stored result. Each part stands behind its length, so no two lists share a text; a null is a dash."""
+    texts = [F.lit(prefix), *[_col(p).cast("string") for p in parts]]
+    told = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.md5(F.concat_ws(":", *told).cast("binary"))
 
 
 def effective_ttl(ttl: Col, default: int, cap: int | None = None) -> Column:

@@ -75,7 +75,7 @@ def trailing_mean(positioned: DataFrame, keys: Sequence[str], value: str, depth:
 
     Positions are cut into blocks; a block also receives the ``depth - 1`` rows before it, so each
     window is complete although no task holds more than ``block + depth`` rows of a key. Inside a
-    block a window is the difference of two running sums, one step per row whatever the depth.
+    block a window is a frame of its own rows, so a value that is no number spoils only the windows that hold it.
     """
     block = max(block, depth)
     own = F.floor((F.col("rn") - 1) / F.lit(block))
@@ -83,10 +83,6 @@ def trailing_mean(positioned: DataFrame, keys: Sequence[str], value: str, depth:
     helps_next = offset >= block - (depth - 1)
     copies = F.when(helps_next, F.array(own, own + 1)).otherwise(F.array(own))
     spread = positioned.withColumn("_own", own).withColumn("_block", F.explode(copies))
-    in_block = Window.partitionBy(*keys, "_block").orderBy("rn")
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    running = spread.withColumns({"_sum": F.sum(F.coalesce(value, F.lit(0.0))).over(so_far), "_n": F.count(value).over(so_far)})
-    before = running.withColumns({f"_old{c}": F.lag(c, depth, 0).over(in_block) for c in ("_sum", "_n")})
-    n = F.col("_n") - F.col("_old_n")
-    means = before.withColumns({"rolling_mean": F.try_divide(F.col("_sum") - F.col("_old_sum"), n), "n_in_window": n})
-    return means.filter(F.col("_own") == F.col("_block")).drop("_own", "_block", "_sum", "_n", "_old_sum", "_old_n")
+    frame = Window.partitionBy(*keys, "_block").orderBy("rn").rowsBetween(-(depth - 1), 0)
+    means = spread.withColumns({"rolling_mean": F.avg(value).over(frame), "n_in_window": F.count(value).over(frame)})
+    return means.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")

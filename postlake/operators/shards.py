@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from postlake.functions.periods import shard_key
+from postlake.operators.store import upsert
+from postlake.session import exists, scratch_path
 
 SHARD = "shard_key"
 
@@ -13,8 +15,11 @@ def with_shard(posts: DataFrame, shards_per_year: int = 4) -> DataFrame:
     return posts.withColumn(SHARD, shard_key("created_at", "id", shards_per_year))
 
 
-def write_sharded(posts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per shard. The rebalance hint lets AQE give a large shard many writers."""
+def write_sharded(posts: DataFrame, path: str, mode: str = "append") -> None:
+    """One folder per shard; rows are added. The rebalance hint lets AQE give a large shard many writers.
+
+    ``overwrite`` replaces the shards that ``posts`` touches, with all their rows; see ``upsert_sharded`` to keep the others.
+    """
     (
         posts.hint("rebalance", SHARD)
         .write.mode(mode)
@@ -24,6 +29,23 @@ def write_sharded(posts: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def upsert_sharded(posts: DataFrame, path: str, seq: str, key: str = "id") -> None:
+    """Write posts over the stored ones of the same shard and id; all other rows stay.
+
+    Only touched shards are read and written. The merged shards go to a fresh folder first, so nothing that is read is
+    overwritten, and a job that breaks off before the swap leaves the table as it was.
+    """
+    spark = posts.sparkSession
+    if not exists(spark, path):
+        write_sharded(upsert(posts.limit(0), posts, [SHARD, key], seq), path)
+        return
+    touched = posts.select(SHARD).distinct()
+    stored = read_sharded(spark, path).join(touched, SHARD, "left_semi")
+    staged = scratch_path(spark, "merged-shards")
+    write_sharded(upsert(stored, posts, [SHARD, key], seq), staged)
+    write_sharded(read_sharded(spark, staged), path, mode="overwrite")
+
+
 def read_sharded(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """The shard column is part of the folder name and stays text."""
     reader = spark.read

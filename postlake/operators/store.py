@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.sql.types import MapType
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.functions.text import metadata_entries
@@ -57,9 +58,19 @@ def keep_last(rows: DataFrame, keys: Sequence[str], latest_first: Sequence[Colum
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """The table after writing ``incoming`` over it; columns a writer left out return to their defaults."""
-    both = current.unionByName(incoming, allowMissingColumns=True)
-    return normalized(keep_last(both, keys, [F.desc(seq)]))
+    """The table after writing ``incoming`` over it; columns a writer left out return to their defaults.
+
+    A null ``seq`` is the oldest. Of rows with one ``seq`` the incoming one wins, and among those a digest of the row
+    decides, so that the result does not depend on the order of the rows.
+    """
+    marked = current.withColumn("_incoming", F.lit(0)).unionByName(incoming.withColumn("_incoming", F.lit(1)), allowMissingColumns=True)
+    latest = [F.desc_nulls_last(seq), F.desc("_incoming"), F.desc(row_digest(marked))]
+    return normalized(keep_last(marked, keys, latest).drop("_incoming"))
+
+
+def row_digest(rows: DataFrame) -> Column:
+    """A number that settles ties between rows that differ."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(rows.schema[c].dataType, MapType) else F.col(c) for c in sorted(rows.columns)])
 
 
 def nest_sentiment(joined: DataFrame) -> DataFrame:

@@ -69,7 +69,16 @@ def _(t):
 
 @query("sink_sharded_roundtrip", "tw", _SHARDED + "SELECT id, created_at, username, lang, shard_key FROM sharded")
 def _(t):
-    return _table(t).select("id", "created_at", "username", "lang", "shard_key")
+    """Two overlapping batches: rows of the first that come again, with the same seq, are replaced; the others stay."""
+    path = scratch_path(t.spark, "upserted-shards")
+    posts = D.with_shard(t.posts()).select("id", "created_at", "username", "lang", F.lit(1).alias("seq"), "shard_key")
+    number = F.col("id").cast("int")
+    again = number % 3 == 0
+    first = posts.filter(number % 2 == 0).withColumn("username", F.when(again, F.lit("stale")).otherwise(F.col("username")))
+    D.upsert_sharded(first, path, "seq")
+    D.upsert_sharded(posts.filter((number % 2 == 1) | again), path, "seq")
+    return D.read_sharded(t.spark, path).drop("seq")
+
 
 
 @query(

@@ -97,7 +97,8 @@ def _(t):
 
 @query(
     "fn_result_key", "tw",
-    "SELECT id, md5('search:' || query || ':' || retweet_count || ':' || coalesce(view_count::VARCHAR, chr(0))) AS result_key FROM tw",
+    """SELECT id, md5('6:search:' || coalesce(length(query) || ':' || query, '-') || ':' || length(retweet_count::VARCHAR) || ':' || retweet_count
+      || ':' || coalesce(length(view_count::VARCHAR) || ':' || view_count, '-')) AS result_key FROM tw""",
 )
 def _(t):
     return t.posts().select("id", result_key("search", "query", "retweet_count", "view_count").alias("result_key"))

@@ -59,6 +59,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_base(spark)}/postlake/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def is_directory(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a folder on whichever file system it names."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,13 +11,15 @@ from postlake.operators.store import post_metadata
 from postlake.schema import SCORE
 
 
+#: How CSV is written, by batch and stream: quotes where needed, quotes doubled, blanks kept, a null as an empty field.
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """Header, quotes where needed, quotes doubled; a null is an empty field."""
-    (
-        df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", '""')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("compression", compression).csv(path)
-    )
+    df.write.options(**CSV_OPTIONS).option("compression", compression).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, compression: str = "none") -> None:

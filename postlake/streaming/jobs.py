@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlake.operators.limits import granted
 from postlake.operators.scoring import score
-from postlake.operators.store import keep_last
+from postlake.operators.store import keep_last, row_digest
+from postlake.sources.export import CSV_OPTIONS
 from postlake.session import scratch_path
 from postlake.streaming.sinks import batch_writer, collect_stream, run_batches
 
@@ -106,7 +107,7 @@ def export(stream: DataFrame, fmt: str = "json") -> str:
         stream.writeStream.outputMode("append").format(fmt).option("path", path)
         .option("checkpointLocation", scratch_path(spark, "export-checkpoint"))
     )
-    options = {"header": True, "quote": '"', "escape": '"'} if fmt == "csv" else {"ignoreNullFields": False}
+    options = CSV_OPTIONS if fmt == "csv" else {"ignoreNullFields": False}
     writer.options(**options).trigger(availableNow=True).start().awaitTermination()
     return path
 
@@ -116,8 +117,8 @@ def upsert(stream: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     path = scratch_path(stream.sparkSession, "upsert")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch_writer(path)(keep_last(batch, keys, [F.desc(seq)]), batch_id)
+        batch_writer(path)(keep_last(batch, keys, [F.desc_nulls_last(seq), F.desc(row_digest(batch))]), batch_id)
 
     run_batches(stream, write)
     rows = stream.sparkSession.read.parquet(path)
-    return keep_last(rows, keys, [F.desc(seq), F.desc("batch_id")]).drop("batch_id")
+    return keep_last(rows, keys, [F.desc_nulls_last(seq), F.desc("batch_id")]).drop("batch_id")

@@ -95,7 +95,7 @@ def test_sharded_table(spark, posts):
     assert sorted(ids(scan)) == ["1", "2", "4"]
     assert sorted(ids(D.scan_range(table, "2023-11-01", "2024-01-01"))) == ["1", "2", "4", "5"]
     fresh = D.with_shard(posts.filter("id = '1'").withColumn("text", F.lit("again")))
-    D.write_sharded(fresh, path)
+    D.write_sharded(fresh, path, mode="overwrite")
     assert D.read_sharded(spark, path).count() == 3
     assert sum(r["n"] for r in D.totals(D.with_shard(posts)).collect() if r["is_total"]) == 5
 
@@ -177,3 +177,27 @@ def test_synthetic(spark):
     rows = I.synthetic_posts(spark.range(25), "id", F.lit("2024-01-01 00:00:00").cast("timestamp")).orderBy(F.desc("created_at")).collect()
     assert rows[0]["sentiment_label"] == "positive" and rows[1]["sentiment_label"] == "negative" and rows[3]["sentiment_label"] == "neutral"
     assert rows[1]["created_at"] == "2023-12-31T23:59:00" and rows[10]["text"] == rows[0]["text"]
+
+
+def test_ties_go_to_the_incoming_row(spark):
+    current = spark.createDataFrame([("1", "old", 5), ("2", "old", None)], "id string, text string, seq int")
+    incoming = spark.createDataFrame([("1", "new", 5), ("2", "new", None)], "id string, text string, seq int")
+    assert {r["text"] for r in S.upsert(current, incoming, ["id"], "seq").collect()} == {"new"}
+
+
+def test_sharded_upsert_keeps_the_rest(spark, tmp_path):
+    from postlake.operators import shards
+
+    path = str(tmp_path / "shards")
+    kind = "id string, text string, seq int, shard_key string"
+    for rows in ([("1", "a", 1, "2024_Q1"), ("3", "c", 1, "2024_Q2")], [("2", "b", 1, "2024_Q1"), ("1", "a2", 1, "2024_Q1")]):
+        shards.upsert_sharded(spark.createDataFrame(rows, kind), path, "seq")
+    got = {(r["id"], r["text"], r["shard_key"]) for r in shards.read_sharded(spark, path).collect()}
+    assert got == {("1", "a2", "2024_Q1"), ("2", "b", "2024_Q1"), ("3", "c", "2024_Q2")}
+
+
+def test_result_keys_differ(spark):
+    from postlake.functions.marks import result_key
+
+    row = spark.range(1).select(result_key("s", F.lit("a:b"), F.lit("c")).alias("x"), result_key("s", F.lit("a"), F.lit("b:c")).alias("y")).first()
+    assert row["x"] != row["y"]
