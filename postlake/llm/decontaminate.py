@@ -17,6 +17,7 @@ one are replaced.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from postlake.llm import words as W
-from postlake.llm.arrow import batch_of, flat, map_slices
+from postlake.llm.arrow import batch_of, flat, map_slices, slices
 from postlake.session import scratch_path
 
 WINDOW = 13
@@ -33,6 +34,8 @@ SHINGLE = 3
 BLOCK_BYTES = 4 << 20
 #: Blocks that one job holds; beyond, the marked rows are written and read again.
 BLOCKS_AT_ONCE = 4
+#: Possible matches, and bytes of matches, that are compared at once.
+PAIRS_AT_ONCE, BYTES_AT_ONCE = 1 << 17, 1 << 20
 
 
 class Index(NamedTuple):
@@ -54,6 +57,17 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
 
 
+def _pieces(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of neighbours whose sizes add up to about ``limit``, or single ones."""
+    total = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = total[start - 1] if start else 0
+        end = max(int(np.searchsorted(total, before + limit, "right")), start + 1)
+        yield slice(start, end)
+        start = end
+
+
 def item_words(texts: list[str | None]) -> W.Words:
     return W.split(*flat(pa.array(texts, pa.large_string())))
 
@@ -125,13 +139,19 @@ def matches(index: Index, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         spot = np.flatnonzero(tokens[np.minimum(low, len(tokens) - 1)] == have)
         spot = spot[W.whole(words.first, size, len(have))[spot]]
         many = np.searchsorted(tokens, have[spot], "right") - low[spot]
-        where.append(np.repeat(spot, many))
-        which.append(entries[_runs(low[spot], many)])
+        for part in _pieces(many, PAIRS_AT_ONCE):
+            begin, entry = _verified(index, words, np.repeat(spot[part], many[part]), entries[_runs(low[spot[part]], many[part])])
+            where.append(begin)
+            which.append(entry)
     if not where:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    which = np.concatenate(which)
-    begin = np.concatenate(where) - index.offset[which]
-    text = np.searchsorted(words.first, np.concatenate(where), "right") - 1
+    return np.concatenate(where), np.concatenate(which)
+
+
+def _verified(index: Index, words: W.Words, where: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those (place of the prefix token, window) whose window stands there, by its first word."""
+    begin = where - index.offset[which]
+    text = np.searchsorted(words.first, where, "right") - 1
     fits = (begin >= words.first[text]) & (begin + index.length[which] <= words.first[text + 1])
     begin, which = begin[fits], which[fits]
     for j in range(WINDOW):
@@ -139,7 +159,11 @@ def matches(index: Index, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         same = ~inside
         same[inside] = words.hash[begin[inside] + j] == index.words.hash[index.begin[which[inside]] + j]
         begin, which = begin[same], which[same]
-    return _exact(index, words, begin, which)
+    size = words.end[begin + index.length[which] - 1] - words.start[begin]
+    exact = [_exact(index, words, begin[part], which[part]) for part in _pieces(size, BYTES_AT_ONCE)]
+    if not exact:
+        return begin, which
+    return np.concatenate([b for b, _ in exact]), np.concatenate([w for _, w in exact])
 
 
 def _exact(index: Index, words: W.Words, begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +199,8 @@ def rarities(docs: DataFrame, text: str, wanted: np.ndarray) -> dict[int, int]:
     def run(batches):
         tokens = known.value
         total = np.zeros(len(tokens), np.int64)
-        for batch in batches:
-            words = W.split(*flat(batch.column(text)))
+        for part in (p for batch in batches for p in slices(batch, text)):
+            words = W.split(*flat(part.column(text)))
             for size in range(1, SHINGLE + 1):
                 have = W.shingles(words.hash, size)
                 have = have[W.whole(words.first, size, len(have))]
