@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -11,13 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Fixed values of the scoring rule.
 BOOST, CAPS, NEGATE = 0.293, 0.733, -0.74
 
-#: A word list above this size is joined as a table instead of being put into the plan.
-MAX_INLINE_WORDS = 20_000
-
-
-#: Up to this size one map is scanned faster than a group is computed.
-ONE_MAP = 12
-
 
 @dataclass(frozen=True)
 class ValenceLexicon:
@@ -59,22 +53,18 @@ def lookup(lexicon: ValenceLexicon | PolarityLexicon):
     """A function token -> struct of the word's properties (null for other words).
 
     The words are spread over as many small maps as there are words, so a look-up compares one or
-    two strings; the whole is a constant of the plan and needs neither a join nor a shuffle.
+    two strings. All maps are one JSON constant, folded once when the query is planned: the plan has
+    the same few nodes for ten words and for a million, and needs neither a join nor a shuffle.
     """
     entries = lexicon.entries()
-    if len(entries) > MAX_INLINE_WORDS:
-        raise ValueError(f"{len(entries)} words: pass the lexicon as a table")
     shape = "struct<" + ",".join(f"{n}:{t}" for n, t in lexicon.fields) + ">"
-    n = 1 if len(entries) <= ONE_MAP else len(entries)
-    groups: list[list[Column]] = [[] for _ in range(n)]
+    n = max(len(entries), 1)
+    groups: list[dict[str, dict]] = [{} for _ in range(n)]
     for word, properties in entries.items():
-        cell = F.struct(*[F.lit(p).cast(t).alias(f) for p, (f, t) in zip(properties, lexicon.fields)])
-        groups[zlib.crc32(word.encode("utf-8")) % n] += [F.lit(word), cell]
-    empty = f"map<string,{shape}>"
-    table = F.array(*[(F.create_map(*g) if g else F.create_map()).cast(empty) for g in groups])
-
-    if n == 1:
-        return lambda token: F.element_at(F.get(table, F.lit(0)), token)
+        cell = {f: p for p, (f, _) in zip(properties, lexicon.fields, strict=True) if p is not None}
+        groups[zlib.crc32(word.encode("utf-8")) % n][word] = cell
+    text = json.dumps({"groups": groups}, ensure_ascii=False)
+    table = F.from_json(F.lit(text), f"struct<groups:array<map<string,{shape}>>>", {"mode": "FAILFAST"})["groups"]
 
     def find(token: Column) -> Column:
         group = F.pmod(F.crc32(token.cast("binary")), F.lit(n).cast("bigint")).cast("int")
@@ -83,11 +73,12 @@ def lookup(lexicon: ValenceLexicon | PolarityLexicon):
     return find
 
 
-def from_table(df: DataFrame) -> ValenceLexicon | None:
-    """Read a (token, valence, step, negation) table into the plan if it is small, else None."""
-    rows = df.select("token", "valence", "step", "negation").limit(MAX_INLINE_WORDS + 1).collect()
-    if len(rows) > MAX_INLINE_WORDS:
-        return None
+def from_table(df: DataFrame) -> ValenceLexicon:
+    """Read a (token, valence, step, negation) word list into the plan.
+
+    For lists made by people; words that are derived from data stay a table (``score_with_table``).
+    """
+    rows = df.select("token", "valence", "step", "negation").collect()
     return ValenceLexicon(
         {r.token: r.valence for r in rows if r.valence is not None},
         {r.token: r.step for r in rows if r.step is not None},

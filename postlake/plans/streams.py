@@ -93,12 +93,12 @@ def _(t):
 
 @query(
     "stream_bounded_intake", "log",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS arrived, least(count(*), 320) AS accepted,
-      greatest(count(*) - 320, 0) AS rejected FROM log GROUP BY 1""",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day,
+      CASE WHEN row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) <= 320 THEN 1 ELSE 0 END AS admitted FROM log""",
 )
 def _(t):
-    arrivals = log_stream(t, "ts").select(F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return J.bounded_intake(arrivals, "day", 320)
+    arrivals = log_stream(t, "event_id", "ts").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return J.bounded_intake(arrivals, "day", "event_id", 320)
 
 
 @query("stream_dedup", "search_pages", "SELECT DISTINCT id FROM search_pages")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import text as X
 from postlake.functions.marks import result_key
+from postlake.functions.register import register
 from postlake.operators.store import post_metadata
 from postlake.plans.fixtures import now
 from postlake.plans.registry import query
@@ -104,6 +105,25 @@ def _(t):
     return t.posts().select("id", result_key("search", "query", "retweet_count", "view_count").alias("result_key"))
 
 
+@query(
+    "sql_post_functions", "tw",
+    f"""SELECT id, {CLEAN_SQL} AS cleaned, array_to_string(regexp_extract_all(text, '{TAG}'), '|') AS hashtags,
+      array_to_string(regexp_extract_all(text, '{MENTION}'), '|') AS mentions,
+      CASE WHEN retweet_count > 25 THEN 'positive' WHEN retweet_count < 25 THEN 'negative' ELSE 'neutral' END AS label,
+      CASE WHEN view_count IS NULL THEN 'unknown' WHEN view_count > 90 THEN 'unhealthy' WHEN view_count > 80 THEN 'degraded' ELSE 'healthy' END AS band
+      FROM tw""",
+)
+def _(t):
+    """The functions by their SQL names, in SQL."""
+    register(t.spark)
+    return t.spark.sql(
+        """SELECT id, post_clean(text) AS cleaned, array_join(post_hashtags(text), '|') AS hashtags,
+          array_join(post_mentions(text), '|') AS mentions, label_polarity(retweet_count - 25.0D) AS label,
+          threshold_band(CAST(view_count AS DOUBLE)) AS band FROM {posts}""",
+        posts=t.texts(),
+    )
+
+
 @query(
     "fn_json_fields", "",
     """SELECT event_id, event_type AS endpoint, CAST(json_extract(props, '$.k') AS BIGINT) AS k,

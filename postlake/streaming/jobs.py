@@ -6,15 +6,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from postlake.operators.limits import granted
 from postlake.operators.scoring import score
 from postlake.operators.store import keep_last, row_digest
 from postlake.sources.export import CSV_OPTIONS
 from postlake.session import scratch_path
-from postlake.streaming.sinks import batch_writer, collect_stream, run_batches
+from postlake.streaming.sinks import batch_writer, collect_stream, run_batches, with_batch
 
 
 def window_usage(stream: DataFrame, key: str, ts: str, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -75,19 +76,27 @@ def score_stream(stream: DataFrame, method: str = "vader", lexicon=None) -> Data
     return collect_stream(score(stream, method, lexicon=lexicon), "scored")
 
 
-def bounded_intake(stream: DataFrame, arrival: str, cap: int) -> DataFrame:
-    """Arrivals per group with the number admitted to a queue of ``cap`` places and the rest."""
+def bounded_intake(stream: DataFrame, arrival: str, order: str, cap: int) -> DataFrame:
+    """Every row that arrives, with ``admitted``: 1 for the first ``cap`` of each arrival, by ``order``.
+
+    An arrival (one filling of the queue) has to come in one micro-batch, and ``order`` has to be
+    unique in it; rows without one are turned away. Places are given out on (arrival, order) alone,
+    cut down by rank before the shuffle; whole rows are only compared with the last place given.
+    """
     path = scratch_path(stream.sparkSession, "intake")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch_writer(path)(batch.groupBy(arrival).agg(F.count(F.lit(1)).alias("n")), batch_id)
+        rank = F.row_number().over(Window.partitionBy("_arrival").orderBy("_order"))
+        asked = batch.filter(F.col(order).isNotNull()).select(F.col(arrival).alias("_arrival"), F.col(order).alias("_order"))
+        placed = asked.withColumn("_rank", rank).filter(F.col("_rank") <= cap)
+        last = placed.groupBy("_arrival").agg(F.max("_order").alias("_last"))
+        admitted = F.coalesce(F.col(order) <= F.col("_last"), F.lit(False)).cast("int")
+        judged = batch.join(last, F.col(arrival).eqNullSafe(F.col("_arrival")), "left")
+        batch_writer(path)(judged.select(*batch.columns, admitted.alias("admitted")), batch_id)
 
     run_batches(stream, write)
-    arrived = stream.sparkSession.read.parquet(path).groupBy(arrival).agg(F.sum("n").alias("arrived"))
-    return arrived.select(
-        arrival, "arrived", F.least("arrived", F.lit(cap)).alias("accepted"),
-        F.greatest(F.col("arrived") - cap, F.lit(0)).alias("rejected"),
-    )
+    schema = StructType([*stream.schema.fields, StructField("admitted", IntegerType())])
+    return stream.sparkSession.read.schema(with_batch(schema)).parquet(path).drop("batch_id")
 
 
 def dedup(stream: DataFrame, key: str, ts: str, within: str = "2 days") -> DataFrame:
@@ -120,5 +129,5 @@ def upsert(stream: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
         batch_writer(path)(keep_last(batch, keys, [F.desc_nulls_last(seq), F.desc(row_digest(batch))]), batch_id)
 
     run_batches(stream, write)
-    rows = stream.sparkSession.read.parquet(path)
+    rows = stream.sparkSession.read.schema(with_batch(stream.schema)).parquet(path)
     return keep_last(rows, keys, [F.desc_nulls_last(seq), F.desc("batch_id")]).drop("batch_id")

@@ -51,8 +51,9 @@ def collect_stream(stream: DataFrame, label: str, mode: str = "append") -> DataF
     spark = stream.sparkSession
     path = scratch_path(spark, label)
     run_batches(stream, batch_writer(path), mode)
-    return spark.read.schema(_with_batch(stream.schema)).parquet(path)
+    return spark.read.schema(with_batch(stream.schema)).parquet(path)
 
 
-def _with_batch(schema: StructType) -> StructType:
-    return StructType(schema.fields).add("batch_id", LongType())
+def with_batch(schema: StructType) -> StructType:
+    """Columns of the rows of ``batch_writer`` when they are read back; a stream without a batch gives an empty table."""
+    return StructType(list(schema.fields)).add("batch_id", LongType())

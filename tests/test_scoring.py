@@ -129,7 +129,7 @@ def test_table_equals_inline(spark):
 
 
 def test_large_lexicon_is_grouped(spark):
-    lex = L.ValenceLexicon({f"w{i}x": float(i % 7 - 3) for i in range(3000)}, {}, ())
+    lex = L.ValenceLexicon({f"w{i}x": float(i % 7 - 3) for i in range(30_000)}, {}, ())
     texts = ["w1x w2x w2999x", "w6x nothing"]
     for text, got in zip(texts, scores(spark, texts, lexicon=lex)):
         assert got["compound"] == pytest.approx(brute(text, lex)[0], abs=1e-4)
