@@ -174,6 +174,20 @@ def test_blocks_of_items(spark, texts):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
 
 
+def test_matches_in_pieces(monkeypatch):
+    """How many possible matches are compared at once does not change what is found."""
+    passage = [" ".join(f"w{i % 40}" for i in range(k, k + 30)) for k in (0, 7, 11)]
+    items = [*passage, "short item", "short item", ""]
+    rarity = {int(h): 5 for h in decontaminate.item_shingles(decontaminate.item_words(items))[0]}
+    index = decontaminate.build([str(i) for i in range(len(items))], items, rarity)
+    docs = decontaminate.item_words([f"start {p} middle {p} short item {p[:50]}" for p in passage] + [None, "", "short"])
+    find = lambda: sorted(zip(*(a.tolist() for a in decontaminate.matches(index, docs)), strict=True))
+    whole = find()
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 2)
+    monkeypatch.setattr(decontaminate, "BYTES_AT_ONCE", 3)
+    assert find() == whole and len(whole) > 100
+
+
 def test_main_text(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op9_main_text"](spark, SF).collect():
