@@ -134,20 +134,20 @@ def _(t):
 def _(t):
     """A history with one search per source, appended in two writes and read back."""
     found = t.posts().groupBy("query").agg(F.count(F.lit(1)).alias("fetched_count"))
-    rows = found.select("query", F.lit(20).cast("bigint").alias("count"), F.lit("Top").alias("product"), "fetched_count")
+    rows = found.select("query", F.lit(20).alias("count"), F.lit("Top").alias("product"), "fetched_count")
     path = scratch_path(t.spark, "history")
-    early = F.col("query") < "src3"
-    for part in (rows.filter(early), rows.filter(~early)):
-        part.write.mode("append").parquet(path)
-    return t.spark.read.schema(rows.schema).parquet(path).withColumn("count", F.col("count").cast("int"))
+    half = F.pmod(F.xxhash64("query"), F.lit(2))
+    for part in (0, 1):
+        E.append_searches(rows.filter(half == part), path)
+    return t.spark.read.parquet(path).drop("search_time").withColumn("count", F.col("count").cast("int"))
+
+
+_SAMPLES = ", ".join("'" + text.replace("'", "''") + "'" for text in I.SAMPLE_TEXTS)
 
 
 @query(
     "src_synthetic_posts", "",
-    """SELECT 'tweet_' || doc_id AS id, ['I absolutely love this product! It''s amazing! \U0001F60A', 'This is terrible. Worst experience ever. \U0001F620',
-      'It''s okay, nothing special. \U0001F937', 'Great service, would recommend! \U0001F44D', 'Very disappointed with the quality. \U0001F44E',
-      'Average product, does the job. \U0001F610', 'Excellent! Exceeded my expectations! ⭐', 'Poor customer service, not happy. \U0001F61E',
-      'Good value for money. \U0001F642', 'Waste of money, regret buying. \U0001F624'][doc_id % 10 + 1] AS text,
+    f"""SELECT 'tweet_' || doc_id AS id, [{_SAMPLES}][doc_id % 10 + 1] AS text,
       strftime(TIMESTAMP '2024-01-15 00:00:00' - to_minutes(doc_id), '%Y-%m-%dT%H:%M:%S') AS created_at,
       'user_' || doc_id % 100 AS username, 'en' AS lang, doc_id % 50 AS retweet_count, doc_id % 100 AS favorite_count,
       CASE doc_id % 10 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM documents""",

@@ -16,6 +16,9 @@ CSV_OPTIONS = {
     "header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
+#: Rows of one JSON array at most; a reader parses an array as a whole.
+ARRAY_ROWS = 100_000
+
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """Header, quotes where needed, quotes doubled; a null is an empty field."""
@@ -26,23 +29,29 @@ def write_json_lines(df: DataFrame, path: str, compression: str = "none") -> Non
     df.write.option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
-def write_json_array(df: DataFrame, path: str, pretty: bool = False) -> None:
-    """Each part file is one JSON array. A partition is streamed through with one row held back."""
+def write_json_array(df: DataFrame, path: str, pretty: bool = False, max_rows: int = ARRAY_ROWS) -> None:
+    """Each file is one JSON array of at most ``max_rows`` rows. A partition is streamed through with one row held back."""
     options = {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})}
     rows = df.select(F.to_json(F.struct("*"), options).alias("value"))
 
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, n = None, 0
         for batch in batches:
-            if not len(batch):
-                continue
-            lines = batch["value"].tolist()
-            ready = ([held + ","] if held is not None else ["["]) + [line + "," for line in lines[:-1]]
-            held = lines[-1]
-            yield pd.DataFrame({"value": ready})
+            ready = []
+            for line in batch["value"]:
+                if held is None:
+                    ready.append("[")
+                elif n == max_rows:
+                    ready += [held, "]", "["]
+                    n = 0
+                else:
+                    ready.append(held + ",")
+                held, n = line, n + 1
+            yield pd.DataFrame({"value": ready}, dtype=object)
         yield pd.DataFrame({"value": ["[]"] if held is None else [held, "]"]})
 
-    rows.mapInPandas(wrap, "value string").write.text(path)
+    # A full array is its rows and two brackets, so the writer starts a new file right behind it.
+    rows.mapInPandas(wrap, "value string").write.option("maxRecordsPerFile", max_rows + 2).text(path)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -81,10 +90,21 @@ def write_fanout(batch: DataFrame, base: str, mode: str = "append") -> dict[str,
     return paths
 
 
+def append_searches(searches: DataFrame, path: str) -> None:
+    """Append searches (query, count, product, fetched_count) to the history, stamped with the time of writing.
+
+    All searches of a call share its files, so a history stays in few files when searches are handed over in batches.
+    """
+    columns = [
+        F.col("query").cast("string").alias("query"), F.col("count").cast("bigint").alias("count"),
+        F.col("product").cast("string").alias("product"), F.col("fetched_count").cast("bigint").alias("fetched_count"),
+    ]
+    searches.select(*columns, F.date_format(F.now(), "yyyy-MM-dd HH:mm:ss").alias("search_time")).write.mode("append").parquet(path)
+
+
 def append_search(spark: SparkSession, path: str, query: str, count: int, product: str, fetched: int) -> None:
     """One line of search history."""
     row = spark.range(1).select(
-        F.lit(query).alias("query"), F.lit(count).cast("bigint").alias("count"), F.lit(product).alias("product"),
-        F.lit(fetched).cast("bigint").alias("fetched_count"), F.date_format(F.now(), "yyyy-MM-dd HH:mm:ss").alias("search_time"),
+        F.lit(query).alias("query"), F.lit(count).alias("count"), F.lit(product).alias("product"), F.lit(fetched).alias("fetched_count")
     )
-    row.write.mode("append").parquet(path)
+    append_searches(row, path)

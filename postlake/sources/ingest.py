@@ -5,23 +5,23 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from postlake.operators.store import keep_last
 from postlake.schema import POST, all_strings
 
 #: The ten sample texts generated posts cycle through.
 SAMPLE_TEXTS = (
-    "I absolutely love this product! It's amazing! \U0001F60A",
-    "This is terrible. Worst experience ever. \U0001F620",
-    "It's okay, nothing special. \U0001F937",
-    "Great service, would recommend! \U0001F44D",
-    "Very disappointed with the quality. \U0001F44E",
-    "Average product, does the job. \U0001F610",
+    "I absolutely love this product! It's amazing! 😊",
+    "This is terrible. Worst experience ever. 😠",
+    "It's okay, nothing special. 🤷",
+    "Great service, would recommend! 👍",
+    "Very disappointed with the quality. 👎",
+    "Average product, does the job. 😐",
     "Excellent! Exceeded my expectations! ⭐",
-    "Poor customer service, not happy. \U0001F61E",
-    "Good value for money. \U0001F642",
-    "Waste of money, regret buying. \U0001F624",
+    "Poor customer service, not happy. 😞",
+    "Good value for money. 🙂",
+    "Waste of money, regret buying. 😤",
 )
 
 
@@ -43,8 +43,17 @@ def paged(pages: DataFrame, count: int, page: str = "page", position: str = "pos
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType = POST) -> DataFrame:
-    """Files that hold one JSON array each; a file with anything else yields nothing."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Files that hold one JSON array each; a file that holds another JSON value, or nothing, yields nothing.
+
+    Text that is not JSON and records that do not fit the schema raise; a null among the records is no record.
+    A file is parsed as a whole, so arrays should be bounded, as ``write_json_array`` makes them.
+    """
+    files = spark.read.text(path, wholetext=True).filter(F.col("value").rlike(r"\S"))
+    rows = ArrayType(schema)
+    parsed = F.from_json("value", rows, {"mode": "FAILFAST"})
+    broken = F.raise_error(F.concat(F.lit("not JSON: "), F.input_file_name())).cast(rows)
+    found = F.when(F.col("value").rlike(r"^\s*\["), parsed).when(F.try_parse_json("value").isNull(), broken)
+    return files.select(F.explode(found).alias("row")).filter(F.col("row").isNotNull()).select("row.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = POST) -> DataFrame:

@@ -130,6 +130,43 @@ def test_json_parts_are_arrays(spark, tmp_path):
     assert I.read_json_array(spark, str(tmp_path / "other"), POST).count() == 0
 
 
+def test_json_arrays_are_bounded(spark, tmp_path):
+    import json
+
+    for n, max_rows in ((50, 7), (28, 7), (7, 7), (3, 1), (0, 5)):
+        path = str(tmp_path / f"arr-{n}-{max_rows}")
+        E.write_json_array(spark.range(n).coalesce(1), path, max_rows=max_rows)
+        parts = [json.loads(p.read_text()) for p in (tmp_path / f"arr-{n}-{max_rows}").glob("part-*")]
+        assert sorted(r["id"] for part in parts for r in part) == list(range(n))
+        assert max(len(part) for part in parts) <= max_rows and len(parts) == max(-(-n // max_rows), 1)
+        assert I.read_json_array(spark, path, spark.range(1).schema).count() == n
+
+
+def test_json_array_source_loses_nothing(spark, tmp_path):
+    def read(name, text):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(text)
+        (tmp_path / name / "y.json").write_text('[{"id": "good", "retweet_count": 1}]')
+        return sorted(r["id"] for r in I.read_json_array(spark, str(tmp_path / name), POST).collect())
+
+    assert read("array", ' \n[{"id": "a"}, null, {"id": "b"}]') == ["a", "b", "good"]
+    for name, text in (("object", '{"id": "a"}'), ("string", '"just text"'), ("null", "null"), ("empty", ""), ("blank", " \n"), ("none", "[]")):
+        assert read(name, text) == ["good"]
+    for name, text in (("type", '[{"id": "a", "retweet_count": "many"}, {"id": "b"}]'), ("cut", '[{"id": "a"}, {"id": '), ("text", "no json")):
+        with pytest.raises(Exception):
+            read(name, text)
+
+
+def test_search_history_keeps_null_queries(spark):
+    path = scratch_path(spark, "t-history")
+    E.append_search(spark, path, "gold", 20, "Top", 3)
+    rows = spark.createDataFrame([(None, 5, "Latest", 0), ("tin", 1, None, 1)], "query string, count int, product string, fetched_count bigint")
+    E.append_searches(rows, path)
+    E.append_searches(rows.limit(0), path)
+    back = [tuple(r)[:4] for r in spark.read.parquet(path).collect()]
+    assert sorted(back, key=str) == sorted([("gold", 20, "Top", 3), (None, 5, "Latest", 0), ("tin", 1, None, 1)], key=str)
+
+
 def test_packing(spark):
     texts = ["x" * 99, "x" * 100, "é" * 50, "", None, 'a "b" c ' * 100]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
