@@ -6,8 +6,8 @@ of mail addresses. A value is read as a number below the count of its form's val
 values outside are permuted again until one falls inside), and check digits are worked out anew. The key and the form
 fix the permutation, so equal values have equal pseudonyms in every document, however they are spaced.
 
-Defined results: null stays null, empty stays empty; texts are read whole; what breaks its form's rules is left alone;
-equal rows give equal results; an empty table gives an empty table; input columns that have the name of a new one are
+Defined results: null stays null, empty stays empty; texts are read whole; what breaks the rules of every form it has, at
+all lengths that end between words, is left alone, and the next place is tried; equal rows give equal results; an empty table gives an empty table; input columns that have the name of a new one are
 replaced.
 """
 
@@ -22,20 +22,34 @@ from pyspark.sql import DataFrame, types as T
 
 from postlake.llm.arrow import batch_of, map_slices
 
-KINDS = ("mail", "iban", "date", "ip", "ssn", "card", "phone")
 ROUNDS = 10
 _MAYBE = re.compile(r"[0-9]{2}|@")
-_FORMS = re.compile(
-    r"(?P<mail>(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*)@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2}))"
-    r"|(?<![\w])(?:"
-    r"(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
-    r"|(?P<date>[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}(?![\w]|[-/.][0-9])|[0-9]{1,2}(?P<z>[-/.])[0-9]{1,2}(?P=z)[0-9]{4}(?![\w]|[-/.][0-9]))"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9]))"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[ -][0-9]))"
-    r")|(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-])*[0-9]{3,5}(?![\w]|[.-][0-9]))",
-    re.ASCII,
-)
+_MAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*)@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2})", re.ASCII)
+
+
+def _forms(after: str, *shapes: str) -> tuple[re.Pattern, list[re.Pattern]]:
+    return re.compile(after, re.ASCII), [re.compile(s, re.ASCII) for s in shapes]
+
+
+#: Per form what may not follow it, and its shapes. Cards in their usual groups and the other strict forms are looked for
+#: first, cards in odd groups and telephone numbers between them; so these do not run into a value of a strict form.
+_STRICT = {
+    "iban": _forms(r"[A-Za-z0-9]", r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"),
+    "ip": _forms(r"\w|\.[0-9]", r"(?<!\w)[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
+    "date": _forms(r"\w|[-/.][0-9]", r"(?<!\w)(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<z>[-/.])[0-9]{1,2}(?P=z)[0-9]{4})"),
+    "ssn": _forms(r"\w|-[0-9]", r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "card": _forms(r"\w", r"(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])(?:[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?:(?P=s)[0-9]{3})?|[0-9]{6}(?P=s)[0-9]{4,5}))"),
+}
+_LOOSE = {
+    "card": _forms(r"\w", r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}"),
+    "phone": _forms(
+        r"\w|[.-][0-9]",
+        r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}",
+        r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){0,7}[0-9]{3,5}",
+    ),
+}
+_STRICT_START = re.compile(r"(?<!\w)(?:[0-9]{1,6}[-/. ][0-9]|[0-9]{13}|[A-Z]{2}[0-9]{2}[ A-Z0-9])", re.ASCII)
+_LOOSE_START = re.compile(r"(?<!\w)(?:\+[0-9]|\+?\([0-9]{2,4}\)|[0-9]{1,18}[ .-][0-9]|[0-9]{13})", re.ASCII)
 _DAY_ZERO = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _DAY_ZERO + 1
 
@@ -195,19 +209,46 @@ def _mail(p: Permuter, text: str) -> str | None:
 _RULES = {"mail": _mail, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+def _value_at(permuter: Permuter, text: str, start: int, high: int, forms: dict) -> tuple[str, int, int, str] | None:
+    """The first form, and the longest value of its first shape, that holds up at one place: kind, start, end, pseudonym."""
+    for kind, (after, shapes) in forms.items():
+        for shape in shapes:
+            m = shape.match(text, start, high)
+            for end in range(m.end() if m else 0, start, -1):
+                if text[end - 1].isalnum() and not after.match(text, end) and shape.fullmatch(text, start, end):
+                    new = _RULES[kind](permuter, text[start:end])
+                    if new is not None:
+                        return kind, start, end, new
+    return None
+
+
+def _values(permuter: Permuter, text: str, taken: list[tuple], starts: re.Pattern, forms: dict) -> list[tuple]:
+    """``taken`` and the values between them; where none holds up the next place is tried."""
+    out, at = [], 0
+    for after in [*taken, (None, len(text), len(text), "")]:
+        high = after[1]
+        while m := starts.search(text, at, high):
+            value = _value_at(permuter, text, m.start(), high, forms)
+            at = value[2] if value else m.start() + 1
+            if value:
+                out.append(value)
+        out.append(after)
+        at = after[2]
+    return out[:-1]
+
+
 def pseudonymize(permuter: Permuter, text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what they replace, in code points of the input."""
     if not _MAYBE.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for m in _FORMS.finditer(text):
-        kind = next(k for k in KINDS if m.group(k) is not None)
-        new = _RULES[kind](permuter, m[0])
-        if new is not None:
-            out += [text[at:m.start()], new]
-            at = m.end()
-            spans.append((kind, m.start(), m.end()))
-    return "".join(out) + text[at:] if spans else text, spans
+    found = [("mail", m.start(), m.end(), _mail(permuter, m[0])) for m in _MAIL.finditer(text)]
+    found = _values(permuter, text, found, _STRICT_START, _STRICT)
+    found = _values(permuter, text, found, _LOOSE_START, _LOOSE)
+    out, at = [], 0
+    for _, start, end, new in found:
+        out += [text[at:start], new]
+        at = end
+    return "".join(out) + text[at:], [f[:3] for f in found]
 
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

@@ -219,3 +219,45 @@ def test_pseudonyms(spark, texts):
     rows = QUERIES["op10_pseudonyms"](spark, SF).collect()
     for r in rows:
         assert (r.text, r.n_replaced) == (lambda n: (n[0], len(n[1])))(pii.pseudonymize(pii.Permuter(PII_KEY), texts[r.doc_id]))
+
+
+def clear_values(text: str) -> list[tuple[int, int]]:
+    """Brute force over all places, lengths and forms: what is a valid card, IPv4 address, security number or telephone number."""
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0 and len(set(d)) > 1
+
+    out = []
+    for i in range(len(text)):
+        for j in range(i + 7, min(len(text), i + 45) + 1):
+            before, s, after = text[:i][-1:], text[i:j], text[j:j + 2]
+            if before.isalnum() or after[:1].isalnum() or not s[-1].isdigit():
+                continue
+            d, joined = re.sub("[^0-9]", "", s), after[1:].isdigit()
+            parts = s.split(".")
+            card = re.fullmatch("[0-9]([ -]?[0-9])+", s) and 13 <= len(d) <= 19 and luhn(d)
+            ip = re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s) and all(x == str(int(x)) and int(x) < 256 for x in parts) and not (after[:1] == "." and joined)
+            ssn = re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", s) and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000" and not (after[:1] == "-" and joined)
+            phone = re.fullmatch(r"(\+1 )?\([0-9]{3}\) [0-9]{3}-[0-9]{4}", s) and before != "." and not (after[:1] in list(".-") and joined)
+            if card or ip or ssn or phone:
+                out.append((i, j))
+    return out
+
+
+def test_no_value_in_clear():
+    """Values next to other numbers: what a form refuses does not hide what stands in it or behind it."""
+    p = pii.Permuter(b"key")
+    for text, kinds in {
+        "+1 (826) 555-4081 190.137.223.204": ["phone", "ip"], "7536784127813050 4845168114407329": ["card", "card"],
+        "4111 1111 1111 1111 12/27": ["card"], "4111 1111 1111 1111 123": ["card"], "qty 2 4111 1111 1111 1111": ["card"],
+        "AT61 1904 3002 3457 3201 HELP": ["iban"], "+1 (826) 555-4081 12 345": ["phone"],
+    }.items():
+        assert [k for k, _, _ in pii.pseudonymize(p, text)[1]] == kinds, text
+    alone = pii.pseudonymize(p, "4111 1111 1111 1111")[0]
+    assert alone + " 12/27" == pii.pseudonymize(p, "4111 1111 1111 1111 12/27")[0]
+    rng = np.random.default_rng(3)
+    pieces = ["4111 1111 1111 1111", "4111111111111111", "378282246310005", "4111-1111-1111-1111", "190.137.223.204", "+1 (826) 555-4081", "(826) 555-4081",
+              "078-05-1120", "300.1.1.1", "4111111111111112", "666-12-3456", "2", "123", "12/27", "2023-02-29", "a1", "0.5", "99999"]
+    for _ in range(1500):
+        text = "".join(str(x) + str(rng.choice([" ", " ", ", ", "-", ".", "\n"])) for x in rng.choice(pieces, rng.integers(2, 6)))
+        spans = pii.pseudonymize(p, text)[1]
+        assert not [text[i:j] for i, j in clear_values(text) if all(e <= i or j <= s for _, s, e in spans)], (text, spans)
