@@ -7,8 +7,8 @@ values outside are permuted again until one falls inside), and check digits are
 fix the permutation, so equal values have equal pseudonyms in every document, however they are spaced.
 
 Defined results: null stays null, empty stays empty; texts are read whole; what breaks the rules of every form it has, at
-all lengths that end between words, is left alone, and the next place is tried; equal rows give equal results; an empty table gives an empty table; input columns that have the name of a new one are
-replaced.
+all lengths that end between words, is left alone, and the next place is tried; equal rows give equal results; an empty
+table gives an empty table; input columns that have the name of a new one are replaced.
 """
 
 from __future__ import annotations
@@ -45,11 +45,15 @@ _LOOSE = {
     "phone": _forms(
         r"\w|[.-][0-9]",
         r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}",
-        r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){0,7}[0-9]{3,5}",
+        r"(?<![\w.])\+(?:1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{8,15})",
+        r"(?<![\w.])\+[0-9]{1,15}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{1,12}|[ .-][0-9]{1,12}){0,14}",
+        r"(?<![\w.])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){0,7}[0-9]{3,8}",
     ),
 }
 _STRICT_START = re.compile(r"(?<!\w)(?:[0-9]{1,6}[-/. ][0-9]|[0-9]{13}|[A-Z]{2}[0-9]{2}[ A-Z0-9])", re.ASCII)
 _LOOSE_START = re.compile(r"(?<!\w)(?:\+[0-9]|\+?\([0-9]{2,4}\)|[0-9]{1,18}[ .-][0-9]|[0-9]{13})", re.ASCII)
+#: Country codes that are not of three digits.
+_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
 _DAY_ZERO = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _DAY_ZERO + 1
 
@@ -184,8 +188,9 @@ def _phone(p: Permuter, text: str) -> str | None:
     digits = _only_digits(text)
     if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+([0-9]{1,3})(?![0-9])", text)
-    keep = len(code[1]) if code else 0
+    # The country code stays; it is read from the digits, so that spacing makes no difference.
+    code = _CODE.match(digits)
+    keep = (len(code[0]) if code else 3) if text[0] == "+" else 0
     if len(digits) - keep < 6:
         return None
     return _refill(text, digits[:keep] + p.digits(digits[keep:], "phone"))

@@ -261,3 +261,16 @@ def test_no_value_in_clear():
         text = "".join(str(x) + str(rng.choice([" ", " ", ", ", "-", ".", "\n"])) for x in rng.choice(pieces, rng.integers(2, 6)))
         spans = pii.pseudonymize(p, text)[1]
         assert not [text[i:j] for i, j in clear_values(text) if all(e <= i or j <= s for _, s, e in spans)], (text, spans)
+
+
+def test_phone_forms():
+    """International and national numbers in any grouping; equal numbers have equal pseudonyms."""
+    p = pii.Permuter(b"key")
+    for text in ("+14155550123", "+1 4155550123", "+49 30 1234567", "+49301234567", "030 12345678", "0171-1234567", "(030) 12345678", "+44 (20) 79460958", "+358 9 1234567", "+33 1 23 45 67 89"):
+        new, spans = pii.pseudonymize(p, f"call {text}, now")
+        assert spans == [("phone", 5, 5 + len(text))] and new != f"call {text}, now", text
+    same = {re.sub("[^0-9+]", "", pii.pseudonymize(p, t)[0]) for t in ("+14155550123", "+1 4155550123", "+1 (415) 555-0123", "+1-415-555-0123")}
+    assert len(same) == 1 and same.pop().startswith("+1")
+    assert pii.pseudonymize(p, "+14155550123 2024")[0] == pii.pseudonymize(p, "+14155550123")[0] + " 2024"
+    for text in ("+1234567", "+1234567890123456", "12 345 67"):
+        assert pii.pseudonymize(p, text) == (text, [])
