@@ -3,7 +3,7 @@
 Rows are dealt into blocks of bounded size; a block holds a forest: per tree one sorted array of long hash strings (the
 sides of random hyperplanes through the mean of a sample). A query descends in every tree to its longest matching
 prefix and then ascends in all trees at once, one character at a time, until the prefixes of that length hold the
-wanted number of entries; these candidates are compared exactly. Queries, in blocks too, visit every block of rows.
+wanted number of entries, all rows of one id counting as one; these candidates are compared exactly. Queries, in blocks too, visit every block of rows.
 
 How many entries are wanted, as a share of a block, is fitted once on a bounded sample against brute force, so that the
 sample's recall reaches ``TARGET``: little for vectors with structure, much for vectors that are all equally far apart.
@@ -41,12 +41,18 @@ def planes(dimension: int) -> np.ndarray:
 class Forest:
     """Sorted arrays of hash strings over one block."""
 
-    def __init__(self, vectors: np.ndarray, centre: np.ndarray):
+    def __init__(self, vectors: np.ndarray, centre: np.ndarray, ids: np.ndarray):
+        self.ids = ids
+        named, self.number, copies = np.unique(ids, return_inverse=True, return_counts=True)
+        self.named = len(named)
         self.vectors, self.centre, self.planes = vectors, centre, planes(vectors.shape[1])
         self.norms = (vectors * vectors).sum(1)
         hashes = self.hashes(vectors)
         self.order = np.argsort(hashes, axis=1, kind="stable")
         self.strings = np.take_along_axis(hashes, self.order, 1)
+        # All rows of an id weigh 1 together, so a range never weighs more than it has ids.
+        weights = (1 / copies)[self.number][self.order]
+        self.sums = np.concatenate([np.zeros((TREES, 1)), np.cumsum(weights, axis=1)], axis=1)
 
     def hashes(self, vectors: np.ndarray) -> np.ndarray:
         """Per tree and vector one string of BITS signs, as a number."""
@@ -62,13 +68,14 @@ class Forest:
                 np.stack([np.searchsorted(s, x) for s, x in zip(self.strings, high, strict=True)]))
 
     def candidates(self, queries: np.ndarray, wanted: float) -> list[np.ndarray]:
-        """Per query the rows below the longest common prefixes that hold ``wanted`` entries over all trees."""
+        """Per query the rows below the longest common prefixes that hold ``wanted`` entries over all trees, an id counting once a tree."""
         strings = self.hashes(queries)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
         left = np.arange(len(queries))
         for length in range(BITS, -1, -1):
             low, high = self.ranges(strings[:, left], length)
-            done = (high - low).sum(0) >= wanted if length else np.ones(len(left), bool)
+            weight = (np.take_along_axis(self.sums, high, 1) - np.take_along_axis(self.sums, low, 1)).sum(0)
+            done = weight >= wanted if length else np.ones(len(left), bool)
             for i in np.flatnonzero(done).tolist():
                 seen = np.zeros(len(self.vectors), bool)
                 for t in range(TREES):
@@ -82,24 +89,32 @@ class Forest:
     def distances(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.vectors[rows] - query) ** 2).sum(1))
 
-    def nearest(self, query: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest of some rows, by exact distance and id; an id counts once."""
         rough = self.norms[rows] - 2 * (self.vectors[rows] @ query)
         if len(rows) > 4 * k:
-            # Room for rounding, and for ids that come more than once.
-            edge = np.partition(rough, 4 * k)[4 * k]
-            rows = rows[rough <= edge + 1e-9 * (abs(edge) + self.norms[rows].max() + (query * query).sum())]
+            # Each id by its nearest row, before the ids are cut down; with room for rounding.
+            room = 2e-9 * (self.norms[rows].max() + (query * query).sum())
+            best = np.full(self.named, np.inf)
+            np.minimum.at(best, self.number[rows], rough)
+            edge = np.partition(best, 4 * k)[4 * k] if self.named > 4 * k else np.inf
+            rows = rows[rough <= np.minimum(best[self.number[rows]], edge) + room]
         exact = self.distances(query, rows)
-        order = np.lexsort((ids[rows], exact))
-        _, lead = np.unique(ids[rows][order], return_index=True)
+        order = np.lexsort((self.ids[rows], exact))
+        _, lead = np.unique(self.ids[rows][order], return_index=True)
         order = order[np.sort(lead)][:k]
-        return ids[rows][order], exact[order]
+        return self.ids[rows][order], exact[order]
+
+
+def least(k: int) -> int:
+    """Entries over all trees that are sure to hold k ids besides the query's own."""
+    return TREES * (k + 1)
 
 
 def fit(vectors: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-    """The mean of the sample, and the wanted entries per row of a block."""
+    """The mean of a sample with one row of each id, and the wanted entries per id of a block."""
     centre = vectors.mean(0)
-    forest, n = Forest(vectors, centre), len(vectors)
+    forest, n = Forest(vectors, centre, np.arange(len(vectors))), len(vectors)
     tried = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_QUERIES)).astype(int))
     truth = []
     for i in tried:
@@ -109,7 +124,7 @@ def fit(vectors: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     total = sum(map(len, truth))
     share = 0.01
     while share < TREES:
-        found = forest.candidates(vectors[tried], max(share * n, 2 * k))
+        found = forest.candidates(vectors[tried], max(share * n, least(k)))
         hit = sum(len(t & set(c.tolist())) for t, c in zip(truth, found, strict=True))
         if hit >= TARGET * total:
             break
@@ -127,7 +142,10 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
     schema = "query_id long, vec_id long, score double"
     fitted = {}
     for d in counts:
-        sample = rows.filter(F.col("dimension") == d).orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE_ROWS).toArrow()
+        own = rows.filter(F.col("dimension") == d)
+        named = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+        once = own.join(F.broadcast(named), "id").groupBy("id").agg(F.min("v").alias("v"))
+        sample = once.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE_ROWS).toArrow()
         flat = sample.column("v").combine_chunks().values.to_numpy(zero_copy_only=False)
         fitted[d] = fit(flat.reshape(-1, d), k)
     known = spark.sparkContext.broadcast(fitted)
@@ -138,10 +156,10 @@ def search(table: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id
         centre, share = known.value[key[0]]
         vectors, ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
         asked, names = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
-        forest = Forest(vectors, centre)
+        forest = Forest(vectors, centre, ids)
         out = []
-        for q, name, found in zip(asked, names, forest.candidates(asked, max(share * len(ids), 2 * k)), strict=True):
-            near, score = forest.nearest(q, found[ids[found] != name], ids, k) if len(found) else (found, found)
+        for q, name, found in zip(asked, names, forest.candidates(asked, max(share * forest.named, least(k))), strict=True):
+            near, score = forest.nearest(q, found[ids[found] != name], k) if len(found) else (found, found)
             out.append(pd.DataFrame({"query_id": np.full(len(near), name, np.int64), "vec_id": near.astype(np.int64), "score": score.astype(np.float64)}))
         return pd.concat(out)
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, decontaminate, html, jaccard, pii, secrets, suffix
+from postlake.llm import bpe, decontaminate, html, jaccard, neighbours, pii, secrets, suffix
 from postlake.llm.queries import ORACLES, PII_KEY, QUERIES, tokenizer_path
 
 SF = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
@@ -274,3 +274,24 @@ def test_phone_forms():
     assert pii.pseudonymize(p, "+14155550123 2024")[0] == pii.pseudonymize(p, "+14155550123")[0] + " 2024"
     for text in ("+1234567", "+1234567890123456", "12 345 67"):
         assert pii.pseudonymize(p, text) == (text, [])
+
+
+def test_neighbours_hot_id(spark):
+    """One id on a third of the rows, near the queries and all at the same or at slightly different places."""
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(800, 16))
+    hot = vectors[0] + 0.01 * rng.normal(size=(400, 16)) * (np.arange(400) % 2)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(5001, v.tolist()) for v in hot]
+    got: dict[int, list] = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 100, 200)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 100, 200):
+        near = {v: min(np.linalg.norm(hot - vectors[q], axis=1)) if v == 5001 else np.linalg.norm(vectors[v] - vectors[q]) for v in [*range(800), 5001] if v != q}
+        found = sorted(got[q])
+        assert [f[0] for f in found] == list(range(1, 11)) and all(abs(near[v] - s) < 1e-9 for _, v, s in found)
+        assert len({f[1] for f in found} & set(sorted(near, key=near.get)[:10])) >= 9
+    # All rows of a block as candidates: none is lost to the rough cut.
+    forest = neighbours.Forest(np.array([r[1] for r in rows]), vectors.mean(0), np.array([r[0] for r in rows]))
+    ids, _ = forest.nearest(vectors[0], np.arange(1, len(rows)), 10)
+    near = {v: np.linalg.norm(vectors[v] - vectors[0]) for v in range(1, 800)} | {5001: min(np.linalg.norm(hot - vectors[0], axis=1))}
+    assert ids.tolist() == sorted(near, key=near.get)[:10]
