@@ -29,6 +29,9 @@ EPOCHS, RATE, DECAY = 30, 0.2, 1e-4
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _UNSEEN = {"script", "style", "noscript", "template", "textarea", "svg", "head", "title", "select", "option", "iframe", "object", "canvas", "math"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in _RAW}
+#: What may stand in a head; any other start tag, or text, ends one that is still open.
+_HEAD = set("html head title base link meta style script noscript template basefont bgsound noframes".split())
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -73,11 +76,17 @@ def blocks(page: str) -> list[Block]:
         text.clear()
         linked = 0
 
-    at, unseen, lower = 0, 0, page.lower()
+    at, unseen = 0, 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = (m[2] or "").lower()
+        if unseen and not m[1] and (tag not in _HEAD if tag else not m[0].startswith(("<!", "<?")) and m[0].strip()):
+            depth = next((i for i, s in enumerate(stack) if s[0] == "head"), None)
+            if depth is not None and all(t != "template" for t, _ in stack[depth:]):
+                close()
+                del stack[depth:]
+                unseen = sum(t in _UNSEEN for t, _ in stack)
         if not tag:
             if not m[0].startswith(("<!", "<?")) and not unseen:
                 text.append(m[0])
@@ -110,10 +119,10 @@ def blocks(page: str) -> list[Block]:
             continue
         names = frozenset(w.lower() for a in _ATTRIBUTE.finditer(m[3]) for w in _NAME.findall(a[2])) if m[3] else frozenset()
         if tag in _RAW:
-            end = lower.find(f"</{tag}", at)
-            if end < 0 and tag != "title":
+            end = _RAW_END[tag].search(page, at)
+            if not end and tag != "title":
                 return out  # never closed: the rest is raw
-            shut = lower.find(">", max(end, at))
+            shut = page.find(">", end.start() if end else at)
             at = len(page) if shut < 0 else shut + 1
             continue
         stack.append((tag, names))

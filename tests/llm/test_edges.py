@@ -75,3 +75,13 @@ def test_stages_keep_columns(spark):
         assert after.columns == docs.columns and after.dtypes == docs.dtypes
         before = after
     assert P.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_open_heads_and_dotted_capitals():
+    read = lambda page: [b.text for b in html.blocks(page)]
+    assert read("İ" * 5 + "<script>x</script>Hello world") == ["İ" * 5, "Hello world"]
+    assert read("<p>İİİİ</p><STYLE>a</Style><iframe>b</IFRAME><p>Text</p><script>if (a</x) code()</script>") == ["İİİİ", "Text"]
+    assert read("<html><head><title>t</title><meta charset=x><article><h1>Head</h1><p>Text</p></article>") == ["Head", "Text"]
+    assert read("<head><link href=x><template><p>no</p></template><script>x</script><p>Text<p>more") == ["Text", "more"]
+    assert read("<head><title>t</title>\n<!-- c --> Text <b>bold</b></html>") == ["Text bold"]
+    assert read("<head><title>t</title></head><body><p>Text</body>") == ["Text"]
