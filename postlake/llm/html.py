@@ -7,7 +7,7 @@ and comments inside); each is seen twice, once as it is and once with these mark
 blocks, so that the other features carry weight too. Decoding is by Viterbi.
 
 Defined results: null and empty pages have no text; script, style and other unseen content is never a block; pages are
-read whole; without a page to learn from the built-in rules label the blocks; equal rows give equal results; an empty
+read whole; without a page to learn from fixed weights of the same features take the field's place; equal rows give equal results; an empty
 table gives an empty table; input columns that have the name of a new one are replaced.
 """
 
@@ -180,6 +180,18 @@ class Field(NamedTuple):
     change: np.ndarray
 
 
+#: For tables without a page to learn from: names, tags, share of links, length and sentence ends, set by hand.
+DEFAULT = Field(
+    {
+        "one": -1.5, "marked": 1.0, "marked&plain": 1.5, "aside": -4.0, "marked&aside": -1.0, "sign": -2.0,
+        "link:0": 0.5, "link:1": 0.0, "link:2": -1.5, "link:3": -2.5, "link:4": -3.0, "end:True": 0.6, "end:False": -0.4,
+        **{f"words:{n}": min(-1.5 + 0.7 * n, 2.5) for n in range(40)}, **{f"own:{t}": 1.0 for t in ("p", "h1", "h2", "h3", "blockquote", "pre")},
+        "own:h1": 1.5, "own:p&words:True&end:True": 0.8,
+    },
+    np.array([[0.6, -0.6], [-0.6, 0.6]]),
+)
+
+
 def _forward(unary: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of each label and expected pairs of labels of one page."""
     n = len(unary)
@@ -231,8 +243,9 @@ def train(pages: list[list[Block]]) -> Field | None:
 
 def decode(field: Field | None, page: list[Block]) -> list[int]:
     """The likeliest labels (Viterbi)."""
-    if not page or field is None:
-        return [by_rule(b) for b in page]
+    if not page:
+        return []
+    field = field or DEFAULT
     unary = [sum(field.weights.get(f, 0.0) for f in fs) for fs in features(page)]
     (a, b), (c, d) = field.change.tolist()
     zero, one, back = 0.0, unary[0], []

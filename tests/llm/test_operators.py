@@ -295,3 +295,21 @@ def test_neighbours_hot_id(spark):
     ids, _ = forest.nearest(vectors[0], np.arange(1, len(rows)), 10)
     near = {v: np.linalg.norm(vectors[v] - vectors[0]) for v in range(1, 800)} | {5001: min(np.linalg.norm(hot - vectors[0], axis=1))}
     assert ids.tolist() == sorted(near, key=near.get)[:10]
+
+
+def test_no_page_to_learn_from(spark):
+    """A table in which no page marks its article gets its texts all the same."""
+    from collections import Counter
+
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    bare = [(i, re.sub("(</?)(article|main)\\b", r"\1div", p)) for i, p in pages]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(bare, "page_id long, html string")).collect()}
+    hits = found = wanted = 0
+    for i, p in pages:
+        want = Counter(" ".join(b.text for b in html.blocks(p) if html.by_rule(b)).split())
+        text = Counter(got[i].split())
+        hits, found, wanted = hits + (want & text).total(), found + text.total(), wanted + want.total()
+    assert hits >= 0.95 * wanted and hits >= 0.95 * found
+    long = "<p>" + "</p><p>".join(["A longer sentence that stands in the text of the page, as it goes on and on."] * 4) + "</p>"
+    page = f"<nav><a href=x>Home</a></nav><div class=post><h1>Head of it</h1>{long}</div><div class=sidebar><p>See also this one, too.</p></div><footer>&copy; me</footer>"
+    assert html.main_text(None, page) == " ".join(b.text for b in html.blocks("<h1>Head of it</h1>" + long))
