@@ -79,17 +79,28 @@ def score_stream(stream: DataFrame, method: str = "vader", lexicon=None) -> Data
 def bounded_intake(stream: DataFrame, arrival: str, order: str, cap: int) -> DataFrame:
     """Every row that arrives, with ``admitted``: 1 for the first ``cap`` of each arrival, by ``order``.
 
-    An arrival (one filling of the queue) has to come in one micro-batch, and ``order`` has to be
-    unique in it; rows without one are turned away. Places are given out on (arrival, order) alone,
-    cut down by rank before the shuffle; whole rows are only compared with the last place given.
+    An arrival (one filling of the queue) may be spread over micro-batches: each gives out, by
+    ``order``, the places that earlier ones have left. ``order`` has to be unique in an arrival; rows
+    without one are turned away. Places are given out on (arrival, order) alone, cut down by rank
+    before the shuffle, and kept as one row per arrival and batch; whole rows are only compared with
+    the last place given.
     """
-    path = scratch_path(stream.sparkSession, "intake")
+    spark = stream.sparkSession
+    path, places = scratch_path(spark, "intake"), scratch_path(spark, "intake-places")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rank = F.row_number().over(Window.partitionBy("_arrival").orderBy("_order"))
         asked = batch.filter(F.col(order).isNotNull()).select(F.col(arrival).alias("_arrival"), F.col(order).alias("_order"))
         placed = asked.withColumn("_rank", rank).filter(F.col("_rank") <= cap)
-        last = placed.groupBy("_arrival").agg(F.max("_order").alias("_last"))
+        kept = placed.groupBy("_arrival").agg(F.max("_order").alias("_last"), F.count("*").alias("_given")).schema
+        if batch_id:
+            # A batch that is run again sees the same earlier ones.
+            before = spark.read.schema(with_batch(kept)).parquet(places).filter(F.col("batch_id") < batch_id)
+            used = before.groupBy(F.col("_arrival").alias("_known")).agg(F.sum("_given").alias("_used"))
+            placed = placed.join(used, F.col("_arrival").eqNullSafe(F.col("_known")), "left")
+            placed = placed.filter(F.col("_rank") <= cap - F.coalesce("_used", F.lit(0)))
+        batch_writer(places)(placed.groupBy("_arrival").agg(F.max("_order").alias("_last"), F.count("*").alias("_given")), batch_id)
+        last = spark.read.schema(kept).parquet(f"{places}/batch_id={batch_id}").drop("_given")
         admitted = F.coalesce(F.col(order) <= F.col("_last"), F.lit(False)).cast("int")
         judged = batch.join(last, F.col(arrival).eqNullSafe(F.col("_arrival")), "left")
         batch_writer(path)(judged.select(*batch.columns, admitted.alias("admitted")), batch_id)

@@ -1,5 +1,6 @@
 """Streams that arrive in several micro-batches, some of them after a restart."""
 
+import os
 import random
 
 import pytest
@@ -79,6 +80,32 @@ def test_dedup_upsert_intake(spark):
     assert sorted((r["id"], r["seq"], r["grp"], r["admitted"]) for r in taken) == sorted((*r, int(r[1] % 60 < 45)) for r in rows)
 
 
+def test_intake_over_batches(spark):
+    """Arrivals that are spread over several micro-batches get their places once."""
+    rows = [(i, i, None if i // 60 == 2 else i // 60) for i in range(240)]
+    df = spark.createDataFrame(rows, "id bigint, seq bigint, grp bigint")
+    path = arrive(spark, df, "seq", 9)
+    taken = J.bounded_intake(stream_files(spark, path, df.schema, max_files=1), "grp", "seq", 32).collect()
+    assert sorted((r["seq"], r["admitted"]) for r in taken) == [(i, int(i % 60 < 32)) for i in range(240)]
+
+
+def test_intake_query_over_batches(spark, monkeypatch):
+    """The registered query with its events in five files, one to a micro-batch, gives what a single file gives."""
+    from postlake.plans import streams
+    from postlake.plans.registry import load_all
+
+    sf = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
+    events, run = spark.read.parquet(f"{sf}/events.parquet"), load_all()["stream_bounded_intake"]
+    folder = scratch_path(spark, "t-intake")
+    rows, size = events.orderBy("event_id").collect(), -(-events.count() // 5)
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], events.schema).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    monkeypatch.setattr(J, "bounded_intake", lambda s, a, o, cap, f=J.bounded_intake: f(s, a, o, 7))
+    whole = sorted(map(tuple, run(spark, sf).collect()))
+    monkeypatch.setattr(streams, "stream_files", lambda spark, path, schema, *_: stream_files(spark, path, schema, max_files=1))
+    assert sorted(map(tuple, run(spark, folder).collect())) == whole and {r[2] for r in whole} == {0, 1}
+
+
 def test_streams_without_a_batch(spark):
     schema = spark.createDataFrame([], "id bigint, seq bigint, grp bigint").schema
     path = scratch_path(spark, "t-empty")
