@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlake.llm import bpe, decontaminate, html, jaccard, lines, neighbours, pii, secrets, suffix, toxicity
+from postlake.llm import (
+    bpe, byte_bpe, decontaminate, fim, html, jaccard, lines, neighbours, pii, runs, secrets, suffix, toxicity,
+)
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 #: A user brings a key of their own; with this one the registered query is repeatable.
 PII_KEY = b"postlake-demonstration-key"
 
@@ -17,6 +20,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def byte_ranks() -> tuple[str, str]:
+    """The rank file and the pattern that cuts texts for it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -69,6 +79,18 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(_texts(spark, sf_dir), PII_KEY).select("doc_id", "n_replaced", "pii_spans", "text")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_texts(spark, sf_dir))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_texts(spark, sf_dir), *byte_ranks())
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_texts(spark, sf_dir))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -80,6 +102,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_main_text": op9_main_text,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
@@ -131,4 +156,20 @@ ORACLES = {
     SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
     FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_fill_in_middle": r"""
+    WITH l AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+        sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    d AS (
+      SELECT doc_id, text, ls, len(ls)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(ls) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(ls) + 1) AS c2,
+        ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM l),
+    p AS (
+      SELECT doc_id, text, n, array_to_string(ls[1:least(c1, c2)], '') AS a, array_to_string(ls[least(c1, c2) + 1:greatest(c1, c2)], '') AS b,
+        array_to_string(ls[greatest(c1, c2) + 1:n], '') AS c,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 100 THEN 'plain'
+          WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+        ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+      sha256(CASE form WHEN 'plain' THEN text ELSE a || b || c END) AS restored_sha256 FROM p""",
 }
