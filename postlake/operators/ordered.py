@@ -1,88 +1,353 @@
-"""Ordered computations per key that never gather a whole key in one task.
+"""Ordered state per key as a segmented scan over one range shuffle.
 
-Rows are range-partitioned by (key, order); each range is a *slice* and a busy key simply owns
-many of them. Running values are first computed inside (key, slice) and stored; what a slice must
-know about the rows before it comes from one small row per (key, slice).
+Rows are range-partitioned by (key, order); each range is a *slice* and a busy key simply owns many of them. A slice is
+read in order twice, from the same shuffle files. The first reading turns the rows of its first and of its last key into
+a *state*, an element of an associative operation (the key may go on in another slice only at these two places). The
+states, two per slice at most, are folded in order of the slices, and the second reading starts each slice with what all
+earlier slices of its first key come to. No key stands in one task, no rows are stored, and nothing runs before the
+result is asked for.
+
+Both readings have to see the same slices. The range exchange is dealt by all columns, so that both plans need the same
+ones below it and the engine reuses the exchange; and every slice compares its first row with the one that the first
+reading saw, so a plan that would not reuse it ends in an error and never in a wrong result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+import pickle
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+#: Bytes of input for one slice, and the bytes of states that all slices together may broadcast.
+SLICE_BYTES, CARRY_BYTES = 64 << 20, 256 << 20
 
-from postlake.session import shared_base
 
-SLICE = "_slice"
-POSITION = "_pos"
+class Scan:
+    """What a segmented scan computes.
 
-#: Columns to add, each made from the window it may look through.
-Step = dict[str, Callable[[WindowSpec], Column]]
+    ``run`` takes the state of the rows before (None: there are none) and the columns of some rows of one or more keys;
+    ``starts`` are the places where a key begins (a first row that goes on with the key of ``state`` is not one of them).
+    It returns the new columns and the state of the last key. ``join`` puts the states of two stretches of a key together.
+    """
 
+    columns: tuple[str, ...] = ()
+    fields: tuple[T.StructField, ...] = ()
+    #: An upper bound of a pickled state.
+    state_bytes = 400
 
-def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], *steps: Step, slices: int | None = None) -> DataFrame:
-    """Range-partition, number the ranges and add running columns inside each (key, slice).
+    def run(self, state, columns: dict[str, pa.Array], starts: np.ndarray, n: int):
+        raise NotImplementedError
+
+    def join(self, first, second):
+        raise NotImplementedError
+
+
+def begins(starts: np.ndarray, n: int) -> np.ndarray:
+    """For each row the place where its key begins; 0 for rows that go on with an earlier key."""
+    edge = np.zeros(n, np.int64)
+    edge[starts] = starts
+    return np.maximum.accumulate(edge)
 
-    The checkpoint makes the slice numbers data: two branches of a plan, or a recomputed task, must
-    not see different range bounds. It also stores the running columns, so that the totals and the
-    rows are both read from it. ``order`` has to end in a unique column so that ties can be split.
-    """
-    shared_base(df.sparkSession)
-    columns = [*keys, *order]
-    ranged = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
-    out = ranged.withColumn(SLICE, F.spark_partition_id())
-    running = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for step in steps:
-        out = out.withColumns({name: make(running) for name, make in step.items()})
-    return out.checkpoint()
 
+def going_on(starts: np.ndarray, n: int) -> int:
+    """How many leading rows go on with the key before."""
+    return int(starts[0]) if len(starts) else n
 
-def position(running: WindowSpec) -> Column:
-    """1-based position inside the slice."""
-    return F.count(F.lit(1)).over(running)
 
+class Position(Scan):
+    """1-based position of a row within its key."""
 
-def carry_over(sliced: DataFrame, keys: Sequence[str], totals: dict[str, Column], *steps: Step, keep: Sequence[str]) -> DataFrame:
-    """Add ``keep`` columns to every row, worked out on one row per (key, slice).
+    def __init__(self, name: str = "rn"):
+        self.fields = (T.StructField(name, T.LongType()),)
 
-    ``totals`` aggregates a slice; the steps see the totals and, through their window, those of the
-    earlier slices of the key.
+    def run(self, state, columns, starts, n):
+        place = np.arange(1, n + 1) - begins(starts, n)
+        place[:going_on(starts, n)] += state or 0
+        return {self.fields[0].name: pa.array(place)}, int(place[-1])
+
+    def join(self, first, second):
+        return first + second
+
+
+class Rolling(Scan):
+    """Mean over the last ``depth`` rows of a key, each row a constant amount of work.
+
+    The rows of a key are cut into blocks of ``depth``. A window is the end of one block and the beginning of the next:
+    a sum from the right and a sum from the left, both inside their block. Nothing is ever subtracted, so a value that
+    is no number, or a huge one, spoils only the windows that hold it.
     """
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    small = sliced.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in totals.items()])
-    for step in steps:
-        small = small.withColumns({name: make(earlier) for name, make in step.items()})
-    at = [*keys, SLICE]
-    small = small.select(*[F.col(k).alias(f"_k_{k}") for k in at], *keep)
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in at])
-    return sliced.join(small, same, "left").drop(*[f"_k_{k}" for k in at])
 
+    fields = (T.StructField("rolling_mean", T.DoubleType()), T.StructField("n_in_window", T.LongType()))
 
-def sum_before(column: str) -> Callable[[WindowSpec], Column]:
-    return lambda earlier: F.coalesce(F.sum(column).over(earlier), F.lit(0))
+    def __init__(self, value: str, depth: int):
+        if depth < 1:
+            raise ValueError("depth must be 1 or more")
+        self.columns, self.depth, self.state_bytes = (value,), depth, 16 * depth + 400
 
+    def run(self, state, columns, starts, n):
+        depth, column = self.depth, columns[self.columns[0]].cast(pa.float64())
+        valid = np.asarray(pc.is_valid(column)).astype(np.int64)
+        value = np.asarray(pc.fill_null(column, 0.0), np.float64)
+        before, old, had = state or (0, np.zeros(0), np.zeros(0, np.int64))
+        if going_on(starts, n) == 0:
+            before, old, had = 0, old[:0], had[:0]
+        back = len(old)
+        value, valid, starts = np.concatenate([old, value]), np.concatenate([had, valid]), starts + back
+        total = len(value)
+        begin = begins(starts, total)
+        place = np.arange(total) - begin      # 0-based position in the key
+        place[:going_on(starts, total)] += before - back
+        block = np.concatenate([[0], np.cumsum((place[1:] % depth == 0) | (begin[1:] != begin[:-1]))])
+        left = _sums(value, block), _sums(valid, block)
+        right = _sums(value[::-1], -block[::-1])[::-1], _sums(valid[::-1], -block[::-1])[::-1]
+        # The window reaches back into the block before, unless it is a whole block or the key's first rows.
+        reach = np.flatnonzero((place >= depth) & (place % depth != depth - 1))
+        reach = reach[reach >= back]
+        for one, other in zip(left, right, strict=True):
+            one[reach] = other[reach - depth + 1] + one[reach]
+        total_value, count = left[0][back:], left[1][back:]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = total_value / count
+        keep = max(int(begin[-1]), total - depth + 1)
+        state = (int(place[-1]) + 1, value[keep:].copy(), valid[keep:].copy())
+        return {"rolling_mean": pa.array(mean, mask=count == 0), "n_in_window": pa.array(count)}, state
+
+    def join(self, first, second):
+        n = first[0] + second[0]
+        both = [np.concatenate([a, b])[-(self.depth - 1):] if self.depth > 1 else b for a, b in zip(first[1:], second[1:], strict=True)]
+        return n, *both
+
+
+def _sums(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Running sums inside each group of neighbours; what is no finite number is counted and put in afterwards."""
+    running = lambda x: pd.Series(x).groupby(group, sort=False).cumsum().to_numpy(copy=True)
+    if values.dtype.kind != "f" or np.isfinite(values).all():
+        return running(values)
+    out = running(np.where(np.isfinite(values), values, 0.0))
+    for odd, made in ((values == np.inf, np.inf), (values == -np.inf, -np.inf), (np.isnan(values), np.nan)):
+        met = running(odd.astype(np.int64)) > 0
+        with np.errstate(invalid="ignore"):
+            out[met] += made
+    return out
+
+
+class Streak(Scan):
+    """Consecutive failures at each row, and whether the key has ever reached the limit."""
+
+    fields = (T.StructField("streak", T.LongType()), T.StructField("disabled", T.IntegerType()))
+
+    def __init__(self, failed: str, disable_at: int):
+        self.columns, self.disable_at = (failed,), disable_at
+
+    def run(self, state, columns, starts, n):
+        failed = np.asarray(pc.fill_null(columns[self.columns[0]], False)).astype(bool)
+        here, begin, leading = np.arange(n), begins(starts, n), going_on(starts, n)
+        count, lead, trail, off = state or (0, 0, 0, False)
+        last_ok = np.maximum.accumulate(np.where(failed, begin - 1, here))
+        streak = here - last_ok
+        streak[:leading] += np.where(last_ok[:leading] < 0, trail, 0)
+        reached = np.maximum.accumulate(np.where(streak >= self.disable_at, here, -1)) >= begin
+        reached[:leading] |= off
+        at = int(begin[-1])
+        ok = np.flatnonzero(~failed[at:])
+        head = int(ok[0]) if len(ok) else n - at
+        if leading == n and state:
+            lead = count + head if lead == count else lead
+        else:
+            count, lead = 0, head
+        after = (count + n - at, lead, int(streak[-1]), bool(reached[-1]))
+        return {"streak": pa.array(streak), "disabled": pa.array(reached.astype(np.int32))}, after
+
+    def join(self, first, second):
+        (n, lead, trail, off), (m, ahead, tail, gone) = first, second
+        meets = ahead > 0 and trail + ahead >= self.disable_at
+        return n + m, n + ahead if lead == n else lead, trail + m if ahead == m else tail, off or gone or meets
+
+
+class Gauge(Scan):
+    """Running sum of steps that never falls below zero: the sum less its lowest point so far."""
+
+    fields = (T.StructField("gauge", T.LongType()),)
+
+    def __init__(self, step: str):
+        self.columns = (step,)
+
+    def run(self, state, columns, starts, n):
+        step = np.asarray(pc.fill_null(columns[self.columns[0]], 0)).astype(np.int64)
+        begin, leading = begins(starts, n), going_on(starts, n)
+        total = np.cumsum(step)
+        level = total - (total - step)[begin]
+        before, low = state or (0, 0)
+        level[:leading] += before
+        # A key's rows lie wholly below those of the key before it, so the running minimum begins anew with each key.
+        number = np.cumsum(np.isin(np.arange(n), starts))
+        fall = number * (int(level.max()) - min(int(level.min()), low, 0) + 1)
+        lowest = np.minimum.accumulate(level - fall) + fall
+        lowest[:leading] = np.minimum(lowest[:leading], low)
+        lowest = np.minimum(lowest, 0)
+        return {"gauge": pa.array(level - lowest)}, (int(level[-1]), int(lowest[-1]))
+
+    def join(self, first, second):
+        return first[0] + second[0], min(first[1], first[0] + second[1])
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", slices: int | None = None) -> DataFrame:
-    """1-based position of every row within its key."""
-    sliced = slice_by_order(df, keys, order, {POSITION: position}, slices=slices)
-    out = carry_over(sliced, keys, {"_n": F.count(F.lit(1))}, {"_before": sum_before("_n")}, keep=["_before"])
-    return out.withColumn(name, F.col("_before") + F.col(POSITION)).drop("_before", POSITION, SLICE)
 
+# ---- the machinery ------------------------------------------------------------------------------------------------
 
-def trailing_mean(positioned: DataFrame, keys: Sequence[str], value: str, depth: int, block: int = 50_000) -> DataFrame:
-    """``rolling_mean`` and ``n_in_window`` over the last ``depth`` rows of a key, ending at each row.
+_AT, _MARK, _STATE = "_scan_at", "_scan_mark", "_scan_state"
+_SHIFT = 33  # bits of the row number below the slice in ``monotonically_increasing_id``
 
-    Positions are cut into blocks; a block also receives the ``depth - 1`` rows before it, so each
-    window is complete although no task holds more than ``block + depth`` rows of a key. Inside a
-    block a window is a frame of its own rows, so a value that is no number spoils only the windows that hold it.
+
+def slices_for(df: DataFrame, state_bytes: int) -> int:
+    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(usual, size // SLICE_BYTES + 1) if size < 1 << 60 else usual
+    return max(1, min(wanted, CARRY_BYTES // state_bytes))
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
+    rest = [c for c in df.columns if c not in {*keys, *order}]
+    dealt = [*keys, *order, *([F.xxhash64(*rest)] if rest else [])]
+    placed = df.repartitionByRange(slices, *dealt).sortWithinPartitions(*keys, *order)
+    return placed.withColumns({_AT: F.monotonically_increasing_id(), _MARK: F.xxhash64(*keys, *order)})
+
+
+def _changes(batch: pa.RecordBatch, keys: Sequence[str], last: tuple | None) -> np.ndarray:
+    """Where a key begins in a sorted batch, after a row of key ``last``; nulls and NaN are keys like any other."""
+    n = batch.num_rows
+    new = np.zeros(n, bool)
+    for k in keys:
+        column = batch.column(k)
+        a, b = column.slice(1), column.slice(0, n - 1)
+        differ = np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | (np.asarray(pc.is_null(a)) != np.asarray(pc.is_null(b)))
+        if pa.types.is_floating(column.type):
+            differ &= ~np.asarray(pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        new[1:] |= differ
+    new[0] = last is None or not _same(last, _key(batch, keys, 0))
+    return np.flatnonzero(new)
+
+
+def _key(batch: pa.RecordBatch, keys: Sequence[str], row: int) -> tuple:
+    return tuple(batch.column(k)[row].as_py() for k in keys)
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+
+def _cut(batch: pa.RecordBatch, columns: Sequence[str], lo: int, hi: int) -> dict[str, pa.Array]:
+    return {c: batch.column(c).slice(lo, hi - lo) for c in columns}
+
+
+def _row(target: pa.Schema, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array([columns[f.name]], f.type) for f in target], schema=target)
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, initial: DataFrame | None = None) -> DataFrame:
+    """Add the columns of ``what`` to every row of ``df``.
+
+    ``order`` has to end in a unique column so that ties can be split; keys and order must be sortable. ``initial`` may
+    hold one row per key with the columns of ``keys`` and the pickled ``state`` of rows before these ones.
     """
-    block = max(block, depth)
-    own = F.floor((F.col("rn") - 1) / F.lit(block))
-    offset = (F.col("rn") - 1) % F.lit(block)
-    helps_next = offset >= block - (depth - 1)
-    copies = F.when(helps_next, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = positioned.withColumn("_own", own).withColumn("_block", F.explode(copies))
-    frame = Window.partitionBy(*keys, "_block").orderBy("rn").rowsBetween(-(depth - 1), 0)
-    means = spread.withColumns({"rolling_mean": F.avg(value).over(frame), "n_in_window": F.count(value).over(frame)})
-    return means.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+    keys, order = list(keys), list(order)
+    added = {f.name for f in what.fields}
+    df = df.drop(*added)
+    placed = _ranged(df, keys, order, slices_for(df, what.state_bytes))
+    used = [*dict.fromkeys([*keys, *what.columns])]
+    named = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+    marked = T.StructType([
+        *named, T.StructField(_AT, T.LongType()), T.StructField("part", T.IntegerType()),
+        T.StructField(_MARK, T.LongType()), T.StructField(_STATE, T.BinaryType()),
+    ])
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The states of the first and the last key of a slice."""
+        target, nothing = to_arrow_schema(marked), np.zeros(0, np.int64)
+        key, state, part, at, mark = None, None, 0, 0, 0
+
+        def made():
+            return _row(target, **{f"_k{i}": pa.array([v], target.field(f"_k{i}").type) for i, v in enumerate(key)}, **{_AT: at, "part": part, _MARK: mark, _STATE: pickle.dumps(state)})
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if key is None:
+                at, mark = batch.column(_AT)[0].as_py(), batch.column(_MARK)[0].as_py()
+            starts = _changes(batch, keys, key)
+            more = going_on(starts, n)
+            if more:
+                state = what.run(state, _cut(batch, what.columns, 0, more), nothing, more)[1]
+            if not len(starts):
+                continue
+            if key is None:
+                # the first key of the slice, which may end in this batch
+                key, end = _key(batch, keys, 0), int(starts[1]) if len(starts) > 1 else n
+                state = what.run(None, _cut(batch, what.columns, 0, end), np.zeros(1, np.int64), end)[1]
+                starts = starts[1:]
+                if not len(starts):
+                    continue
+            if part == 0:
+                yield made()
+                part = 1
+            begin = int(starts[-1])
+            key = _key(batch, keys, begin)
+            state = what.run(None, _cut(batch, what.columns, begin, n), np.zeros(1, np.int64), n - begin)[1]
+        if key is not None:
+            yield made()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each slice its first row and the state of all earlier slices of that key."""
+        target, key, state = to_arrow_schema(carried), None, None
+        for batch in batches:
+            columns = [batch.column(f.name).to_pylist() for f in marked]
+            for *own, at, part, mark, packed in zip(*columns, strict=True):
+                if key is None or not _same(key, tuple(own)):
+                    key, state = tuple(own), None
+                if part == 0:
+                    yield _row(target, **{"_at": at, "_mark": mark, _STATE: None if state is None else pickle.dumps(state)})
+                found = pickle.loads(packed)
+                state = found if state is None else what.join(state, found)
+
+    carried = T.StructType([T.StructField("_at", T.LongType()), T.StructField("_mark", T.LongType()), T.StructField(_STATE, T.BinaryType())])
+    names = [f.name for f in named]
+    states = placed.select(*used, _AT, _MARK).mapInArrow(summarise, marked)
+    if initial is not None:
+        # Rows before all slices: they sort first and belong to no slice.
+        given = initial.select(*[F.col(k).cast(f.dataType).alias(f.name) for k, f in zip(keys, named, strict=True)], F.lit(-1).cast("bigint").alias(_AT), F.lit(1).alias("part"), F.lit(0).cast("bigint").alias(_MARK), F.col("state").alias(_STATE))
+        states = states.unionByName(given)
+    carry = (states.repartition(*names) if names else states.repartition(1)).sortWithinPartitions(*names, _AT, "part").mapInArrow(fold, carried)
+    joined = placed.join(F.broadcast(carry), F.col(_AT) == F.col("_at"), "left")
+    out, own = T.StructType([*df.schema.fields, *what.fields]), df.columns
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, key, state = to_arrow_schema(out), None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts = _changes(batch, keys, key)
+            if key is None:
+                if batch.column("_mark")[0].as_py() != batch.column(_MARK)[0].as_py():
+                    raise RuntimeError("the two readings of the log saw different slices")
+                packed = batch.column(_STATE)[0].as_py()
+                if packed is not None:
+                    state, starts = pickle.loads(packed), starts[1:]
+            new, state = what.run(state, _cut(batch, what.columns, 0, n), starts, n)
+            key = _key(batch, keys, n - 1)
+            kept = [batch.column(c) for c in own]
+            made = [new[f.name].cast(target.field(f.name).type) for f in what.fields]
+            yield pa.RecordBatch.from_arrays([*kept, *made], schema=target)
+
+    return joined.mapInArrow(apply, out)
+
+
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """1-based position of every row within its key."""
+    return scan(df, keys, order, Position(name))

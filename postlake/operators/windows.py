@@ -10,7 +10,8 @@ from postlake.operators import ordered as O
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, depth: int = 1000) -> DataFrame:
-    return O.trailing_mean(O.with_position(df, keys, order), keys, value, depth)
+    """Adds ``rolling_mean`` and ``n_in_window`` over the last ``depth`` rows of a key, ending at each row."""
+    return O.scan(df, keys, order, O.Rolling(value, depth))
 
 
 def last_n(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], n: int = 10) -> DataFrame:
@@ -27,37 +28,9 @@ def last_n(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], n
 def failure_streaks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, disable_at: int = 3
 ) -> DataFrame:
-    """Consecutive failures at each event and whether the key has ever reached the limit.
-
-    A slice only needs the streak it starts with: it lengthens the failures before the first success
-    of the slice, and may reach the limit earlier there.
-    """
-    ok_at = F.when(~F.col("_failed"), F.col(O.POSITION))
-    sliced = O.slice_by_order(
-        df.withColumn("_failed", F.coalesce(failed, F.lit(False))), keys, order,
-        {O.POSITION: O.position},
-        {"_last_ok": lambda running: F.coalesce(F.max(ok_at).over(running), F.lit(0))},
-    )
-    local = F.col(O.POSITION) - F.col("_last_ok")
-    totals = {
-        "_n": F.count(F.lit(1)), "_ok": F.max(ok_at), "_first_ok": F.min(ok_at),
-        "_own": F.min(F.when(local >= disable_at, F.col(O.POSITION))),
-    }
-    leading = F.coalesce(F.col("_first_ok") - 1, F.col("_n"))
-    early = F.when(F.col("_start") + leading >= disable_at, F.greatest(F.lit(disable_at) - F.col("_start"), F.lit(1)))
-    out = O.carry_over(
-        sliced, keys, totals,
-        {"_before": O.sum_before("_n")},
-        {"_since": lambda earlier: F.coalesce(F.max(F.col("_before") + F.col("_ok")).over(earlier), F.lit(0))},
-        {"_start": lambda earlier: F.col("_before") - F.col("_since")},
-        {"_reach": lambda earlier: F.least(F.col("_own"), F.when(leading > 0, early))},
-        {"_off": lambda earlier: F.coalesce(F.max(F.col("_reach").isNotNull()).over(earlier), F.lit(False))},
-        keep=["_start", "_reach", "_off"],
-    )
-    streak = F.when(F.col("_last_ok") > 0, local).otherwise(F.col("_start") + F.col(O.POSITION))
-    off = F.col("_off") | F.coalesce(F.col(O.POSITION) >= F.col("_reach"), F.lit(False))
-    done = out.withColumns({"streak": F.when(F.col("_failed"), streak).otherwise(F.lit(0)), "disabled": off.cast("int")})
-    return done.drop("_failed", "_last_ok", "_start", "_reach", "_off", O.POSITION, O.SLICE)
+    """Consecutive failures at each event and whether the key has ever reached the limit."""
+    marked = df.withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    return O.scan(marked, keys, order, O.Streak("_failed", disable_at)).drop("_failed")
 
 
 def batch_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
@@ -66,22 +39,8 @@ def batch_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], size
 
 
 def clamped_gauge(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column) -> DataFrame:
-    """Running sum of +1/-1 steps that never falls below zero: the sum minus its lowest point so far."""
-    sliced = O.slice_by_order(
-        df.withColumn("_step", step.cast("bigint")), keys, order,
-        {"_sum": lambda running: F.sum("_step").over(running)},
-        {"_low": lambda running: F.min("_sum").over(running)},
-    )
-    # The lowest point of an earlier slice counts from that slice's own starting level.
-    out = O.carry_over(
-        sliced, keys, {"_s": F.sum("_step"), "_m": F.min("_sum")},
-        {"_start": O.sum_before("_s")},
-        {"_floor": lambda earlier: F.coalesce(F.min(F.col("_start") + F.col("_m")).over(earlier), F.lit(0))},
-        keep=["_start", "_floor"],
-    )
-    floor = F.least(F.lit(0), F.col("_floor"), F.col("_start") + F.col("_low"))
-    gauge = F.col("_start") + F.col("_sum") - floor
-    return out.withColumn("gauge", gauge).drop("_step", "_sum", "_low", "_start", "_floor", O.SLICE)
+    """Running sum of +1/-1 steps that never falls below zero; a null step counts as 0."""
+    return O.scan(df.withColumn("_step", step.cast("bigint")), keys, order, O.Gauge("_step")).drop("_step")
 
 
 def lru_retain(accesses: DataFrame, key: str, at: str, max_size: int) -> DataFrame:

@@ -24,30 +24,74 @@ def events(spark):
 
 @pytest.fixture(autouse=True)
 def many_slices(monkeypatch):
-    original = O.slice_by_order
-    monkeypatch.setattr(O, "slice_by_order", lambda *args, slices=None: original(*args, slices=slices or 13))
+    monkeypatch.setattr(O, "slices_for", lambda df, state_bytes: 13)
 
 
-def test_positions_and_slices(spark, events):
+def test_positions(events):
     df, by_key = events
-    sliced = O.slice_by_order(df, ["k"], ["ts", "id"])
-    assert sliced.filter("k = 'hot'").select(O.SLICE).distinct().count() > 4
     got = {r["id"]: r["rn"] for r in O.with_position(df, ["k"], ["ts", "id"]).collect()}
     assert got == {r[2]: i for rows in by_key.values() for i, r in enumerate(rows, 1)}
 
 
-def test_rolling(events):
+def test_one_exchange_of_the_log(spark, events):
+    """Both readings use one range exchange, also when the caller keeps few columns and filters."""
+    df, _ = events
+    for out in (W.rolling_mean(df, ["k"], ["ts", "id"], "v", 7), W.clamped_gauge(df, ["k"], ["ts", "id"], F.col("step")).filter("k = 'hot' and id > 5").select("gauge")):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("- Exchange rangepartitioning") == 1 and "ReusedExchange" in plan and "Window" not in plan
+
+
+def test_a_plan_with_other_slices_fails(spark, events, monkeypatch):
+    df, _ = events
+    ranged, calls = O._ranged, []
+
+    def marks_that_move(*args):
+        return ranged(*args).withColumn(O._MARK, F.rand())
+
+    monkeypatch.setattr(O, "_ranged", marks_that_move)
+    with pytest.raises(Exception, match="different slices|CAST|cast"):
+        O.with_position(df, ["k"], ["ts", "id"]).collect()
+
+
+@pytest.mark.parametrize("slices", [1, 13, 200])
+@pytest.mark.parametrize("depth", [1, 2, 40, 5000])
+def test_rolling(events, depth, slices, monkeypatch):
+    monkeypatch.setattr(O, "slices_for", lambda df, state_bytes: slices)
     df, by_key = events
-    placed = O.with_position(df, ["k"], ["ts", "id"])
-    out = O.trailing_mean(placed, ["k"], "v", 40, block=70)
+    out = W.rolling_mean(df, ["k"], ["ts", "id"], "v", depth)
     got = {r["id"]: (r["rolling_mean"], r["n_in_window"]) for r in out.collect()}
     assert len(got) == df.count()
     for rows in by_key.values():
         for i, r in enumerate(rows):
-            last = [x[5] for x in rows[max(0, i - 39) : i + 1]]
+            last = [x[5] for x in rows[max(0, i - depth + 1) : i + 1]]
             assert got[r[2]] == (pytest.approx(sum(last) / len(last)), len(last))
 
 
+def test_values_that_are_no_numbers(spark):
+    """They spoil only the windows that hold them; nulls are not counted; null and NaN keys are keys."""
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, None, nan, 2.0, 3.0, inf, 4.0, 1e17, 5.0, 6.0, None, None, None, 7.0]
+    rows = [(k, i, v) for k in (None, nan, 1.0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k double, i int, v double").repartition(5)
+    got = {(str(r["k"]), r["i"]): (r["rolling_mean"], r["n_in_window"]) for r in W.rolling_mean(df, ["k"], ["i"], "v", 3).collect()}
+    assert len(got) == len(rows)
+    for k in ("None", "nan", "1.0"):
+        for i in range(len(values)):
+            last = [v for v in values[max(0, i - 2) : i + 1] if v is not None]
+            mean, n = got[k, i]
+            assert n == len(last)
+            assert (mean is None) if not last else mean == pytest.approx(sum(last) / len(last), rel=1e-12, nan_ok=True)
+    assert W.rolling_mean(df.limit(0), ["k"], ["i"], "v", 3).collect() == []
+
+
+def test_many_small_keys(spark):
+    df = spark.range(30_000).select((F.col("id") % 9_000).alias("k"), "id", (F.col("id") * 1.0).alias("v"), F.lit(-1).alias("step"))
+    means = {r["id"]: (r["rolling_mean"], r["n_in_window"]) for r in W.rolling_mean(df, ["k"], ["id"], "v", 2).collect()}
+    assert means == {i: ((i + max(i - 9_000, i % 9_000)) / 2, 2 if i >= 9_000 else 1) for i in range(30_000)}
+    assert W.clamped_gauge(df, ["k"], ["id"], F.col("step")).filter("gauge <> 0").count() == 0
+
+
 def test_streaks(events):
     df, by_key = events
     got = {r["id"]: (r["streak"], r["disabled"]) for r in W.failure_streaks(df, ["k"], ["ts", "id"], F.col("bad"), 4).collect()}
