@@ -1,34 +1,35 @@
 """Token buckets replayed over a whole request log.
 
-The rule is sequential per key: a bucket starts full at its first request; a request refills it
-only when a whole interval has passed since the last refill, then by the exact elapsed fraction; a
-request takes one token or is denied. Two observations make it a set of distributed jobs:
-
-* *When* a bucket refills depends on the timestamps alone, not on the tokens. Inside a slice of a
-  key's requests every possible entry ("no refill before T") leads to one exit, so a slice is a
-  step function from entry to exit. Slices are summarised in parallel, composed in blocks, and the
-  resulting entries are handed back down. A key that owns a third of the log owns many slices.
-* Between two refills only the *number* of requests matters, so tokens follow from one small row
-  per refill.
+The rule is sequential per key: a bucket starts full at its first request; a request refills it only when a whole
+interval has passed since the last refill, then by the exact elapsed fraction; a request takes one token or is denied.
+Three readings of one range shuffle (``ordered.scan``) make it a distributed job:
+
+* *When* a bucket refills depends on the timestamps alone, not on the tokens. Every possible entry into a slice ("no
+  refill before T") leads to one exit, so a slice is a step function from entry to exit. Many entries meet in the same
+  chain of refills, and steps that lead to one exit are kept as one.
+* Knowing when it refills, a slice is a short list: a time and a number of requests per refill. At a *regeneration point*
+  the bucket is full whatever came before: even an empty bucket, or one in debt, would have been refilled by then. From
+  the last such point on the tokens are known without the slices before, so only slices without one hand their list on
+  to be worked through in order.
+* The last reading decides every request of a slice, starting from the known tokens.
+
+A key without a limit (null capacity or rate) is not limited.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlake.operators import ordered as O
-from postlake.operators.joins import lookup_left_join
 
-#: Slices composed together before blocks are composed with each other.
-BLOCK = 64
-START = np.iinfo(np.int64).min
+START, END = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_CAPACITY, _RATE, _KIND, _TOKENS, _LAST = "_capacity", "_rate", "_kind", "_tokens", "_last"
 
 
 def last_refill_from(times: np.ndarray, interval: int) -> np.ndarray:
@@ -43,195 +44,193 @@ def last_refill_from(times: np.ndarray, interval: int) -> np.ndarray:
         hop = further
 
 
-def runs_of(batch: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, int, int]]:
-    """(key, start, stop) of every run of equal keys in a sorted batch; nulls are a key like any other."""
-    if not len(batch):
-        return
-    codes = batch.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
-    starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
-    columns = [batch[k].to_numpy() for k in keys]
-    for start, stop in zip(starts, starts[1:]):
-        yield tuple(None if pd.isna(c[start]) else c[start] for c in columns), start, stop
+def _steps(at: np.ndarray, leaves: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Steps that an entry up to ``bound`` can meet; neighbours that lead to one exit are one step."""
+    n = min(int(np.searchsorted(at, bound, "right")) + 1, len(at))
+    at, leaves = at[:n], leaves[:n]
+    last = np.append(leaves[1:] != leaves[:-1], True)
+    return at[last], leaves[last]
 
 
-def _first_interval(at: np.ndarray, interval: int) -> int:
-    """How many leading times an entry can meet: those within one interval, and the next one."""
-    return min(int(np.searchsorted(at, at[0] + interval, side="right")) + 1, len(at))
+class Refills(O.Scan):
+    """When a bucket may refill next, as a function of when it might have at the beginning.
 
+    A state is (bound of the entries, times, next refill if the first refill is at that time).
+    """
 
-def _fold(entries: np.ndarray, at: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    spot = np.searchsorted(at, entries)
-    inside = spot < len(at)
-    return np.where(inside, leaves[np.minimum(spot, len(at) - 1)], entries)
-
-
-def _by_slice(pdf: pd.DataFrame, part: str):
-    for number, rows in pdf.sort_values([part, "at"], kind="stable").groupby(part, sort=True):
-        yield number, rows["at"].to_numpy(), rows["leaves"].to_numpy()
-
-
-def mark_refills(requests: DataFrame, keys: Sequence[str], ts: str, order_id: str, interval_us: int) -> DataFrame:
-    """The requests in slices, each with three numbers counted inside its (key, slice).
-
-    ``_pos`` is its position, ``_refills`` the refills up to it, ``_since`` the position of the last
-    one (0 before the first).
+    state_bytes = 4096
+
+    def __init__(self, ts: str, interval_us: int):
+        self.columns, self.interval = (ts, _LAST), interval_us
+
+    def run(self, state, columns, starts, n):
+        if len(starts):
+            state, begin = None, int(starts[-1])
+            columns, n = {c: a.slice(begin) for c, a in columns.items()}, n - begin
+        times, last = np.asarray(columns[self.columns[0]], np.int64), columns[_LAST]
+        if state is None and last[0].is_valid:
+            # the kept state of a bucket: wherever one comes from, it refilled then
+            state, times = (END, np.array([END]), np.array([last[0].as_py() + self.interval])), times[1:]
+        if len(times):
+            times = np.unique(times)
+            own = times, last_refill_from(times, self.interval) + self.interval
+            bound = int(times[0]) + self.interval
+            state = (bound, *_steps(*own, bound)) if state is None else self.join(state, (bound, *own))
+        return {}, state
+
+    def join(self, first, second):
+        bound, at, leaves = first
+        _, later, exits = second
+        spot = np.searchsorted(later, leaves)
+        through = np.where(spot < len(later), exits[np.minimum(spot, len(later) - 1)], leaves)
+        fresh = later > at[-1]
+        return bound, *_steps(np.append(at, later[fresh]), np.append(through, exits[fresh]), bound)
+
+
+class Bucket(O.Scan):
+    """Decides requests. A state is known, (None, tokens, last refill), or open: a list of refills to work through.
+
+    An open state is (next refill, lowest tokens it may have, last refill, requests before the first refill, times of
+    refills, requests after each, capacity, rate).
     """
-    sliced = O.slice_by_order(requests, keys, [ts, order_id])
-    key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf[ts].to_numpy())
-        n = _first_interval(times, interval_us)
-        out = pd.DataFrame({"at": times[:n], "leaves": last_refill_from(times, interval_us)[:n] + interval_us})
-        for k in [*keys, O.SLICE]:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, O.SLICE, "at", "leaves"]]
-
-    # Only a key cut by a slice bound needs an entry from outside, and a bound cuts at most one key.
-    pieces = sliced.select(*keys, O.SLICE).distinct()
-    cut = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    same = reduce(lambda x, y: x & y, [sliced[k].eqNullSafe(cut[k]) for k in keys])
-    steps = (
-        sliced.select(*keys, O.SLICE, ts).join(F.broadcast(cut), same, "left_semi").groupBy(*keys, O.SLICE)
-        .applyInPandas(summarise, f"{key_types}, {O.SLICE} int, at bigint, leaves bigint")
-        .withColumn("_block", F.floor(F.col(O.SLICE) / BLOCK).cast("int")).checkpoint()
-    )
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One step function for a whole block of slices."""
-        at_all, now = np.empty(0, np.int64), np.empty(0, np.int64)
-        for _, at, leaves in _by_slice(pdf, O.SLICE):
-            now = np.append(_fold(now, at, leaves), leaves)
-            at_all = np.append(at_all, at)
-        n = _first_interval(at_all, interval_us)
-        out = pd.DataFrame({"at": at_all[:n], "leaves": now[:n]})
-        for k in [*keys, "_block"]:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_block", "at", "leaves"]]
-
-    def entries(part: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            entry = np.asarray([pdf["entry"].iloc[0] if "entry" in pdf else START], dtype=np.int64)
-            numbers, seen = [], []
-            for number, at, leaves in _by_slice(pdf, part):
-                numbers.append(number)
-                seen.append(int(entry[0]))
-                entry = _fold(entry, at, leaves)
-            out = pd.DataFrame({part: np.asarray(numbers, np.int32), "entry": np.asarray(seen, np.int64)})
-            for k in keys:
-                out[k] = pdf[k].iloc[0]
-            return out[[*keys, part, "entry"]]
-
-        return run
-
-    blocks = steps.groupBy(*keys, "_block").applyInPandas(compose, f"{key_types}, _block int, at bigint, leaves bigint")
-    block_entry = blocks.groupBy(*keys).applyInPandas(entries("_block"), f"{key_types}, _block int, entry bigint")
-    given = [F.col(k).alias(f"_k_{k}") for k in [*keys, "_block"]]
-    with_entry = steps.join(block_entry.select(*given, "entry"), _same([*keys, "_block"])).select(*steps.columns, "entry")
-    slice_entry = with_entry.groupBy(*keys, "_block").applyInPandas(entries(O.SLICE), f"{key_types}, {O.SLICE} int, entry bigint")
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A slice streams through in order; the next possible refill is all that is remembered."""
-        current, due, pos, refills, since = None, START, 0, 0, 0
-        for batch in batches:
-            times, entry = batch[ts].tolist(), batch["entry"].to_numpy()
-            counts, last, places = (np.empty(len(batch), dtype=np.int64) for _ in range(3))
-            for key, start, stop in runs_of(batch, [*keys, O.SLICE]):
-                if key != current:
-                    current, due, pos, refills, since = key, int(entry[start]), 0, 0, 0
-                places[start:stop] = np.arange(pos + 1, pos + 1 + stop - start)
-                here = start
-                while here < stop:
-                    at = bisect_left(times, due, here, stop)
-                    counts[here:at], last[here:at] = refills, since
-                    if at < stop:
-                        refills, since = refills + 1, pos + 1 + at - start
-                        counts[at], last[at] = refills, since
-                        due = times[at] + interval_us
-                    here = at + 1
-                pos += stop - start
-            yield batch.drop(columns="entry").assign(_pos=places, _refills=counts, _since=last)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sliced.schema.fields)
-    # Two entries per slice at most, so they are broadcast and every slice stays where it is.
-    given = slice_entry.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, O.SLICE]], "entry")
-    entered = sliced.join(F.broadcast(given), _same([*keys, O.SLICE]), "left")
-    entered = entered.select(*sliced.columns, F.coalesce("entry", F.lit(START)).alias("entry"))
-    in_order = entered.sortWithinPartitions(O.SLICE, *keys, ts, order_id)
-    return in_order.mapInPandas(mark, f"{fields}, _pos bigint, _refills bigint, _since bigint").checkpoint()
-
-
-def _same(columns: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in columns])
+
+    fields = (T.StructField("allowed", T.IntegerType()), T.StructField("delay_s", T.DoubleType()), T.StructField("tokens_left", T.DoubleType()), T.StructField("last_refill", T.LongType()))
+
+    def __init__(self, ts: str, interval_s: float, wait: float):
+        self.columns = (ts, _CAPACITY, _RATE, _TOKENS, _LAST)
+        self.interval_s, self.interval, self.wait = interval_s, int(round(interval_s * 1_000_000)), wait
+        self.before = Refills(ts, self.interval)
+
+    def opened(self, entry):
+        _, _, leaves = entry
+        return int(leaves[0]), None, int(leaves[0]) - self.interval, 0, [], [], None, None
+
+    def refilled(self, tokens: float, gap: int, capacity: float, rate: float) -> float:
+        return min(capacity, tokens + gap / 1e6 / self.interval_s * rate)
+
+    def lowest(self, rate: float) -> float:
+        """Tokens never fall below this."""
+        if self.wait < 0:
+            return -math.inf
+        return -(self.wait * rate / self.interval_s) - 1.0 if self.wait else 0.0
+
+    def advance(self, state, times: np.ndarray, capacity: float, rate: float):
+        """Take some requests into an open state; it becomes a known one at a regeneration point."""
+        due, low, last, early, at, counts, *_ = state
+        floor = self.lowest(rate)
+        low = floor if low is None else low
+        start = 0
+        while start < len(times):
+            stop = int(np.searchsorted(times, due))
+            if stop > start:
+                if at:
+                    counts[-1] += stop - start
+                else:
+                    early += stop - start
+                start = stop
+                continue
+            now = int(times[start])
+            low = self.refilled(max(floor, low - (counts[-1] if at else early)), now - last, capacity, rate)
+            if low >= capacity:
+                return self.serve((None, capacity, now), times[start:], capacity, rate)[0]
+            at.append(now)
+            counts.append(0)
+            last, due = now, now + self.interval
+        return due, low, last, early, at, counts, capacity, rate
+
+    def serve(self, state, times: np.ndarray, capacity: float | None, rate: float | None):
+        """Decide some requests of one key; all up to the next refill at once."""
+        n = len(times)
+        allowed, delay, left, refill = np.ones(n, np.int32), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        if capacity is None or rate is None:
+            return state, allowed, delay, left, refill
+        allowed[:] = 0
+        _, tokens, last = state or (None, float(capacity), int(times[0]))
+        start = 0
+        while start < n:
+            now = int(times[start])
+            if now - last >= self.interval:
+                tokens, last = self.refilled(tokens, now - last, capacity, rate), now
+            stop = max(int(np.searchsorted(times, last + self.interval)), start + 1)
+            taken = granted(tokens, stop - start, rate, self.interval_s, self.wait)
+            allowed[start:start + taken] = 1
+            if taken and tokens - (taken - 1) < 1.0:
+                missing = 1.0 - (tokens - np.arange(taken))
+                delay[start:start + taken] = np.where(missing > 0, missing / rate * self.interval_s, 0.0)
+            left[start:stop] = tokens - np.minimum(np.arange(1, stop - start + 1), taken)
+            refill[start:stop] = last
+            tokens -= taken
+            start = stop
+        return (None, tokens, last), allowed, delay, left, refill
+
+    def run(self, state, columns, starts, n):
+        ts, capacity, rate, tokens, last = (columns[c] for c in self.columns)
+        times = np.asarray(ts, np.int64)
+        if state is not None and state[0] is not None:
+            return {}, self.advance(state, times, capacity[0].as_py(), rate[0].as_py()) if capacity[0].is_valid and rate[0].is_valid else (None, 0.0, 0)
+        made = [np.zeros(n, np.int32), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
+        kept = np.flatnonzero(np.asarray(pc.is_valid(last)))
+        for lo, hi in zip([0, *starts], [*starts, n], strict=True):
+            if lo == hi:
+                continue
+            if lo or not going_on(starts):
+                state = None
+                if len(kept) and kept[np.searchsorted(kept, lo) % len(kept)] == lo:
+                    state, lo = (None, tokens[lo].as_py(), last[lo].as_py()), lo + 1
+            if lo < hi:
+                state, *new = self.serve(state, times[lo:hi], capacity[lo].as_py(), rate[lo].as_py())
+                for whole, part in zip(made, new, strict=True):
+                    whole[lo:hi] = part
+        state = state or (None, 0.0, 0)
+        return dict(zip([f.name for f in self.fields], map(pa.array, made), strict=True)), state
+
+    def join(self, first, second):
+        if second[0] is None:
+            return second
+        _, tokens, last = first
+        *_, early, at, counts, capacity, rate = second
+        tokens -= granted(tokens, early, rate, self.interval_s, self.wait)
+        for now, n in zip(at, counts, strict=True):
+            tokens, last = self.refilled(tokens, now - last, capacity, rate), now
+            tokens -= granted(tokens, n, rate, self.interval_s, self.wait)
+        return None, tokens, last
+
+
+def going_on(starts: np.ndarray) -> bool:
+    """Whether the first row goes on with the key before."""
+    return not len(starts) or bool(starts[0])
 
 
 def replay(
     requests: DataFrame, keys: Sequence[str], ts: str, order_id: str,
-    capacity: Column, rate: Column, interval_s: float = 1.0, max_wait_s: float | None = 0.0,
+    capacity: Column, rate: Column, interval_s: float = 1.0, max_wait_s: float | None = 0.0, kept: DataFrame | None = None,
 ) -> DataFrame:
-    """Decide every request: ``allowed`` (0/1) and ``delay_s``.
+    """Decide every request: ``allowed`` (0/1) and ``delay_s``; with ``kept``, also what is left of the buckets.
 
-    ``max_wait_s`` 0 is the plain bucket; above 0 a request may reserve a token that is still to
-    come and waits for it; ``None`` waits without limit. ``capacity`` and ``rate`` (tokens per
-    interval) may depend on the key columns.
+    ``max_wait_s`` 0 is the plain bucket; above 0 a request may reserve a token that is still to come and waits for it;
+    ``None`` waits without limit. ``capacity`` and ``rate`` (tokens per interval) may depend on the key columns.
+    ``kept`` holds buckets that requests before these ones have left: ``tokens_left`` and ``last_refill``, one row per key.
+    Rows without a time are judged as the first ones of their key.
     """
-    interval_us = int(round(interval_s * 1_000_000))
-    marked = mark_refills(requests, keys, ts, order_id, interval_us)
-    last_refill = F.when(F.col("_s") > 0, F.col("_before") + F.col("_s"))
-    placed = O.carry_over(
-        marked, keys, {"_n": F.count(F.lit(1)), "_r": F.max("_refills"), "_s": F.max("_since")},
-        {"_before": O.sum_before("_n"), "_refills_before": O.sum_before("_r")},
-        {"_since_before": lambda earlier: F.max(last_refill).over(earlier)},
-        keep=["_before", "_refills_before", "_since_before"],
-    )
-    since = F.when(F.col("_since") > 0, F.col("_before") + F.col("_since")).otherwise(F.col("_since_before"))
-    placed = placed.withColumns(
-        {"epoch": F.col("_refills_before") + F.col("_refills"), "place": F.col("_before") + F.col("_pos") - since + 1}
-    )
-    placed = placed.select(*requests.columns, "epoch", "place", F.struct(*keys, "epoch").alias("_epoch_key"))
-
-    per_epoch = placed.groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("at"))
-    limits = per_epoch.withColumns({"capacity": capacity.cast("double"), "rate": rate.cast("double")})
-    key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
     wait = -1.0 if max_wait_s is None else float(max_wait_s)
-
-    def refill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level, last = None, 0.0, 0
-        for batch in batches:
-            at, n = batch["at"].tolist(), batch["n"].tolist()
-            sizes, rates = batch["capacity"].tolist(), batch["rate"].tolist()
-            tokens, grants = [0.0] * len(batch), [0] * len(batch)
-            for key, start, stop in runs_of(batch, keys):
-                for i in range(start, stop):
-                    if key != current:
-                        current, level = key, sizes[i]
-                    else:
-                        level = min(sizes[i], level + (at[i] - last) / 1e6 / interval_s * rates[i])
-                    last = at[i]
-                    tokens[i] = level
-                    grants[i] = granted(level, n[i], rates[i], interval_s, wait)
-                    level -= grants[i]
-            yield batch[[*keys, "epoch"]].assign(tokens=tokens, grants=grants)
-
-    # One row per refill of a key, bounded by the log's time span over the interval, read in order.
-    in_order = limits.repartition(*keys).sortWithinPartitions(*keys, "epoch")
-    levels = in_order.mapInPandas(refill, f"{key_types}, epoch bigint, tokens double, grants bigint")
-    levels = levels.select(F.struct(*keys, "epoch").alias("_epoch_key"), "tokens", "grants")
-    sizes = per_epoch.select(F.struct(*keys, "epoch").alias("_epoch_key"), F.col("n").alias("_n"))
-    joined = lookup_left_join(placed, levels, "_epoch_key", [order_id], counts=sizes)
-    missing = F.lit(1.0) - (F.col("tokens") - (F.col("place") - 1))
-    allowed = F.col("place") <= F.col("grants")
-    delay = F.when(allowed & (missing > 0), missing / rate.cast("double") * F.lit(interval_s)).otherwise(F.lit(0.0))
-    return joined.withColumns({"allowed": allowed.cast("int"), "delay_s": delay}).drop(
-        "_epoch_key", "tokens", "grants", "epoch", "place"
-    )
+    at = F.coalesce(F.col(ts), F.lit(0)).cast("bigint")
+    log = requests.withColumns({"_ts": at, _KIND: F.lit(1)})
+    if kept is not None:
+        before = kept.select(*keys, F.col("tokens_left").alias(_TOKENS), F.col("last_refill").alias(_LAST), F.col("last_refill").alias("_ts"), F.lit(0).alias(_KIND))
+        log = log.unionByName(before, allowMissingColumns=True)
+    else:
+        log = log.withColumns({_TOKENS: F.lit(None).cast("double"), _LAST: F.lit(None).cast("bigint")})
+    log = log.withColumns({_CAPACITY: capacity.cast("double"), _RATE: rate.cast("double")})
+    done = O.scan(log, keys, [_KIND, "_ts", order_id], Bucket("_ts", interval_s, wait)).filter(F.col(_KIND) == 1)
+    gone = ["_ts", _KIND, _TOKENS, _LAST, _CAPACITY, _RATE]
+    return done.drop(*gone) if kept is not None else done.drop(*gone, "tokens_left", "last_refill")
 
 
 def granted(tokens: float, n: int, rate: float, interval_s: float, max_wait_s: float) -> int:
     """How many of ``n`` requests between two refills are admitted."""
     if max_wait_s < 0:
         return n
-    if max_wait_s == 0:
+    if max_wait_s == 0 or rate <= 0:
         return min(n, int(tokens)) if tokens >= 1 else 0
 
     def admits(taken: int) -> bool:

@@ -38,6 +38,8 @@ class Scan:
 
     columns: tuple[str, ...] = ()
     fields: tuple[T.StructField, ...] = ()
+    #: A scan that comes first; ``opened`` makes its state at the beginning of a slice one of this scan.
+    before: Scan | None = None
     #: An upper bound of a pickled state.
     state_bytes = 400
 
@@ -47,6 +49,9 @@ class Scan:
     def join(self, first, second):
         raise NotImplementedError
 
+    def opened(self, entry):
+        raise NotImplementedError
+
 
 def begins(starts: np.ndarray, n: int) -> np.ndarray:
     """For each row the place where its key begins; 0 for rows that go on with an earlier key."""
@@ -249,30 +254,40 @@ def _row(target: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array([columns[f.name]], f.type) for f in target], schema=target)
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, initial: DataFrame | None = None) -> DataFrame:
-    """Add the columns of ``what`` to every row of ``df``.
+def _met(placed: DataFrame, carry: DataFrame) -> DataFrame:
+    """Each slice's first row beside what it carries over; two entries per slice at most, so they are broadcast."""
+    return placed.join(F.broadcast(carry), F.col(_AT) == F.col("_at"), "left")
 
-    ``order`` has to end in a unique column so that ties can be split; keys and order must be sortable. ``initial`` may
-    hold one row per key with the columns of ``keys`` and the pickled ``state`` of rows before these ones.
-    """
-    keys, order = list(keys), list(order)
-    added = {f.name for f in what.fields}
-    df = df.drop(*added)
-    placed = _ranged(df, keys, order, slices_for(df, what.state_bytes))
-    used = [*dict.fromkeys([*keys, *what.columns])]
-    named = [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-    marked = T.StructType([
+
+def _entry(batch: pa.RecordBatch):
+    """What the first row of a slice carries over."""
+    if batch.column("_mark")[0].as_py() != batch.column(_MARK)[0].as_py():
+        raise RuntimeError("two readings of the log saw different slices")
+    packed = batch.column(_STATE)[0].as_py()
+    return None if packed is None else pickle.loads(packed)
+
+
+def _carry(placed: DataFrame, keys: Sequence[str], what: Scan) -> DataFrame:
+    """Per slice its first row and the state of the rows of its first key in all earlier slices."""
+    named = [T.StructField(f"_k{i}", placed.schema[k].dataType) for i, k in enumerate(keys)]
+    names = [f.name for f in named]
+    summary = T.StructType([
         *named, T.StructField(_AT, T.LongType()), T.StructField("part", T.IntegerType()),
         T.StructField(_MARK, T.LongType()), T.StructField(_STATE, T.BinaryType()),
     ])
+    carried = T.StructType([T.StructField("_at", T.LongType()), T.StructField("_mark", T.LongType()), T.StructField(_STATE, T.BinaryType())])
+    used, nothing, new = [*dict.fromkeys([*keys, *what.columns]), _AT, _MARK], np.zeros(0, np.int64), np.zeros(1, np.int64)
+    told = what.before is not None
+    read = _met(placed, _carry(placed, keys, what.before)).select(*used, "_mark", _STATE) if told else placed.select(*used)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The states of the first and the last key of a slice."""
-        target, nothing = to_arrow_schema(marked), np.zeros(0, np.int64)
-        key, state, part, at, mark = None, None, 0, 0, 0
+        target = to_arrow_schema(summary)
+        key, state, part, at, mark, entry = None, None, 0, 0, 0, None
 
         def made():
-            return _row(target, **{f"_k{i}": pa.array([v], target.field(f"_k{i}").type) for i, v in enumerate(key)}, **{_AT: at, "part": part, _MARK: mark, _STATE: pickle.dumps(state)})
+            own = {f"_k{i}": pa.array([v], target.field(f"_k{i}").type) for i, v in enumerate(key)}
+            return _row(target, **own, **{_AT: at, "part": part, _MARK: mark, _STATE: pickle.dumps(state)})
 
         for batch in batches:
             n = batch.num_rows
@@ -280,6 +295,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, i
                 continue
             if key is None:
                 at, mark = batch.column(_AT)[0].as_py(), batch.column(_MARK)[0].as_py()
+                entry = _entry(batch) if told else None
             starts = _changes(batch, keys, key)
             more = going_on(starts, n)
             if more:
@@ -289,7 +305,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, i
             if key is None:
                 # the first key of the slice, which may end in this batch
                 key, end = _key(batch, keys, 0), int(starts[1]) if len(starts) > 1 else n
-                state = what.run(None, _cut(batch, what.columns, 0, end), np.zeros(1, np.int64), end)[1]
+                opened, fresh = (None, new) if entry is None else (what.opened(entry), nothing)
+                state = what.run(opened, _cut(batch, what.columns, 0, end), fresh, end)[1]
                 starts = starts[1:]
                 if not len(starts):
                     continue
@@ -298,15 +315,14 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, i
                 part = 1
             begin = int(starts[-1])
             key = _key(batch, keys, begin)
-            state = what.run(None, _cut(batch, what.columns, begin, n), np.zeros(1, np.int64), n - begin)[1]
+            state = what.run(None, _cut(batch, what.columns, begin, n), new, n - begin)[1]
         if key is not None:
             yield made()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each slice its first row and the state of all earlier slices of that key."""
         target, key, state = to_arrow_schema(carried), None, None
         for batch in batches:
-            columns = [batch.column(f.name).to_pylist() for f in marked]
+            columns = [batch.column(f.name).to_pylist() for f in summary]
             for *own, at, part, mark, packed in zip(*columns, strict=True):
                 if key is None or not _same(key, tuple(own)):
                     key, state = tuple(own), None
@@ -315,15 +331,19 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, i
                 found = pickle.loads(packed)
                 state = found if state is None else what.join(state, found)
 
-    carried = T.StructType([T.StructField("_at", T.LongType()), T.StructField("_mark", T.LongType()), T.StructField(_STATE, T.BinaryType())])
-    names = [f.name for f in named]
-    states = placed.select(*used, _AT, _MARK).mapInArrow(summarise, marked)
-    if initial is not None:
-        # Rows before all slices: they sort first and belong to no slice.
-        given = initial.select(*[F.col(k).cast(f.dataType).alias(f.name) for k, f in zip(keys, named, strict=True)], F.lit(-1).cast("bigint").alias(_AT), F.lit(1).alias("part"), F.lit(0).cast("bigint").alias(_MARK), F.col("state").alias(_STATE))
-        states = states.unionByName(given)
-    carry = (states.repartition(*names) if names else states.repartition(1)).sortWithinPartitions(*names, _AT, "part").mapInArrow(fold, carried)
-    joined = placed.join(F.broadcast(carry), F.col(_AT) == F.col("_at"), "left")
+    states = read.mapInArrow(summarise, summary)
+    together = states.repartition(*names) if names else states.repartition(1)
+    return together.sortWithinPartitions(*names, _AT, "part").mapInArrow(fold, carried)
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan) -> DataFrame:
+    """Add the columns of ``what`` to every row of ``df``; columns of these names are replaced.
+
+    ``order`` has to end in a unique column so that ties can be split; keys and order must be sortable.
+    """
+    keys, order = list(keys), list(order)
+    df = df.drop(*[f.name for f in what.fields])
+    placed = _ranged(df, keys, order, slices_for(df, what.state_bytes))
     out, own = T.StructType([*df.schema.fields, *what.fields]), df.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,19 +353,15 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan, i
             if not n:
                 continue
             starts = _changes(batch, keys, key)
-            if key is None:
-                if batch.column("_mark")[0].as_py() != batch.column(_MARK)[0].as_py():
-                    raise RuntimeError("the two readings of the log saw different slices")
-                packed = batch.column(_STATE)[0].as_py()
-                if packed is not None:
-                    state, starts = pickle.loads(packed), starts[1:]
+            if key is None and (state := _entry(batch)) is not None:
+                starts = starts[1:]
             new, state = what.run(state, _cut(batch, what.columns, 0, n), starts, n)
             key = _key(batch, keys, n - 1)
             kept = [batch.column(c) for c in own]
             made = [new[f.name].cast(target.field(f.name).type) for f in what.fields]
             yield pa.RecordBatch.from_arrays([*kept, *made], schema=target)
 
-    return joined.mapInArrow(apply, out)
+    return _met(placed, _carry(placed, keys, what)).mapInArrow(apply, out)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:

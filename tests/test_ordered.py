@@ -151,8 +151,7 @@ def brute_bucket(times, capacity, rate, interval, max_wait):
 
 
 @pytest.mark.parametrize("interval, capacity, rate, max_wait", [(1.0, 10, 0.3, 0.0), (7.5, 4, 2.0, 0.0), (30.0, 3, 1.5, 25.0), (0.4, 2, 0.1, 3.0), (400.0, 5, 3.0, 0.0), (5.0, 3, 1.0, None)])
-def test_replay(events, interval, capacity, rate, max_wait, monkeypatch):
-    monkeypatch.setattr(limits, "BLOCK", 3)
+def test_replay(events, interval, capacity, rate, max_wait):
     df, by_key = events
     done = limits.replay(df.select("k", "ts", "id"), ["k"], "ts", "id", F.lit(capacity), F.lit(rate), interval, max_wait)
     got = {r["id"]: (r["allowed"], r["delay_s"]) for r in done.collect()}
@@ -164,6 +163,67 @@ def test_replay(events, interval, capacity, rate, max_wait, monkeypatch):
     assert len(got) == df.count()
 
 
+@pytest.mark.parametrize("max_wait", [0.0, 40.0])
+def test_bucket_states_meet(max_wait):
+    """Any cut of a log into stretches gives the tokens of the whole log, through open states and regeneration points."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    for trial in range(60):
+        idle = rnd.choice([0.0, 0.02, 0.3])
+        times, now = [], 0
+        for _ in range(400):
+            now += rnd.randrange(90_000_000) if rnd.random() < idle else rnd.randrange(3_000_000)
+            times.append(now)
+        bucket, capacity, rate = limits.Bucket("t", 5.0, max_wait), 4.0, 1.7
+
+        def columns(lo, hi):
+            n = hi - lo
+            of = lambda x: pa.array([x] * n, pa.float64())
+            return {"t": pa.array(times[lo:hi]), "_capacity": of(capacity), "_rate": of(rate), "_tokens": of(None), "_last": pa.array([None] * n, pa.int64())}
+
+        new, go = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        want = bucket.run(None, columns(0, 400), new, 400)
+        cuts = sorted(rnd.sample(range(1, 400), 3))
+        refills, state = None, None
+        for lo, hi in zip([0, *cuts], [*cuts, 400]):
+            opened, fresh = (None, new) if refills is None else (bucket.opened(refills), go)
+            # a stretch may come in several batches
+            mid = (lo + hi) // 2
+            part = opened
+            for a, b, f in ((lo, mid, fresh), (mid, hi, go)):
+                if a < b:
+                    part = bucket.run(part, columns(a, b), f if a == lo else go, b - a)[1]
+            state = part if state is None else bucket.join(state, part)
+            own = bucket.before.run(None, columns(lo, hi), new, hi - lo)[1]
+            refills = own if refills is None else bucket.before.join(refills, own)
+            assert state[0] is None
+        assert state[1:] == want[1][1:]
+
+
+def test_kept_buckets_go_on(spark, events):
+    """Two halves of a log, the second one with what the first one left, decide like the whole log."""
+    df, by_key = events
+    log, limit = df.select("k", "ts", "id"), (F.lit(4.0), F.lit(2.0), 7.5, 25.0)
+    whole = {r["id"]: (r["allowed"], r["delay_s"]) for r in limits.replay(log, ["k"], "ts", "id", *limit).collect()}
+    none = spark.createDataFrame([], "k string, tokens_left double, last_refill bigint")
+    early = limits.replay(log.filter("ts < 600000000"), ["k"], "ts", "id", *limit, kept=none)
+    got = {r["id"]: (r["allowed"], r["delay_s"]) for r in early.collect()}
+    left = early.groupBy("k").agg(F.max_by(F.struct("tokens_left", "last_refill"), F.struct("ts", "id")).alias("s")).select("k", "s.*")
+    left = left.unionByName(spark.createDataFrame([("unseen", 1.0, 5)], left.schema))
+    late = limits.replay(log.filter("ts >= 600000000"), ["k"], "ts", "id", *limit, kept=left)
+    got |= {r["id"]: (r["allowed"], r["delay_s"]) for r in late.collect()}
+    assert got == whole
+
+
+def test_keys_without_a_limit(spark):
+    df = spark.createDataFrame([(k, 1_000_000, i) for i in range(6) for k in ("a", "b", None)], "k string, ts bigint, id bigint")
+    capacity = F.when(F.col("k") == "a", 2.0)
+    done = limits.replay(df, ["k"], "ts", "id", capacity, F.lit(1.0)).collect()
+    assert {k: sum(r["allowed"] for r in done if r["k"] == k) for k in ("a", "b", None)} == {"a": 2, "b": 6, None: 6}
+
+
 def test_bucket_accuracy(spark):
     """Ten tokens taken at once; five more requests at the same moment are all denied."""
     df = spark.createDataFrame([("k", 1_000_000, i) for i in range(15)], "k string, ts bigint, id bigint")
