@@ -209,11 +209,15 @@ _SHIFT = 33  # bits of the row number below the slice in ``monotonically_increas
 
 
 def slices_for(df: DataFrame, state_bytes: int) -> int:
-    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most.
+
+    The input are the tables that the rows come from, each counted once: estimates behind a join may be far too large.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = {leaf.canonicalized().hashCode(): int(str(leaf.stats().sizeInBytes())) for leaf in (leaves.apply(i) for i in range(leaves.size()))}
+    size = sum(x for x in sizes.values() if x < 1 << 60)
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(usual, size // SLICE_BYTES + 1) if size < 1 << 60 else usual
-    return max(1, min(wanted, CARRY_BYTES // state_bytes))
+    return max(1, min(max(usual, size // SLICE_BYTES + 1), CARRY_BYTES // state_bytes))
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:

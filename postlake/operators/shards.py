@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from postlake.functions.periods import shard_key
 from postlake.operators.store import upsert
-from postlake.session import exists, scratch_path
+from postlake.session import exists
+from postlake.sources import versions
 
 SHARD = "shard_key"
 
@@ -32,28 +33,42 @@ def write_sharded(posts: DataFrame, path: str, mode: str = "append") -> None:
 def upsert_sharded(posts: DataFrame, path: str, seq: str, key: str = "id") -> None:
     """Write posts over the stored ones of the same shard and id; all other rows stay.
 
-    Only touched shards are read and written. The merged shards go to a fresh folder first, so nothing that is read is
-    overwritten, and a job that breaks off before the swap leaves the table as it was.
+    Only touched shards are read, and their merged rows are written once, into a folder of their own; the list of
+    folders that count is then replaced in one step. A job that breaks off leaves the table as it was, and readers see
+    the old version or the new one. A post whose date moves it to another shard is a new row there; the row in its old
+    shard stays.
     """
-    spark = posts.sparkSession
-    if not exists(spark, path):
-        write_sharded(upsert(posts.limit(0), posts, [SHARD, key], seq), path)
-        return
+    spark, path = posts.sparkSession, path.rstrip("/")
+    before = versions.latest(spark, path)
+    if before is None and exists(spark, path):
+        raise ValueError(f"{path} is a table without versions")
+    stored = posts.limit(0) if before is None else read_sharded(spark, path)
     touched = posts.select(SHARD).distinct()
-    stored = read_sharded(spark, path).join(touched, SHARD, "left_semi")
-    staged = scratch_path(spark, "merged-shards")
-    write_sharded(upsert(stored, posts, [SHARD, key], seq), staged)
-    write_sharded(read_sharded(spark, staged), path, mode="overwrite")
+    folder = versions.data_folder()
+    merged = upsert(stored.join(touched, SHARD, "left_semi"), posts, [SHARD, key], seq)
+    write_sharded(merged, f"{path}/{folder}")
+    shards = {**(before["shards"] if before else {}), **{s: f"{folder}/{SHARD}={s}" for s in _shards_in(spark, f"{path}/{folder}")}}
+    number = before["version"] + 1 if before else 1
+    versions.commit(spark, path, {"version": number, "shards": shards, "folders": sorted({f.rsplit("/", 1)[0] for f in shards.values()})})
+
+
+def _shards_in(spark: SparkSession, path: str) -> list[str]:
+    """The shards of a partitioned folder, by the names of its folders."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in jpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jpath)]
+    return sorted(n.removeprefix(f"{SHARD}=") for n in names if n.startswith(f"{SHARD}="))
 
 
 def read_sharded(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """The shard column is part of the folder name and stays text."""
-    reader = spark.read
+    """The newest version of a table, or a plain partitioned folder. The shard column is part of the folder name and stays text."""
+    reader, path = spark.read, path.rstrip("/")
+    found = versions.latest(spark, path)
     if schema is not None:
-        from pyspark.sql import types as T
-
-        reader = reader.schema(T.StructType([*schema.fields, T.StructField(SHARD, T.StringType())]))
-    return reader.parquet(path)
+        fields = [*schema.fields, T.StructField(SHARD, T.StringType())]
+        reader = reader.schema(T.StructType([*fields, T.StructField(versions.PART, T.StringType())] if found else fields))
+    if found is None:
+        return reader.parquet(path)
+    return reader.option("basePath", f"{path}/data").parquet(*[f"{path}/{f}" for f in found["shards"].values()]).drop(versions.PART)
 
 
 def scan(table: DataFrame, *shards: str) -> DataFrame:

@@ -9,11 +9,7 @@ from postlake.plans.registry import query
 from postlake.plans.scoring import FIXTURE, valence_sql
 from postlake.sources.ingest import read_csv
 from postlake.streaming import jobs as J
-from postlake.streaming.sinks import collect_stream, stream_files
-
-
-#: A bucket's requests of one micro-batch are sorted in one task, so its micro-batches are small.
-STATEFUL_BYTES = 1 << 30
+from postlake.streaming.sinks import stream_files
 
 
 def table_stream(t: Tables, name: str, max_bytes: int = 256 << 30):
@@ -49,37 +45,26 @@ def _per_second_to_interval(limits):
 
 @query("stream_token_bucket", "log", LG.BUCKET_ORACLE)
 def _(t):
-    decisions = J.token_bucket(
-        log_stream(t, "endpoint", "event_id", "ts_us", max_bytes=STATEFUL_BYTES), ["endpoint"], "ts_us", "event_id",
-        _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL,
-    )
-    return collect_stream(decisions, "bucket").select("event_id", "endpoint", "allowed")
+    requests = log_stream(t, "endpoint", "event_id", "ts_us")
+    decided = J.token_bucket(requests, ["endpoint"], "ts_us", "event_id", _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL)
+    return decided.select("event_id", "endpoint", "allowed")
 
 
 @query("stream_two_buckets", "log", LG.TWO_ORACLE)
 def _(t):
-    requests = log_stream(t, "endpoint", "source", "event_id", "ts_us", max_bytes=STATEFUL_BYTES)
-    own = J.token_bucket(
-        requests, ["endpoint"], "ts_us", "event_id", _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL,
-        name="endpoint_allowed",
-    )
-    app = J.token_bucket(
-        requests, ["source"], "ts_us", "event_id", (LG.APP_LIMIT[0], LG.APP_LIMIT[1] * LG.INTERVAL), LG.INTERVAL,
-        name="app_allowed",
-    )
-    a = collect_stream(own, "endpoint-bucket").select("event_id", "endpoint", "endpoint_allowed")
-    b = collect_stream(app, "app-bucket").select("event_id", "source", "app_allowed")
-    return a.join(b, "event_id").withColumn("allowed", F.col("endpoint_allowed") * F.col("app_allowed"))
+    requests = log_stream(t, "endpoint", "source", "event_id", "ts_us")
+    app = (LG.APP_LIMIT[0], LG.APP_LIMIT[1] * LG.INTERVAL)
+    decided = J.two_buckets(requests, ["endpoint"], ["source"], "ts_us", "event_id", _per_second_to_interval(LG.ENDPOINT_LIMITS), app, LG.INTERVAL)
+    return decided.select("event_id", "endpoint", "source", "endpoint_allowed", "app_allowed", "allowed")
 
 
 @query("stream_admission_delay", "log", LG.DELAY_ORACLE)
 def _(t):
-    decisions = J.token_bucket(
-        log_stream(t, "endpoint", "event_id", "ts_us", max_bytes=STATEFUL_BYTES), ["endpoint"], "ts_us", "event_id",
-        _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL, LG.MAX_WAIT,
+    requests = log_stream(t, "endpoint", "event_id", "ts_us")
+    decided = J.token_bucket(
+        requests, ["endpoint"], "ts_us", "event_id", _per_second_to_interval(LG.ENDPOINT_LIMITS), LG.INTERVAL, LG.MAX_WAIT,
     )
-    done = collect_stream(decisions, "delays")
-    return done.select("event_id", "endpoint", "allowed", F.round("delay_s", 3).alias("delay_s"))
+    return decided.select("event_id", "endpoint", "allowed", F.round("delay_s", 3).alias("delay_s"))
 
 
 @query(

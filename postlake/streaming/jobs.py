@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from postlake.operators.limits import granted
+from postlake.operators.limits import replay
 from postlake.operators.scoring import score
-from postlake.operators.store import keep_last, row_digest
+from postlake.operators.stored import KeyedTable
 from postlake.sources.export import CSV_OPTIONS
 from postlake.session import scratch_path
 from postlake.streaming.sinks import batch_writer, collect_stream, run_batches, with_batch
@@ -29,46 +27,86 @@ def window_usage(stream: DataFrame, key: str, ts: str, width: str = "15 minutes"
     return updates.groupBy("window_start", key).agg(F.max_by("used", "batch_id").alias("used"))
 
 
+def _limit(limits: dict[str, tuple[float, float]] | tuple[float, float], key: str) -> tuple[Column, Column]:
+    """Capacity and rate; a key that has none gets null and is not limited."""
+    if isinstance(limits, tuple):
+        return F.lit(float(limits[0])), F.lit(float(limits[1]))
+    return tuple(F.try_element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, float(v[i]))]), F.col(key)) for i in (0, 1))
+
+
+class _Buckets:
+    """The buckets that a stream's micro-batches leave to each other: one row per key, in a stored table."""
+
+    def __init__(self, stream: DataFrame, keys: Sequence[str], label: str):
+        fields = [stream.schema[k] for k in keys]
+        kept = [StructField("tokens_left", DoubleType()), StructField("last_refill", LongType()), StructField("batch", LongType())]
+        self.table = KeyedTable(stream.sparkSession, scratch_path(stream.sparkSession, label), StructType([*fields, *kept]), keys, "batch")
+        self.keys = list(keys)
+
+    def of(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """What earlier batches have left for the keys of this one; null keys are not kept apart from the others."""
+        own = batch.select(*[F.col(k).alias(f"_own_{k}") for k in self.keys]).distinct()
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_own_{k}")) for k in self.keys])
+        return self.table.read(before_txn=batch_id).join(own, same, "left_semi").select(*self.keys, "tokens_left", "last_refill")
+
+    def keep(self, decided: DataFrame, tokens: str, last: str, at: str, order_id: str, batch_id: int) -> None:
+        latest = F.max_by(F.struct(F.col(tokens).alias("tokens_left"), F.col(last).alias("last_refill")), F.struct(at, order_id))
+        left = decided.groupBy(*self.keys).agg(latest.alias("_left")).select(*self.keys, "_left.*", F.lit(batch_id).cast("bigint").alias("batch"))
+        self.table.write(left, batch_id)
+
+
 def token_bucket(
     stream: DataFrame, keys: Sequence[str], ts_us: str, order_id: str, limits: dict[str, tuple[float, float]] | tuple[float, float],
     interval_s: float = 1.0, max_wait_s: float = 0.0, carry: Sequence[str] = (), name: str = "allowed",
 ) -> DataFrame:
-    """Decide requests as they arrive; state per key is (tokens, last refill).
+    """Decide requests as they arrive; each request leaves with the micro-batch that has it (``batch_id``).
 
-    ``limits`` is (capacity, tokens per interval), or one such pair per value of the last key column.
-    Input files have to arrive in time order: a row older than the last refill is judged without one.
+    A micro-batch is replayed like a log (``limits.replay``), so a key that fills it is cut over many tasks; per key only
+    (tokens, last refill) is kept, in a stored table. ``limits`` is (capacity, tokens per interval), or one such pair per
+    value of the last key column; a key without one is not limited. Input files have to arrive in time order: a row
+    older than the last refill is judged without one.
     """
-    schema = stream.schema
-    columns = [*keys, order_id, ts_us, *carry]
-    fields = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in columns)
-    interval_us = interval_s * 1_000_000
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        capacity, rate = limits if isinstance(limits, tuple) else limits[key[-1]]
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values([ts_us, order_id], kind="stable")
-        times = rows[ts_us].to_numpy()
-        tokens, last = state.get if state.exists else (float(capacity), int(times[0]))
-        allowed, delay = np.zeros(len(times), np.int32), np.zeros(len(times))
-        start = 0
-        while start < len(times):
-            if times[start] - last >= interval_us:
-                tokens = min(capacity, tokens + (int(times[start]) - last) / 1e6 / interval_s * rate)
-                last = int(times[start])
-            # Everything up to the next refill is decided at once.
-            stop = max(int(np.searchsorted(times, last + interval_us)), start + 1)
-            n = granted(tokens, stop - start, rate, interval_s, max_wait_s)
-            allowed[start : start + n] = 1
-            missing = 1.0 - (tokens - np.arange(n))
-            delay[start : start + n] = np.where(missing > 0, missing / rate * interval_s, 0.0)
-            tokens -= n
-            start = stop
-        state.update((float(tokens), last))
-        yield rows[columns].assign(**{name: allowed, "delay_s": delay})
-
-    return stream.select(*columns).groupBy(*keys).applyInPandasWithState(
-        step, f"{fields}, {name} int, delay_s double", "tokens double, last_refill bigint", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    columns = [*dict.fromkeys([*keys, order_id, ts_us, *carry])]
+    buckets, path = _Buckets(stream, keys, "buckets"), scratch_path(stream.sparkSession, "decided")
+    limit = _limit(limits, keys[-1])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        asked = batch.select(*columns)
+        done = replay(asked, keys, ts_us, order_id, *limit, interval_s, max_wait_s, kept=buckets.of(asked, batch_id))
+        batch_writer(path)(done.withColumnRenamed("allowed", name), batch_id)
+        buckets.keep(done.sparkSession.read.schema(schema).parquet(f"{path}/batch_id={batch_id}"), "tokens_left", "last_refill", ts_us, order_id, batch_id)
+
+    added = [(name, IntegerType()), ("delay_s", DoubleType()), ("tokens_left", DoubleType()), ("last_refill", LongType())]
+    schema = StructType([*[stream.schema[c] for c in columns], *[StructField(n, t) for n, t in added]])
+    run_batches(stream, write)
+    return stream.sparkSession.read.schema(with_batch(schema)).parquet(path).drop("tokens_left", "last_refill")
+
+
+def two_buckets(
+    stream: DataFrame, own_keys: Sequence[str], app_keys: Sequence[str], ts_us: str, order_id: str,
+    own_limits, app_limits, interval_s: float = 1.0, names: tuple[str, str] = ("endpoint", "app"),
+) -> DataFrame:
+    """Two buckets for every request, both charged even if one denies, decided together in its micro-batch."""
+    columns, path = [*dict.fromkeys([*own_keys, *app_keys, order_id, ts_us])], scratch_path(stream.sparkSession, "decided-twice")
+    kept = [_Buckets(stream, k, f"{n}-buckets") for k, n in zip((own_keys, app_keys), names, strict=True)]
+    limits = _limit(own_limits, own_keys[-1]), _limit(app_limits, app_keys[-1])
+    added = [StructField(f"{n}_{c}", t) for n in names for c, t in (("allowed", IntegerType()), ("tokens", DoubleType()), ("last", LongType()))]
+    schema = StructType([*[stream.schema[c] for c in columns], *added])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        done = batch.select(*columns)
+        for n, keys, bucket, limit in zip(names, (own_keys, app_keys), kept, limits, strict=True):
+            done = replay(done, keys, ts_us, order_id, *limit, interval_s, kept=bucket.of(batch, batch_id)).drop("delay_s")
+            done = done.withColumnsRenamed({"allowed": f"{n}_allowed", "tokens_left": f"{n}_tokens", "last_refill": f"{n}_last"})
+        batch_writer(path)(done.select(*schema.fieldNames()), batch_id)
+        written = batch.sparkSession.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
+        for n, bucket in zip(names, kept, strict=True):
+            bucket.keep(written, f"{n}_tokens", f"{n}_last", ts_us, order_id, batch_id)
+
+    run_batches(stream, write)
+    out = stream.sparkSession.read.schema(with_batch(schema)).parquet(path)
+    both = F.col(f"{names[0]}_allowed") * F.col(f"{names[1]}_allowed")
+    return out.select(*columns, *[f"{n}_allowed" for n in names], both.alias("allowed"), "batch_id")
 
 
 def score_stream(stream: DataFrame, method: str = "vader", lexicon=None) -> DataFrame:
@@ -133,12 +171,12 @@ def export(stream: DataFrame, fmt: str = "json") -> str:
 
 
 def upsert(stream: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """Continuous upsert: each micro-batch adds its own last rows, readers keep the newest per key."""
-    path = scratch_path(stream.sparkSession, "upsert")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch_writer(path)(keep_last(batch, keys, [F.desc_nulls_last(seq), F.desc(row_digest(batch))]), batch_id)
+    """Continuous upsert into a stored table; a micro-batch writes its last rows once, and the result is a plain scan.
 
-    run_batches(stream, write)
-    rows = stream.sparkSession.read.schema(with_batch(stream.schema)).parquet(path)
-    return keep_last(rows, keys, [F.desc_nulls_last(seq), F.desc("batch_id")]).drop("batch_id")
+    Of rows with one ``seq`` the later micro-batch wins. A batch that is run again is not written twice.
+    """
+    spark = stream.sparkSession
+    table = KeyedTable(spark, scratch_path(spark, "upsert"), stream.schema, keys, seq)
+    run_batches(stream, table.write)
+    table.compact()
+    return table.read()

@@ -1,5 +1,6 @@
 """Ordered operators on keys that span many slices, against plain loops."""
 
+import os
 import random
 
 import pytest
@@ -22,6 +23,9 @@ def events(spark):
     return df, by_key
 
 
+SLICES = O.slices_for
+
+
 @pytest.fixture(autouse=True)
 def many_slices(monkeypatch):
     monkeypatch.setattr(O, "slices_for", lambda df, state_bytes: 13)
@@ -42,6 +46,13 @@ def test_one_exchange_of_the_log(spark, events):
         assert plan.count("- Exchange rangepartitioning") == 1 and "ReusedExchange" in plan and "Window" not in plan
 
 
+def test_slices_follow_the_tables(spark):
+    """Not the estimates behind a join or a self-join, which multiply."""
+    log = spark.read.parquet(os.environ.get("TESTDATA", "/root/testdata") + "/sf0.01/events.parquet")
+    pairs = log.join(log.select("user_id", F.col("value").alias("other")), "user_id").join(log.select("user_id", "ts").alias("x"), "user_id")
+    assert SLICES(log, 400) == SLICES(pairs, 400) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_plan_with_other_slices_fails(spark, events, monkeypatch):
     df, _ = events
     ranged, calls = O._ranged, []

@@ -238,3 +238,66 @@ def test_result_keys_differ(spark):
 
     row = spark.range(1).select(result_key("s", F.lit("a:b"), F.lit("c")).alias("x"), result_key("s", F.lit("a"), F.lit("b:c")).alias("y")).first()
     assert row["x"] != row["y"]
+
+
+def test_shards_are_swapped_at_once(spark, monkeypatch):
+    """A writer that dies before, or loses against another one at, the swap leaves the table as it was."""
+    from postlake.operators import shards
+    from postlake.session import scratch_path
+    from postlake.sources import versions
+
+    path, kind = scratch_path(spark, "t-swap"), "id string, seq bigint, v string, shard_key string"
+    write = lambda *rows: shards.upsert_sharded(spark.createDataFrame(list(rows), kind), path, "seq")
+    read = lambda: sorted(map(tuple, shards.read_sharded(spark, path).select("id", "seq", "v", "shard_key").collect()))
+    write(("a", 1, "x", "2024_Q1"), ("b", 1, "x", "2024_Q2"))
+    before = read()
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "_move", lambda *_: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            write(("a", 2, "y", "2024_Q1"), ("c", 2, "y", "2024_Q3"))
+    assert read() == before
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "latest", lambda spark, path, *_, f=versions.latest: {**f(spark, path), "version": 0})
+        with pytest.raises(versions.VersionExists):
+            write(("a", 2, "y", "2024_Q1"))
+    assert read() == before
+    begun = shards.read_sharded(spark, path)
+    write(("a", 2, "y", "2024_Q1"), ("c", 2, "y", "2024_Q3"))
+    assert read() == [("a", 2, "y", "2024_Q1"), ("b", 1, "x", "2024_Q2"), ("c", 2, "y", "2024_Q3")]
+    assert sorted(map(tuple, begun.select("id", "seq", "v", "shard_key").collect())) == before
+    one = shards.scan(shards.read_sharded(spark, path), "2024_Q2")
+    assert "PartitionFilters: [isnotnull(shard_key" in one._jdf.queryExecution().executedPlan().toString() or "shard_key IN" in one._jdf.queryExecution().executedPlan().toString()
+    for n in range(3, 9):
+        write(("a", n, "z", "2024_Q1"))
+    assert read() == [("a", 8, "z", "2024_Q1"), ("b", 1, "x", "2024_Q2"), ("c", 2, "y", "2024_Q3")]
+    assert len(versions._numbers(spark, path)) == versions.KEEP + 1
+
+
+def test_keyed_table(spark):
+    """Many small writes, out of order and repeated, against a dictionary; the levels stay few."""
+    import random
+
+    from postlake.operators.stored import FANOUT, KeyedTable
+    from postlake.session import scratch_path
+    from postlake.sources import versions
+
+    rnd, kind = random.Random(2), "k string, seq bigint, v int"
+    schema = spark.createDataFrame([], kind).schema
+    table, want = KeyedTable(spark, scratch_path(spark, "t-keyed"), schema, ["k"], "seq"), {}
+    assert table.read().collect() == []
+    states = {}
+    for txn in range(11):
+        rows = {k: (k, rnd.choice([None, txn, txn // 2]), 100 * txn + i) for i, k in enumerate(rnd.sample(["a", "b", "c", None, "d"], 3))}
+        table.write(spark.createDataFrame(list(rows.values()), schema), txn)
+        table.write(spark.createDataFrame([("a", 99, -1)], schema), txn)  # comes again: skipped
+        for k, row in rows.items():
+            if k not in want or (row[1] if row[1] is not None else -1) >= (want[k][1] if want[k][1] is not None else -1):
+                want[k] = row
+        states[txn] = dict(want)
+        assert {r.k: tuple(r) for r in table.read().collect()} == want
+        if txn:
+            assert {r.k: tuple(r) for r in table.read(before_txn=txn).collect()} == states[txn - 1]
+    assert len(versions.latest(spark, table.path)["runs"]) < 2 * FANOUT
+    table.compact()
+    assert {r.k: tuple(r) for r in table.read().collect()} == want
+    assert "Window" not in table.read()._jdf.queryExecution().executedPlan().toString()

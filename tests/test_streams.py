@@ -38,8 +38,7 @@ def test_bucket_across_batches(spark, log, max_wait):
     df, rows = log
     path = arrive(spark, df, "ts", 5)
     stream = stream_files(spark, path, df.schema, max_files=1)
-    decided = J.token_bucket(stream, ["k"], "ts", "id", {"a": (3.0, 0.2), "b": (5.0, 0.4)}, 1.0, max_wait)
-    out = J.collect_stream(decided, "t-bucket")
+    out = J.token_bucket(stream, ["k"], "ts", "id", {"a": (3.0, 0.2), "b": (5.0, 0.4)}, 1.0, max_wait)
     assert out.select("batch_id").distinct().count() == 5
     got = {r["id"]: (r["allowed"], r["delay_s"]) for r in out.collect()}
     for k, limit in (("a", (3.0, 0.2)), ("b", (5.0, 0.4))):
@@ -48,6 +47,38 @@ def test_bucket_across_batches(spark, log, max_wait):
             assert got[r[2]] == (ok, pytest.approx(delay, abs=1e-6))
 
 
+def test_two_buckets_across_batches(spark, log):
+    """Both buckets are decided in the request's micro-batch; a key without a limit is not limited."""
+    df, rows = log
+    df = df.withColumn("app", F.lit(None).cast("string"))
+    stream = stream_files(spark, arrive(spark, df, "ts", 5), df.schema, max_files=1)
+    out = J.two_buckets(stream, ["k"], ["app"], "ts", "id", {"b": (5.0, 0.4)}, (9.0, 0.7), 1.0)
+    got = {r["id"]: (r["endpoint_allowed"], r["app_allowed"], r["allowed"]) for r in out.collect()}
+    assert out.select("batch_id").distinct().count() == 5
+    own = {r[2]: 1 for r in rows}
+    mine = [r for r in rows if r[0] == "b"]
+    own |= {r[2]: ok for r, (ok, _) in zip(mine, brute_bucket([r[1] for r in mine], 5.0, 0.4, 1.0, 0.0))}
+    app = brute_bucket([r[1] for r in rows], 9.0, 0.7, 1.0, 0.0)
+    assert got == {r[2]: (own[r[2]], ok, own[r[2]] * ok) for r, (ok, _) in zip(rows, app)}
+
+
+def test_a_batch_that_comes_again(spark, log, monkeypatch):
+    """A micro-batch that dies after its state was kept, and is run again, sees the state before it."""
+    df, rows = log
+    path, calls = arrive(spark, df, "ts", 4), []
+    run = J.run_batches
+
+    def twice(stream, write):
+        run(stream, lambda batch, n: [write(batch, n), write(batch, n)] and None)
+
+    monkeypatch.setattr(J, "run_batches", twice)
+    out = J.token_bucket(stream_files(spark, path, df.schema, max_files=1), ["k"], "ts", "id", (5.0, 0.4))
+    got = {r["id"]: r["allowed"] for r in out.collect()}
+    for k in "ab":
+        mine = [r for r in rows if r[0] == k]
+        assert [got[r[2]] for r in mine] == [ok for ok, _ in brute_bucket([r[1] for r in mine], 5.0, 0.4, 1.0, 0.0)]
+
+
 def test_restart_continues(spark, log):
     df, _ = log
     path, sink, checkpoint = (scratch_path(spark, n) for n in ("t-in", "t-sink", "t-cp"))
