@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from postlake.operators.store import keep_last
 from postlake.schema import POST, all_strings
+from postlake.sources import csv_split
 
 #: The ten sample texts generated posts cycle through.
 SAMPLE_TEXTS = (
@@ -57,11 +58,8 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType = POST) -
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = POST) -> DataFrame:
-    """Header row, every column as text."""
-    return (
-        spark.read.schema(all_strings(schema)).option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).option("nullValue", None).option("emptyValue", "").csv(path)
-    )
+    """Header row, every column as text. A file of any size is read by many tasks, also with line ends in quotes."""
+    return csv_split.rows(spark, path, all_strings(schema))
 
 
 def sql_with_params(
