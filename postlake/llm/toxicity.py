@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from postlake.llm import words as W
 from postlake.llm.arrow import batch_of, flat, map_slices
 
-#: Labelled rows of class 0 and of class 1, at most, that the model is fitted to, and their longest text in bytes.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = (4500, 1500), 100_000
+#: Labelled rows of class 0 and of class 1, at most, that the model is fitted to.
+SAMPLE_ROWS = (4500, 1500)
 BUCKETS, DIMENSIONS, GRAMS = 1 << 14, 8, (4, 5)
 EPOCHS, BATCH, RATE, DECAY = 20, 256, 0.05, 1e-4
 #: Blank words that each text carries beside its own, so that a handful of words is weak evidence.
@@ -72,53 +72,64 @@ def _within(size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def features(texts: pa.Array, at_once: int = 128) -> np.ndarray:
-    """Dense bags of the fit sample, times 1024 in half precision: per text the mean over its words of a word's mean."""
-    out = np.zeros((len(texts), BUCKETS), np.float16)
-    for low in range(0, len(texts), at_once):
-        _bags(texts.slice(low, at_once), out[low:low + at_once])
-    return out
+class Bags(NamedTuple):
+    """The fit sample: per text the buckets that it has and its weight in each, times 1024 in half precision."""
 
+    bucket: np.ndarray
+    weight: np.ndarray
+    offset: np.ndarray   # n + 1
 
-def _bags(texts: pa.Array, out: np.ndarray) -> None:
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """Some texts as rows of a matrix."""
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        size = self.offset[rows + 1] - self.offset[rows]
+        at = np.repeat(self.offset[rows], size) + _within(size)
+        out[np.repeat(np.arange(len(rows)), size), self.bucket[at]] = self.weight[at]
+        return out
+
+
+def bag(texts: pa.Array):
+    """Per text its buckets, rising, and the mean over its words of a word's mean over its subwords."""
     words = W.split(*flat(texts))
     _, lead, word = np.unique(words.hash, return_index=True, return_inverse=True)
     buckets, count = word_grams(words, lead)
     at = np.cumsum(count) - count
     for i in range(len(texts)):
         mine, often = np.unique(word[words.first[i]:words.first[i + 1]], return_counts=True)
-        if len(mine):
-            n = count[mine]
-            which = buckets[np.repeat(at[mine], n) + _within(n)]
-            out[i] = np.bincount(which, np.repeat(1024 * often / n / (often.sum() + BLANKS), n), BUCKETS)
+        n = count[mine]
+        which = buckets[np.repeat(at[mine], n) + _within(n)]
+        weight = np.bincount(which, np.repeat(1024 * often / n / (often.sum() + BLANKS), n), BUCKETS).astype(np.float16)
+        full = np.flatnonzero(weight)
+        yield full.astype(np.uint16), weight[full]
 
 
-def train(x: np.ndarray, y: np.ndarray) -> Model:
+def train(x: Bags, y: np.ndarray) -> Model:
     """Fit vectors and softmax together by Adam on the cross entropy, in small batches; the seed is fixed."""
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float64), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     rng = np.random.default_rng(7)
-    some = x[:: max(1, len(x) // 256)].astype(np.float32)
+    n = len(y)
+    some = x.dense(np.arange(0, n, max(1, n // 256)))
     scale = np.float32(1 / max(np.sqrt((some * some).sum(1).mean()), 1e-9))
     params = [rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     target = np.stack([1 - y, y], 1).astype(np.float32)
-    per_epoch = -(-len(x) // BATCH)
+    per_epoch = -(-n // BATCH)
     step, last = 0, EPOCHS * per_epoch
     for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for lo in range(0, len(x), BATCH):
+        order = rng.permutation(n)
+        for lo in range(0, n, BATCH):
             step += 1
             rows = order[lo:lo + BATCH]
-            bag = x[rows].astype(np.float32) * scale
+            seen = x.dense(rows) * scale
             table, out, bias = params
-            hidden = bag @ table
+            hidden = seen @ table
             logits = hidden @ out + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             error = (p - target[rows]) / len(rows)
-            grads = [bag.T @ (error @ out.T) + DECAY * table, hidden.T @ error, error.sum(0)]
+            grads = [seen.T @ (error @ out.T) + DECAY * table, hidden.T @ error, error.sum(0)]
             rate = RATE * (1 - step / (last + 1))
             for k, g in enumerate(grads):
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -137,11 +148,29 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = [known.filter(F.col("y") == y).orderBy(order, "_id").limit(SAMPLE_ROWS[y]) for y in (0, 1)]
     # At most sum(SAMPLE_ROWS) ids and labels.
     chosen = F.broadcast(sample[0].unionByName(sample[1]))
-    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter(F.octet_length("_text") <= SAMPLE_TEXT_BYTES)
-    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "y", "_text")
-    rows = rows.orderBy(order, "_id", F.xxhash64("_text")).limit(sum(SAMPLE_ROWS)).toArrow()
-    y = rows.column("y").to_numpy().astype(np.float64)
-    return train(features(rows.column("_text").combine_chunks()), y)
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).select(order.alias("_order"), "_id", F.xxhash64("_text").alias("_hash"), "y", "_text")
+    kept = ["_order", "_id", "_hash", "y"]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("bucket", T.BinaryType()), T.StructField("weight", T.BinaryType())])
+
+    def make():
+        def step(part: pa.RecordBatch):
+            made = [(b.tobytes(), w.tobytes()) for b, w in bag(part.column("_text"))]
+            yield batch_of(schema, {c: part.column(c) for c in kept} | {"bucket": [b for b, _ in made], "weight": [w for _, w in made]})
+
+        return step
+
+    # Bags are made in tasks; one is at most four bytes a bucket, whatever the length of its text.
+    bags = map_slices(rows, "_text", schema, make).orderBy("_order", "_id", "_hash").limit(sum(SAMPLE_ROWS))
+    found = bags.select("y", "bucket", "weight").toArrow()
+    bucket = np.frombuffer(b"".join(found.column("bucket").to_pylist()), np.uint16)
+    weight = np.frombuffer(b"".join(found.column("weight").to_pylist()), np.float16)
+    size = found.column("bucket").combine_chunks().cast(pa.large_binary())
+    offset = np.frombuffer(size.buffers()[1], np.int64, len(size) + 1, size.offset * 8) // 2 if len(size) else np.zeros(1, np.int64)
+    y = found.column("y").to_numpy().astype(np.float64)
+    del found, size
+    pa.default_memory_pool().release_unused()
+    return train(Bags(bucket, weight, offset - offset[0]), y)
 
 
 class Scorer:
