@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fixed values of the scoring rule.
 BOOST, CAPS, NEGATE = 0.293, 0.733, -0.74
+#: Rows of a word list that may become part of a plan.
+MOST_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -74,11 +76,13 @@ def lookup(lexicon: ValenceLexicon | PolarityLexicon):
 
 
 def from_table(df: DataFrame) -> ValenceLexicon:
-    """Read a (token, valence, step, negation) word list into the plan.
+    """Read a (token, valence, step, negation) word list of at most ``MOST_WORDS`` rows into the plan.
 
-    For lists made by people; words that are derived from data stay a table (``score_with_table``).
+    For lists made by people; longer ones, and words that are derived from data, stay a table (``score_with_table``).
     """
-    rows = df.select("token", "valence", "step", "negation").collect()
+    rows = df.select("token", "valence", "step", "negation").limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words: use score_with_table")
     return ValenceLexicon(
         {r.token: r.valence for r in rows if r.valence is not None},
         {r.token: r.step for r in rows if r.step is not None},

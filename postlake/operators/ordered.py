@@ -21,9 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from postlake.session import input_bytes
+
 #: Bytes of input for one slice, and the bytes of states that all slices together may broadcast.
 SLICE_BYTES, CARRY_BYTES = 64 << 20, 256 << 20
 
@@ -209,22 +211,16 @@ _SHIFT = 33  # bits of the row number below the slice in ``monotonically_increas
 
 
 def slices_for(df: DataFrame, state_bytes: int) -> int:
-    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most.
-
-    The input are the tables that the rows come from, each counted once: estimates behind a join may be far too large.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = {leaf.canonicalized().hashCode(): int(str(leaf.stats().sizeInBytes())) for leaf in (leaves.apply(i) for i in range(leaves.size()))}
-    size = sum(x for x in sizes.values() if x < 1 << 60)
+    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most."""
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(max(usual, size // SLICE_BYTES + 1), CARRY_BYTES // state_bytes))
+    return max(1, min(max(usual, (input_bytes(df) or 0) // SLICE_BYTES + 1), CARRY_BYTES // state_bytes))
 
 
-def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
-    rest = [c for c in df.columns if c not in {*keys, *order}]
-    dealt = [*keys, *order, *([F.xxhash64(*rest)] if rest else [])]
-    placed = df.repartitionByRange(slices, *dealt).sortWithinPartitions(*keys, *order)
-    return placed.withColumns({_AT: F.monotonically_increasing_id(), _MARK: F.xxhash64(*keys, *order)})
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: int) -> DataFrame:
+    rest = [c for c in df.columns if c not in {*keys, *[o for o in order if isinstance(o, str)]}]
+    by = [*keys, *order, *([F.xxhash64(*rest)] if rest else [])]
+    placed = df.repartitionByRange(slices, *by).sortWithinPartitions(*by)
+    return placed.withColumns({_AT: F.monotonically_increasing_id(), _MARK: F.xxhash64(*df.columns)})
 
 
 def _changes(batch: pa.RecordBatch, keys: Sequence[str], last: tuple | None) -> np.ndarray:
@@ -340,10 +336,11 @@ def _carry(placed: DataFrame, keys: Sequence[str], what: Scan) -> DataFrame:
     return together.sortWithinPartitions(*names, _AT, "part").mapInArrow(fold, carried)
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], what: Scan) -> DataFrame:
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], what: Scan) -> DataFrame:
     """Add the columns of ``what`` to every row of ``df``; columns of these names are replaced.
 
-    ``order`` has to end in a unique column so that ties can be split; keys and order must be sortable.
+    ``order`` should end in a unique column; a hash of the row settles ties. Keys and order must be sortable. Without
+    keys all rows are one group, still cut into slices, and the result is in order.
     """
     keys, order = list(keys), list(order)
     df = df.drop(*[f.name for f in what.fields])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.functions.periods import parse_iso
 from postlake.functions.text import Col, WORD_CHARS, _col, fold_ascii, hashtags, like_any_case, mentions
+from postlake.operators.store import page
 
 
 def _fold(term: str) -> str:
@@ -75,9 +76,7 @@ def search_text(posts: DataFrame, term: str, limit: int | None = 100) -> DataFra
 
 def newest(posts: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """By stored date text, newest first, nulls last, id to break ties."""
-    out = posts.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").asc())
-    out = out.offset(offset) if offset else out
-    return out.limit(limit) if limit else out
+    return page(posts, F.col("created_at").desc_nulls_last(), F.col("id").asc(), limit=limit, offset=offset)
 
 
 def top(posts: DataFrame, limit: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.types import MapType
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlake.functions.text import metadata_entries
+from postlake.operators.ordered import Position, scan
 from postlake.schema import COUNTERS, POST
 
 
@@ -32,6 +33,9 @@ def where_equal(df: DataFrame, column: str, value: str | None) -> DataFrame:
 
 
 def page(df: DataFrame, *order: Column, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """Rows in order, from ``offset`` on. All rows behind an offset are numbered in slices and never meet in one task."""
+    if offset and not limit:
+        return scan(df, [], order, Position("_place")).filter(F.col("_place") > offset).drop("_place")
     out = df.orderBy(*order) if order else df
     out = out.offset(offset) if offset else out
     return out.limit(limit) if limit else out

@@ -35,7 +35,7 @@ class Tables:
         return posts_from(self.raw("documents") if source is None else source)
 
     def texts(self) -> DataFrame:
-        """Posts for heavy text work, on all cores even when the table is one small file."""
+        """Posts for heavy text work, dealt out when the table is small."""
         columns = ("doc_id", "text", "lang", "source")
         return posts_from(spread(self.raw("documents").select(*columns)))
 

@@ -7,6 +7,7 @@ from postlake.plans.files import ROW
 from postlake.plans.fixtures import Tables, iso
 from postlake.plans.registry import query
 from postlake.plans.scoring import FIXTURE, valence_sql
+from postlake.session import spread_pieces
 from postlake.sources.ingest import read_csv
 from postlake.streaming import jobs as J
 from postlake.streaming.sinks import stream_files
@@ -17,10 +18,9 @@ def table_stream(t: Tables, name: str, max_bytes: int = 256 << 30):
 
 
 def text_stream(t: Tables):
-    """Documents as a stream; one small file is spread over the cores like in a batch."""
-    stream, cores = table_stream(t, "documents"), t.spark.sparkContext.defaultParallelism
-    narrow = t.raw("documents").rdd.getNumPartitions() < cores
-    return t.posts(stream.repartition(cores) if narrow else stream)
+    """Documents as a stream; a small table is dealt out like in a batch."""
+    stream, pieces = table_stream(t, "documents"), spread_pieces(t.raw("documents"))
+    return t.posts(stream if pieces is None else stream.repartition(pieces))
 
 
 def log_stream(t: Tables, *columns: str, max_bytes: int = 256 << 30):

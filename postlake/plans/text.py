@@ -71,19 +71,23 @@ def _(t):
     return per_query.select("query", "n", X.output_name("query", now(), "csv").alias("file_name"))
 
 
-_STATEMENTS = {"click": "  select 1", "view": "INSERT INTO t VALUES (1)", "purchase": "\tUpdate t set a = 1", "signup": "delete from t"}
+_VERBS = {"click": "select", "view": "INSERT INTO", "purchase": "Update", "signup": "delete from"}
+_VERB_SQL = "CASE endpoint " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _VERBS.items()) + " ELSE 'PRAGMA' END"
 
 
 @query(
     "fn_query_type", "log",
-    """SELECT query_type, count(*) AS n FROM (SELECT CASE endpoint WHEN 'click' THEN 'SELECT' WHEN 'view' THEN 'INSERT'
-      WHEN 'purchase' THEN 'UPDATE' WHEN 'signup' THEN 'DELETE' ELSE 'OTHER' END AS query_type FROM log) GROUP BY 1""",
+    f""", s AS (SELECT event_id, repeat(' ', (event_id % 3)::INTEGER) || {_VERB_SQL} || ' ' || source || ' ' || status || ' ' || event_id AS statement FROM log)
+    SELECT event_id, statement, CASE WHEN regexp_matches(upper(ltrim(statement)), '^(SELECT|INSERT|UPDATE|DELETE)')
+      THEN regexp_extract(upper(ltrim(statement)), '^[A-Z]+') ELSE 'OTHER' END AS query_type FROM s""",
 )
 def _(t):
-    statement = F.lit("PRAGMA x")
-    for endpoint, text in _STATEMENTS.items():
-        statement = F.when(F.col("endpoint") == endpoint, text).otherwise(statement)
-    return t.log().groupBy(X.query_type(statement).alias("query_type")).agg(F.count(F.lit(1)).alias("n"))
+    verb = F.lit("PRAGMA")
+    for endpoint, text in _VERBS.items():
+        verb = F.when(F.col("endpoint") == endpoint, text).otherwise(verb)
+    blanks = F.repeat(F.lit(" "), (F.col("event_id") % 3).cast("int"))
+    statement = F.concat(blanks, F.concat_ws(" ", verb, "source", "status", F.col("event_id").cast("string")))
+    return t.log().select("event_id", statement.alias("statement")).withColumn("query_type", X.query_type("statement"))
 
 
 @query(

@@ -71,11 +71,30 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(jpath).isDirectory()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that is read by fewer tasks than there are cores one task per core.
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that ``df`` is made of, each counted once; None where one of them does not know its size.
+
+    Estimates behind a join multiply and may be far too large, so only the leaves of the plan are asked.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = (leaves.apply(i) for i in range(leaves.size()))
+    sizes = {leaf.canonicalized().hashCode(): int(str(leaf.stats().sizeInBytes())) for leaf in found}
+    return None if any(x >= 1 << 60 for x in sizes.values()) else sum(sizes.values())
+
+
+#: Tables below this size are dealt out in pieces for heavy text work, so that at most this much is ever shuffled for it.
+SPREAD_BYTES, PIECE_BYTES = 256 << 20, 1 << 20
 
-    Meant for small files in front of heavy text work. A large table already has many scan tasks and
-    passes unchanged, without a shuffle.
+
+def spread_pieces(df: DataFrame) -> int | None:
+    """In how many pieces a small table is dealt out; None for all others, which their scan splits are enough for.
+
+    A file of one row group has one scan split whatever its size. The answer depends on bytes alone, not on the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = input_bytes(df)
+    return None if size is None or size > SPREAD_BYTES else size // PIECE_BYTES + 1
+
+
+def spread(df: DataFrame) -> DataFrame:
+    pieces = spread_pieces(df)
+    return df if pieces is None else df.repartition(pieces)

@@ -301,3 +301,23 @@ def test_keyed_table(spark):
     table.compact()
     assert {r.k: tuple(r) for r in table.read().collect()} == want
     assert "Window" not in table.read()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_offset_without_a_limit(spark):
+    """All rows behind the offset, in order, and none of them through one task."""
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("id"), F.when(F.col("id") % 5 > 0, F.col("id") % 13).alias("c")).repartition(6)
+    out = S.page(df, F.col("c").desc_nulls_last(), F.col("id").asc(), offset=1_234)
+    want = [tuple(r) for r in df.orderBy(F.col("c").desc_nulls_last(), F.col("id").asc()).collect()][1_234:]
+    assert [tuple(r) for r in out.collect()] == want
+    assert out.rdd.getNumPartitions() > 1
+    assert S.page(df, F.col("id").asc(), offset=6_000).collect() == [] and S.page(df, offset=4_990).count() == 10
+
+
+def test_long_word_lists_are_refused(spark, monkeypatch):
+    from postlake.operators import lexicon as L
+
+    words = spark.range(30).select(F.concat(F.lit("w"), "id").alias("token"), F.lit(1.0).alias("valence"), F.lit(None).cast("double").alias("step"), F.lit(False).alias("negation"))
+    assert len(L.from_table(words).valences) == 30
+    monkeypatch.setattr(L, "MOST_WORDS", 29)
+    with pytest.raises(ValueError, match="score_with_table"):
+        L.from_table(words)
