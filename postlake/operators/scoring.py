@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from postlake.functions.marks import label_from_compound, label_from_polarity
 from postlake.functions.text import Col, JAVA_SPACE, WHITE_SPACE, _col, clean_text, fold_ascii
 from postlake.operators import lexicon as L
+from postlake.operators.stored import KeyedTable
 
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -276,12 +278,43 @@ def score_distinct(posts: DataFrame, method: str = "vader", lexicon=None, text:
     """
     from postlake.operators.joins import lookup_left_join
 
-    keyed = posts.withColumn("_text_key", F.md5(F.coalesce(F.col(text), F.lit("\u0000")).cast("binary")))
+    keyed = posts.withColumn("_text_key", text_key(text))
     once = keyed.groupBy("_text_key").agg(F.any_value(text).alias("_text"))
     memo = score(once, method, "_text", lexicon).drop("_text")
     return lookup_left_join(keyed, memo, "_text_key", [row_key]).drop("_text_key")
 
 
+class ScoreMemo:
+    """Scores of texts that are kept between runs, by digest of the text.
+
+    A run scores only texts that no run before it has scored, each once, and writes those as one small run of a stored
+    table. Known texts are found by a join of digests: a table far larger than the posts is cut by the engine's runtime
+    Bloom filter before it is shuffled. One memo belongs to one method and word list.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, method: str = "vader", lexicon=None):
+        self.method, self.lexicon = method, lexicon
+        sample = score(spark.createDataFrame([], "_text string"), method, "_text", lexicon).drop("_text")
+        schema = StructType([StructField("_text_key", StringType()), *sample.schema.fields, StructField("_seq", IntegerType())])
+        self.table = KeyedTable(spark, path, schema, ["_text_key"], "_seq")
+
+    def score(self, posts: DataFrame, text: str = "text", row_key: str = "id") -> DataFrame:
+        """All rows of ``posts`` with their scores; the memo has grown by the texts that are new to it."""
+        from postlake.operators.joins import lookup_left_join
+
+        keyed = posts.withColumn("_text_key", text_key(text))
+        known = self.table.read().select("_text_key")
+        once = keyed.groupBy("_text_key").agg(F.any_value(text).alias("_text")).join(known, "_text_key", "left_anti")
+        fresh = score(once, self.method, "_text", self.lexicon).drop("_text").withColumn("_seq", F.lit(0))
+        self.table.write(fresh, skip_empty=True)
+        return lookup_left_join(keyed, self.table.read().drop("_seq"), "_text_key", [row_key]).drop("_text_key")
+
+
+def text_key(text: Col) -> Column:
+    """Texts meet by digest; null is a text of its own."""
+    return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("\u0000")).cast("binary"))
+
+
 def score_with_table(df: DataFrame, words: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The valence rule against a lexicon table of any size (token, valence, step, negation).
 

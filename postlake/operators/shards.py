@@ -16,15 +16,25 @@ def with_shard(posts: DataFrame, shards_per_year: int = 4) -> DataFrame:
     return posts.withColumn(SHARD, shard_key("created_at", "id", shards_per_year))
 
 
-def write_sharded(posts: DataFrame, path: str, mode: str = "append") -> None:
+#: Bytes of a row group: what a look-up reads at least of each file that may hold the id.
+GROUP_BYTES = 32 << 20
+
+
+def write_sharded(posts: DataFrame, path: str, mode: str = "append", key: str = "id") -> None:
     """One folder per shard; rows are added. The rebalance hint lets AQE give a large shard many writers.
 
-    ``overwrite`` replaces the shards that ``posts`` touches, with all their rows; see ``upsert_sharded`` to keep the others.
+    Rows are sorted by ``key`` inside a file and row groups carry a Bloom filter of it, so a look-up by key skips the
+    files and row groups that do not hold it. ``overwrite`` replaces the shards that ``posts`` touches, with all their
+    rows; see ``upsert_sharded`` to keep the others.
     """
+    dealt = posts.hint("rebalance", SHARD)
+    if key in posts.columns:
+        dealt = dealt.sortWithinPartitions(SHARD, key)
     (
-        posts.hint("rebalance", SHARD)
-        .write.mode(mode)
+        dealt.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
+        .option(f"parquet.bloom.filter.enabled#{key}", True).option("parquet.bloom.filter.adaptive.enabled", True)
+        .option("parquet.block.size", GROUP_BYTES)
         .partitionBy(SHARD)
         .parquet(path)
     )
@@ -46,7 +56,7 @@ def upsert_sharded(posts: DataFrame, path: str, seq: str, key: str = "id") -> No
     touched = posts.select(SHARD).distinct()
     folder = versions.data_folder()
     merged = upsert(stored.join(touched, SHARD, "left_semi"), posts, [SHARD, key], seq)
-    write_sharded(merged, f"{path}/{folder}")
+    write_sharded(merged, f"{path}/{folder}", key=key)
     shards = {**(before["shards"] if before else {}), **{s: f"{folder}/{SHARD}={s}" for s in _shards_in(spark, f"{path}/{folder}")}}
     number = before["version"] + 1 if before else 1
     versions.commit(spark, path, {"version": number, "shards": shards, "folders": sorted({f.rsplit("/", 1)[0] for f in shards.values()})})
@@ -137,9 +147,14 @@ def placement(posts: DataFrame, shards_per_year: int = 4) -> DataFrame:
     return with_shard(posts, shards_per_year).groupBy(SHARD).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lookup_with_sentiment(table: DataFrame, scores: DataFrame, shard: str, post_id: str) -> DataFrame:
+def lookup(table: DataFrame, post_id: str, shard: str | None = None) -> DataFrame:
+    """One post: only the named shard is listed, and without one only row groups whose filter knows the id are read."""
+    return (table if shard is None else scan(table, shard)).filter(F.col("id") == post_id)
+
+
+def lookup_with_sentiment(table: DataFrame, scores: DataFrame, shard: str | None, post_id: str) -> DataFrame:
     """One post with its score columns; both sides are cut to the id before they meet."""
-    one = scan(table, shard).filter(F.col("id") == post_id)
+    one = lookup(table, post_id, shard)
     score = scores.filter(F.col("tweet_id") == post_id)
     return one.join(score, one["id"] == score["tweet_id"], "left").drop("tweet_id")
 

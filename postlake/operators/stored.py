@@ -41,8 +41,11 @@ class KeyedTable:
         listed = {"version": (before or {"version": 0})["version"] + 1, "txn": txn, "runs": runs, "folders": [r["folder"] for r in runs]}
         versions.commit(self.spark, self.path, listed)
 
-    def write(self, rows: DataFrame, txn: int | None = None) -> None:
-        """Put rows over those of the same keys. A ``txn`` that is not above the last one has been written already."""
+    def write(self, rows: DataFrame, txn: int | None = None, skip_empty: bool = False) -> None:
+        """Put rows over those of the same keys. A ``txn`` that is not above the last one has been written already.
+
+        With ``skip_empty`` a write without rows makes no version.
+        """
         before = versions.latest(self.spark, self.path)
         runs, last = (before["runs"], before["txn"]) if before else ([], None)
         if txn is not None and last is not None and txn <= last:
@@ -50,6 +53,8 @@ class KeyedTable:
         order = max((r["order"] for r in runs), default=0) + 1
         own = rows.select(*self.schema.fieldNames()).withColumn("_run", F.lit(order))
         run, level = self._add(self._last(own), 0, order), 0
+        if skip_empty and self._runs([run]).isEmpty():
+            return
         runs = [*runs, run]
         while len(same := [r for r in runs if r["level"] == level]) >= FANOUT:
             merged = self._add(self._last(self._runs(same)), level + 1, max(r["order"] for r in same))

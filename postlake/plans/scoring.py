@@ -6,7 +6,7 @@ from postlake.functions.text import SPACES
 from postlake.operators import lexicon as L, scoring as N
 from postlake.plans.registry import query
 from postlake.plans.text import CLEAN_SQL
-from postlake.session import spread
+from postlake.session import scratch_path, spread
 
 #: Fixed values for the scale queries.
 VALENCES = {"the": 0.1, "is": 0.3, "was": -0.4, "that": 0.2, "of": -0.1, "with": 0.5}
@@ -156,6 +156,19 @@ def _(t):
     return N.score_distinct(docs, lexicon=FIXTURE).select("id", "sentiment_compound", "sentiment_label")
 
 
+@query(
+    "memo_score_stored", "",
+    ", d AS (SELECT doc_id::VARCHAR AS id, text FROM documents), " + valence_sql("d", "text")
+    + " SELECT id, compound AS sentiment_compound, label AS sentiment_label FROM valence",
+)
+def _(t):
+    """Two runs over a stored memo: documents of even ids first, then all of them, which scores the others only."""
+    docs = spread(t.raw("documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    memo = N.ScoreMemo(t.spark, scratch_path(t.spark, "score-memo"), lexicon=FIXTURE)
+    memo.score(docs.filter(F.col("id").cast("bigint") % 2 == 0))
+    return memo.score(docs).select("id", "sentiment_compound", "sentiment_label")
+
+
 ENRICH_COLUMNS = (
     "id", "username", "lang", "text", "cleaned_text", "sentiment_label", "sentiment_compound", "sentiment_positive",
     "sentiment_negative", "sentiment_neutral", "sentiment_method",

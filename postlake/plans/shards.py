@@ -87,10 +87,21 @@ def _(t):
       WHERE shard_key = '2024_Q1' AND id = '24'""",
 )
 def _(t):
-    found = D.lookup_with_sentiment(D.with_shard(t.posts()), t.scores(), "2024_Q1", "24")
+    found = D.lookup_with_sentiment(_table(t), t.scores(), "2024_Q1", "24")
     return found.select("id", "created_at", "label", F.round("compound", 6).alias("compound"))
 
 
+@query(
+    "lookup_without_shard", "tw sa",
+    _SHARDED + """SELECT id, created_at, shard_key, sa.label, round(sa.compound, 6) AS compound FROM sharded LEFT JOIN sa ON id = tweet_id
+      WHERE id = '57'""",
+)
+def _(t):
+    """The same without a shard: the id's Bloom filters leave few row groups of the whole table."""
+    found = D.lookup_with_sentiment(_table(t), t.scores(), None, "57")
+    return found.select("id", "created_at", "shard_key", "label", F.round("compound", 6).alias("compound"))
+
+
 @query(
     "agg_shard_summary", "tw",
     _SHARDED + "SELECT shard_key, count(*) AS n, min(created_at) AS min_date, max(created_at) AS max_date FROM sharded GROUP BY 1",

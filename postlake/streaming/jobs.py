@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from postlake.operators.limits import replay
 from postlake.operators.scoring import score
+from postlake.operators.store import keep_last, row_digest
 from postlake.operators.stored import KeyedTable
 from postlake.sources.export import CSV_OPTIONS
 from postlake.session import scratch_path
@@ -148,13 +149,26 @@ def bounded_intake(stream: DataFrame, arrival: str, order: str, cap: int) -> Dat
     return stream.sparkSession.read.schema(with_batch(schema)).parquet(path).drop("batch_id")
 
 
-def dedup(stream: DataFrame, key: str, ts: str, within: str = "2 days") -> DataFrame:
-    """One row of every id, from the first micro-batch that has it (which one of that batch is open).
+def dedup(stream: DataFrame, key: str, ts: str) -> DataFrame:
+    """One row of every id, the earliest of the first micro-batch that has it; a null id is an id like any other.
 
-    Ids older than the watermark are forgotten, so the state stays bounded.
+    Ids that have been seen are kept in a stored table, one small run per micro-batch, and never forgotten, however far
+    event time has moved on. A micro-batch looks its ids up by a join on the id alone; the engine's runtime Bloom filter
+    cuts a long table to the ids that may match before anything is shuffled.
     """
-    fresh = stream.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
-    return collect_stream(fresh, "dedup").drop("batch_id")
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, "dedup")
+    kept = StructType([StructField("_id", stream.schema[key].dataType), StructField("_batch", LongType())])
+    seen = KeyedTable(spark, scratch_path(spark, "dedup-ids"), kept, ["_id"], "_batch")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = keep_last(batch, [key], [F.asc_nulls_last(ts), F.desc(row_digest(batch))])
+        known = seen.read(before_txn=batch_id).select("_id")
+        batch_writer(path)(first.join(known, F.col(key).eqNullSafe(F.col("_id")), "left_anti"), batch_id)
+        written = spark.read.schema(stream.schema).parquet(f"{path}/batch_id={batch_id}")
+        seen.write(written.select(F.col(key).alias("_id"), F.lit(batch_id).cast("bigint").alias("_batch")), batch_id)
+
+    run_batches(stream, write)
+    return spark.read.schema(with_batch(stream.schema)).parquet(path).drop("batch_id")
 
 
 def export(stream: DataFrame, fmt: str = "json") -> str:

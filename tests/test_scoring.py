@@ -160,3 +160,22 @@ def test_scoring_needs_no_shuffle(spark):
     plan = N.enrich(spark.range(5).select(F.col("id").cast("string"), F.lit("x").alias("text")))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_stored_memo(spark, monkeypatch):
+    """A second run over the same texts scores nothing; new texts, null and copies are scored once."""
+    from postlake.session import scratch_path
+    from postlake.sources import versions
+
+    texts = ["love it", "bad, bad", None, "", "table", "love it"] * 5
+    first = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    more = first.unionByName(spark.createDataFrame([("x", "a great day"), ("y", "love it")], first.schema))
+    memo = N.ScoreMemo(spark, scratch_path(spark, "t-memo"))
+    want = lambda df: sorted(((r["id"], r["sentiment_compound"], r["sentiment_label"]) for r in N.score(df).collect()))
+    got = lambda df: sorted(((r["id"], r["sentiment_compound"], r["sentiment_label"]) for r in df.collect()))
+    assert got(memo.score(first)) == want(first)
+    assert memo.table.read().count() == 5 and versions.latest(spark, memo.table.path)["version"] == 1
+    assert got(memo.score(first)) == want(first)
+    assert versions.latest(spark, memo.table.path)["version"] == 1
+    assert got(memo.score(more)) == want(more)
+    assert memo.table.read().count() == 6 and versions.latest(spark, memo.table.path)["version"] == 2

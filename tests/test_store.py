@@ -321,3 +321,26 @@ def test_long_word_lists_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_WORDS", 29)
     with pytest.raises(ValueError, match="score_with_table"):
         L.from_table(words)
+
+
+def test_look_up_reads_few_row_groups(spark, monkeypatch):
+    """With a shard only its folder is listed; without one the filters of the id skip the row groups of all shards."""
+    monkeypatch.setattr(D, "GROUP_BYTES", 16 << 10)
+    rows = spark.range(0, 40_000, 2).select(F.md5(F.col("id").cast("string")).alias("id"), F.concat(F.lit("2024_Q"), (F.col("id") % 4 + 1).cast("string")).alias("shard_key"), F.rand(3).alias("v"))
+    path = scratch_path(spark, "t-lookup")
+    D.write_sharded(rows, path)
+    table = D.read_sharded(spark, path)
+
+    def read(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().apply(0)
+        return leaf.metrics().apply("numOutputRows").value(), leaf.toString()
+
+    import hashlib
+
+    there, absent = (hashlib.md5(str(i).encode()).hexdigest() for i in (2_000, 2_001))
+    n, plan = read(D.lookup(table, there, "2024_Q1"))
+    assert D.lookup(table, there, "2024_Q1").count() == 1 and D.lookup(table, there).count() == 1 and D.lookup(table, absent).count() == 0
+    assert 0 < n < 5_000 and "PartitionFilters: [isnotnull(shard_key" in plan and f"EqualTo(id,{there})" in plan
+    assert read(D.lookup(table, there))[0] < 10_000 and read(D.lookup(table, absent))[0] == 0

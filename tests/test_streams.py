@@ -111,6 +111,21 @@ def test_dedup_upsert_intake(spark):
     assert sorted((r["id"], r["seq"], r["grp"], r["admitted"]) for r in taken) == sorted((*r, int(r[1] % 60 < 45)) for r in rows)
 
 
+def test_dedup_over_a_long_time(spark):
+    """Ids that come again after months, later and earlier in event time, are still known; null is an id."""
+    rows = [(None if i % 50 == 7 else i % 50, i, (i * 37 % 180) * 86_400) for i in range(180)]
+    df = spark.createDataFrame(rows, "id bigint, seq bigint, s bigint").withColumn("at", F.timestamp_seconds("s"))
+    out = J.dedup(stream_files(spark, arrive(spark, df, "seq", 6), df.schema, max_files=1), "id", "at").collect()
+    want = {}
+    for start in range(0, 180, 30):
+        best = {}
+        for r in rows[start : start + 30]:
+            if r[0] not in want and (r[0] not in best or r[2] < best[r[0]][2]):
+                best[r[0]] = r
+        want |= best
+    assert sorted(((r["id"], r["seq"]) for r in out), key=str) == sorted(((k, v[1]) for k, v in want.items()), key=str)
+
+
 def test_intake_over_batches(spark):
     """Arrivals that are spread over several micro-batches get their places once."""
     rows = [(i, i, None if i // 60 == 2 else i // 60) for i in range(240)]
