@@ -16,6 +16,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
+from calendar import monthrange
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -40,6 +43,9 @@ _STRICT = {
     "ssn": _forms(r"\w|-[0-9]", r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "card": _forms(r"\w", r"(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])(?:[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?:(?P=s)[0-9]{3})?|[0-9]{6}(?P=s)[0-9]{4,5}))"),
 }
+#: Without a country code a telephone number has a pattern that only they have: an area code in brackets, groups of
+#: three, three and four digits, or a trunk 0 and nine digits at least. Ranges of years, counts in groups, pages and the
+#: inside of longer codes have none of them.
 _LOOSE = {
     "card": _forms(r"\w", r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}"),
     "phone": _forms(
@@ -47,15 +53,17 @@ _LOOSE = {
         r"(?<![\w.])(?:\+1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}",
         r"(?<![\w.])\+(?:1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{8,15})",
         r"(?<![\w.])\+[0-9]{1,15}(?:[ .-]?\([0-9]{1,5}\)[ .-]?[0-9]{1,12}|[ .-][0-9]{1,12}){0,14}",
-        r"(?<![\w.])(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){0,7}[0-9]{3,8}",
+        r"(?<![\w.-])[0-9]{3} [0-9]{3}[ .-][0-9]{4}",
+        r"(?<![\w.-])\([0-9]{2,4}\)[ .-]?(?:[0-9]{2,4}[ .-]){0,7}[0-9]{3,8}",
+        r"(?<![\w.-])0[1-9][0-9]{0,3}(?:[ .-][0-9]{2,4}){0,6}[ .-][0-9]{2,8}",
     ),
 }
 _STRICT_START = re.compile(r"(?<!\w)(?:[0-9]{1,6}[-/. ][0-9]|[0-9]{13}|[A-Z]{2}[0-9]{2}[ A-Z0-9])", re.ASCII)
 _LOOSE_START = re.compile(r"(?<!\w)(?:\+[0-9]|\+?\([0-9]{2,4}\)|[0-9]{1,18}[ .-][0-9]|[0-9]{13})", re.ASCII)
 #: Country codes that are not of three digits.
 _CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
-_DAY_ZERO = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2099, 12, 31).toordinal() - _DAY_ZERO + 1
+#: How many days after the twelfth there are before each month from January 1900 to the end of 2099.
+_LATE = [0, *accumulate(monthrange(y, m)[1] - 12 for y in range(1900, 2100) for m in range(1, 13))]
 
 
 class Permuter:
@@ -138,6 +146,22 @@ def _iban(p: Permuter, text: str) -> str | None:
     return "".join(c if c == " " else next(fresh) for c in text)
 
 
+def _other_date(p: Permuter, year: int, month: int, day: int) -> tuple[int, int, int]:
+    """Days up to the twelfth and later ones are permuted apart, in every way to write a date.
+
+    A day that could be a month stays one, so a pseudonym is read like its date, and all forms of a date stay linked.
+    """
+    place = (year - 1900) * 12 + month - 1
+    if day <= 12:
+        place, day = divmod(p.permute(place * 12 + day - 1, (len(_LATE) - 1) * 12, "date12"), 12)
+        day += 1
+    else:
+        value = p.permute(_LATE[place] + day - 13, _LATE[-1], "date31")
+        place = bisect_right(_LATE, value) - 1
+        day = value - _LATE[place] + 13
+    return 1900 + place // 12, place % 12 + 1, day
+
+
 def _date(p: Permuter, text: str) -> str | None:
     parts = re.split(r"[-/.]", text)
     sign = text[len(parts[0])]
@@ -147,18 +171,14 @@ def _date(p: Permuter, text: str) -> str | None:
         order = (2, 0, 1) if sign == "/" and int(parts[0]) <= 12 else (2, 1, 0)
     year, month, day = (int(parts[i]) for i in order)
     try:
-        ordinal = datetime.date(year, month, day).toordinal() - _DAY_ZERO
+        datetime.date(year, month, day)
     except ValueError:
         return None
-    if not 0 <= ordinal < _DAYS:
+    if not 1900 <= year <= 2099:
         return None
-    new = datetime.date.fromordinal(p.permute(ordinal, _DAYS, "date") + _DAY_ZERO)
-    if order == (2, 1, 0) and sign == "/" and new.day <= 12:
-        # Day first and slashes: a day that could be a month would be read the other way.
-        while new.day <= 12:
-            new = datetime.date.fromordinal(p.permute(new.toordinal() - _DAY_ZERO, _DAYS, "date") + _DAY_ZERO)
+    year, month, day = _other_date(p, year, month, day)
     out = ["", "", ""]
-    for i, n in zip(order, (new.year, new.month, new.day), strict=True):
+    for i, n in zip(order, (year, month, day), strict=True):
         out[i] = str(n).zfill(len(parts[i])) if len(parts[i]) > 1 else str(n)
     return sign.join(out)
 
@@ -186,7 +206,7 @@ def _ssn(p: Permuter, text: str) -> str | None:
 
 def _phone(p: Permuter, text: str) -> str | None:
     digits = _only_digits(text)
-    if not 8 <= len(digits) <= 15:
+    if not (9 if text[0] == "0" else 8) <= len(digits) <= 15:
         return None
     # The country code stays; it is read from the digits, so that spacing makes no difference.
     code = _CODE.match(digits)
