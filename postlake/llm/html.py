@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,10 @@ from postlake.llm.arrow import batch_of, map_slices
 #: Pages that the field is fitted to, at most, and the longest of them in bytes.
 SAMPLE_PAGES, SAMPLE_PAGE_BYTES = 400, 200_000
 EPOCHS, RATE, DECAY = 30, 0.2, 1e-4
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_COMMENT, _DECLARED, _PLAIN = re.compile(r"<!--.*?(?:-->|\Z)", re.S), re.compile(r"<[!?][^>]*>"), re.compile(r"[^<]+|<")
+#: A tag without < or > in its attributes, which is read up to the next of them only; and how any tag begins.
+_SIMPLE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*)*)>")
+_OPENS, _STOP = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)"), re.compile(r"[>\"']")
 _UNSEEN = {"script", "style", "noscript", "template", "textarea", "svg", "head", "title", "select", "option", "iframe", "object", "canvas", "math"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 _RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in _RAW}
@@ -36,6 +40,9 @@ _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
+#: Elements whose standing above a block is looked at; a page may make up any number of others.
+_KNOWN = _ENDS_P | _UNSEEN | _HEAD | set("body button caption center col colgroup dd details dialog dir dt fieldset figcaption frame frameset hgroup input legend li menu optgroup summary tbody td tfoot th thead tr video audio picture search output progress meter slot applet article main".split()) - _INLINE
+_LISTS = ("table", "ul", "ol", "dl")
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Words in names of what is no article, by what they tell.
@@ -53,56 +60,153 @@ _MAIN_TAGS = {"article", "main"}
 _MAIN_NAMES = {"article", "content", "main", "post", "entry", "story", "body", "text", "articlebody"}
 
 
+#: Words in names that tell anything; others are not carried along.
+_TELLING = _MAIN_NAMES | _ASIDE_OF.keys()
+
+
 class Block(NamedTuple):
     text: str
-    tags: tuple[str, ...]
+    own: str                # tag of the innermost block-level element
+    tags: frozenset[str]    # known block-level elements that it stands in
+    names: frozenset[str]   # telling words in their names
+    linked: float           # share of characters inside links
+
+
+class _Open(NamedTuple):
+    """An open element, with what it and all elements above it come to."""
+
+    tag: str
+    own_names: frozenset[str]
+    own: str
+    tags: frozenset[str]
     names: frozenset[str]
-    linked: float   # share of characters inside links
+    unseen: int
+
+
+_ROOT = _Open("", frozenset(), "none", frozenset(), frozenset(), 0)
+
+
+class _Stack:
+    """The open elements of a page. Every question is answered without going through them; sets are shared while they stay the same."""
+
+    def __init__(self):
+        self.items: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.unseen_places: list[int] = []
+
+    @property
+    def top(self) -> _Open:
+        return self.items[-1] if self.items else _ROOT
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, names: frozenset[str]) -> None:
+        above, inline = self.top, tag in _INLINE
+        tags = above.tags if inline or tag not in _KNOWN or tag in above.tags else above.tags | {tag}
+        every = above.names if names <= above.names else above.names | names
+        self.places.setdefault(tag, []).append(len(self.items))
+        if not inline:
+            self.block_places.append(len(self.items))
+        if tag in _UNSEEN:
+            self.unseen_places.append(len(self.items))
+        self.items.append(_Open(tag, names, above.own if inline else tag, tags, every, above.unseen + (tag in _UNSEEN)))
+
+    def cut(self, depth: int) -> list[_Open]:
+        """Close the element at ``depth`` and all inside it; returns them, outermost first."""
+        gone = self.items[depth:]
+        del self.items[depth:]
+        for item in reversed(gone):
+            self.places[item.tag].pop()
+        for places in (self.block_places, self.unseen_places):
+            while places and places[-1] >= depth:
+                places.pop()
+        return gone
+
+    def again(self, items: list[_Open]) -> None:
+        for item in items:
+            self.push(item.tag, item.own_names)
+
+
+class _Tags:
+    """Tags whose attributes hold < or > in quotes, or that never end. All of them together take time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.stops = [m.start() for m in _STOP.finditer(page)]
+        self.signs = [page[i] for i in self.stops]
+        self.following, later = [-1] * len(self.stops), {}
+        for k in range(len(self.stops) - 1, -1, -1):
+            self.following[k] = later.get(self.signs[k], -1)
+            later[self.signs[k]] = k
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Where a tag ends whose name ends at ``at``, or -1: at the next > that is not in quotes."""
+        k, passed = bisect_left(self.stops, at), []
+        while k < len(self.stops) and k not in self.failed:
+            if self.signs[k] == ">":
+                return self.stops[k] + 1
+            passed.append(k)
+            if self.following[k] < 0:
+                break
+            k = self.following[k] + 1
+        self.failed.update(passed)
+        return -1
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order."""
-    stack: list[tuple[str, frozenset[str]]] = []
-    out: list[Block] = []
-    text: list[str] = []
+    """The leaf blocks of a page, in order, in time and memory in proportion to the page however it is nested."""
+    stack, out, text = _Stack(), [], []
     linked = 0
+    last_end, tags, endless = page.rfind(">"), None, set()
 
     def close() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            tags = tuple(t for t, _ in stack if t not in _INLINE)
-            out.append(Block(joined, tags, frozenset().union(*(n for _, n in stack)), min(1.0, linked / len(joined))))
+            top = stack.top
+            out.append(Block(joined, top.own, top.tags, top.names, min(1.0, linked / len(joined))))
         text.clear()
         linked = 0
 
-    at, unseen = 0, 0
+    at = 0
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if unseen and not m[1] and (tag not in _HEAD if tag else not m[0].startswith(("<!", "<?")) and m[0].strip()):
-            depth = next((i for i, s in enumerate(stack) if s[0] == "head"), None)
-            if depth is not None and all(t != "template" for t, _ in stack[depth:]):
+        ends, tag, attributes, whole = False, "", "", None
+        if page[at] == "<":
+            if page.startswith(("<!", "<?"), at):
+                m = _COMMENT.match(page, at) if page.startswith("<!--", at) else _DECLARED.match(page, at) if at < last_end else None
+                whole = m[0] if m else None
+            elif m := _SIMPLE.match(page, at):
+                whole, ends, tag, attributes = m[0], bool(m[1]), m[2].lower(), m[3]
+            elif at < last_end and (m := _OPENS.match(page, at)):
+                tags = tags or _Tags(page)
+                if (end := tags.end(m.end())) >= 0:
+                    whole, ends, tag, attributes = page[at:end], bool(m[1]), m[2].lower(), page[m.end():end - 1]
+        if whole is None:
+            whole = _PLAIN.match(page, at)[0]
+        at += len(whole)
+        hidden = whole.startswith(("<!", "<?")) and len(whole) > 1
+        if stack.top.unseen and not ends and (tag not in _HEAD if tag else not hidden and whole.strip()):
+            heads = stack.places.get("head")
+            if heads and stack.last("template") < heads[0]:
                 close()
-                del stack[depth:]
-                unseen = sum(t in _UNSEEN for t, _ in stack)
+                stack.cut(heads[0])
         if not tag:
-            if not m[0].startswith(("<!", "<?")) and not unseen:
-                text.append(m[0])
-                if any(t == "a" for t, _ in stack):
-                    linked += len(m[0].strip())
+            if not hidden and not stack.top.unseen:
+                text.append(whole)
+                if stack.last("a") >= 0:
+                    linked += len(whole.strip())
             continue
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if ends:
+            depth = stack.last(tag)
             if tag not in _INLINE:
                 close()
-            if depth is not None:
-                # An inline end tag does not end the blocks inside it.
-                if tag in _INLINE and any(t not in _INLINE for t, _ in stack[depth:]):
-                    continue
-                del stack[depth:]
-                unseen = sum(t in _UNSEEN for t, _ in stack)
+            # An inline end tag does not end the blocks inside it.
+            if depth >= 0 and not (tag in _INLINE and stack.block_places and stack.block_places[-1] > depth):
+                stack.cut(depth)
             continue
         if tag == "br":
             text.append(" ")
@@ -110,39 +214,31 @@ def blocks(page: str) -> list[Block]:
         if tag not in _INLINE:
             close()
             shut = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in shut), None)
-            if depth is not None and not any(t in ("table", "ul", "ol", "dl") and tag != "p" for t, _ in stack[depth + 1:]):
-                inner = [s for s in stack[depth + 1:] if s[0] in _INLINE]
-                del stack[depth:]
-                stack += inner
-        if tag in _VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
+            depth = max((stack.last(t) for t in shut), default=-1)
+            if depth >= 0 and (tag == "p" or all(stack.last(t) <= depth for t in _LISTS)):
+                stack.again([s for s in stack.cut(depth)[1:] if s.tag in _INLINE])
+        if tag in _VOID or attributes.rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        names = frozenset(w.lower() for a in _ATTRIBUTE.finditer(m[3]) for w in _NAME.findall(a[2])) if m[3] else frozenset()
         if tag in _RAW:
-            end = _RAW_END[tag].search(page, at)
+            end = None if tag in endless else _RAW_END[tag].search(page, at)
             if not end and tag != "title":
                 return out  # never closed: the rest is raw
+            if not end:
+                endless.add(tag)
             shut = page.find(">", end.start() if end else at)
             at = len(page) if shut < 0 else shut + 1
             continue
-        stack.append((tag, names))
-        unseen += tag in _UNSEEN
-        if tag == "body":
-            stack = [s for s in stack if s[0] not in _UNSEEN]
-            unseen = 0
+        names = frozenset(w.lower() for a in _ATTRIBUTE.finditer(attributes) for w in _NAME.findall(a[2])) if attributes else frozenset()
+        stack.push(tag, names & _TELLING)
+        if tag == "body" and stack.unseen_places:
+            stack.again([s for s in stack.cut(stack.unseen_places[0]) if s.tag not in _UNSEEN])
     close()
     return out
 
 
 def by_rule(block: Block) -> int:
     """1 for what a page itself marks as its article."""
-    inside = False
-    for tag in block.tags:
-        if tag in _MAIN_TAGS:
-            inside = True
-        elif tag in _ASIDE_TAGS:
-            return 0
-    return int(inside and not any(n in _ASIDE_OF for n in block.names))
+    return int(not block.tags.isdisjoint(_MAIN_TAGS) and block.tags.isdisjoint(_ASIDE_TAGS) and block.names.isdisjoint(_ASIDE_OF))
 
 
 def _bin(n: float) -> int:
@@ -157,7 +253,7 @@ def features(page: list[Block], view: np.ndarray | None = None) -> list[list[str
         if view is not None and view[i]:
             marks = {"article"} if view[i] == 2 else set()
         aside = {_ASIDE_TAGS[t] for t in b.tags if t in _ASIDE_TAGS} | {_ASIDE_OF[n] for n in b.names if n in _ASIDE_OF}
-        own = next((t for t in reversed(b.tags)), "none")
+        own = b.own
         words = b.text.split()
         kinds, own_tag, above = set(aside), own, set(b.tags) - {"html", "body", "div"} - _MAIN_TAGS
         if view is not None:
