@@ -1,15 +1,21 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over long tokens. DataFrame functions only.
 
-A candidate is a run of 20 or more characters of base-64 alphabets. Its encoding is the smallest alphabet that holds
-it (hex, base 32, base 62, base 64). Under a random draw from that alphabet three statistics are standard normal: the
-chi-squared sum of the character counts, the number of runs above and below the middle of the alphabet, and the serial
-correlation of neighbours. A candidate that fails one of them is not random. The others are tested against ordinary
-names and words, which seldom change between small letters, capitals, digits and signs: the chance of so many changes
-is bounded by Chernoff's bound. These chances go through Benjamini and Hochberg's rule at ``FALSE_DISCOVERY`` within
-each encoding and class of length, from counts over all documents in bins of equal width of the logarithm.
-
-Defined results: null and empty texts hold no secret; texts are read whole; equal rows give equal results; an empty
-table gives an empty table; input columns that have the name of a new one are replaced.
+A candidate is a run of 20 or more characters of base-64 alphabets. Its encoding is the smallest alphabet that holds it
+(hex, base 32, base 62, base 64). Three tests each give the chance of what is seen under a random draw from that alphabet:
+
+* chi-squared of the counts in equal parts of the alphabet, as many parts as leave five characters expected in each; their
+  number is odd, so the chance is a closed sum;
+* runs above and below the middle of the alphabet, whose changes are binomial: summed exactly up to 600 characters;
+* serial correlation of neighbours, by the normal law.
+
+The three are combined by Fisher's rule, and the combined chances go through Benjamini and Hochberg's rule at
+``FALSE_DISCOVERY`` within each encoding and class of length, over all documents: what it discovers is a token that is
+*not* random, and of those at most that share are random ones. All other candidates are reported as random. The rule
+works on counts in bins of equal width of the logarithm, so that what comes back from the documents is bounded.
+
+Defined results: null and empty texts hold no secret; texts are read whole; equal rows, and candidates with equal
+chances, give equal results; an empty table gives an empty table; input columns that have the name of a new one are
+replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +30,12 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Share of false discoveries, and how far a statistic of a random token may stray.
-FALSE_DISCOVERY, STRAY = 0.01, 3.5
-#: Chance of a change of character class between two neighbours in ordinary names.
-CHANGE = 0.12
+#: Share of random tokens among those that are found not to be random, at most.
+FALSE_DISCOVERY = 0.01
+#: Characters expected in each part of the alphabet, at least, and the most parts.
+EXPECTED, PARTS = 5, 15
+#: Changes that are summed exactly; more follow the normal law.
+EXACT = 600
 #: Bins of the logarithm of the chance: width and number.
 BIN_WIDTH, BINS = 0.25, 240
 LENGTHS = (32, 64, 128)
@@ -75,67 +83,129 @@ def encoding(value: Column) -> Column:
     )
 
 
-def _tests(encoding: Column, value: Column) -> Column:
-    """(chance, strays) of one candidate: chance is the natural logarithm of Chernoff's bound."""
+def _erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0, by Chebyshev's fit with a relative error of 1.2e-7 everywhere."""
+    t = 1 / (1 + z / 2)
+    # Fixed values of the fit, from the highest power down.
+    fit = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+    power = F.lit(0.0)
+    for c in fit:
+        power = power * t + c
+    return t * F.exp(-z * z + power)
+
+
+def _two_sided(z: Column) -> Column:
+    return _erfc(F.abs(z) / math.sqrt(2))
+
+
+def _tail(half: Column, terms: Column) -> Column:
+    """Chance of a chi-squared of 2 * ``terms`` degrees beyond 2 * ``half``: exp(-half) times the first terms of its series."""
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    series = F.aggregate(
+        F.when(terms > 1, F.sequence(F.lit(1), terms - 1)).otherwise(F.array().cast("array<int>")), one,
+        lambda s, i: F.struct((s["term"] * half / i).alias("term"), (s["sum"] + s["term"] * half / i).alias("sum")), lambda s: s["sum"],
+    )
+    return F.least(F.exp(-half) * series, F.lit(1.0))
+
+
+def _binomial(n: Column, seen: Column) -> Column:
+    """Two-sided chance of ``seen`` changes, or as few or many, among ``n`` that are as likely as not."""
+    low = F.least(seen, n - seen)
+    first = F.pow(F.lit(2.0), -n)
+    start = F.struct(first.alias("term"), first.alias("sum"))
+    steps = F.when(low > 0, F.sequence(F.lit(1), low.cast("int"))).otherwise(F.array().cast("array<int>"))
+    exact = F.aggregate(
+        steps, start, lambda s, i: F.struct((s["term"] * (n - i + 1) / i).alias("term"), (s["sum"] + s["term"] * (n - i + 1) / i).alias("sum")), lambda s: s["sum"],
+    )
+    normal = _two_sided((F.abs(seen - n / 2) - 0.5) / F.sqrt(n / 4))
+    return F.least(F.when(n <= EXACT, 2 * exact).otherwise(normal), F.lit(1.0))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` over a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def chances(encoding: Column, value: Column) -> Column:
+    """The chances of the three tests under a random draw, and all of them combined."""
     body = F.rtrim(value, F.lit("="))
     plain = F.when(encoding == "hex", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
     alphabet = F.coalesce(*[F.when(encoding == name, F.lit(a)) for name, a in _ALPHABETS.items()])
-    k = F.char_length(alphabet).cast("double")
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    codes = F.transform(chars, lambda c: (F.position(c, alphabet) - 1).cast("double"))
     zero = F.lit(0.0)
-    squares = F.aggregate(
-        F.array_distinct(chars), zero, lambda total, c: total + F.pow(F.size(F.filter(chars, lambda x: x == c)).cast("double"), F.lit(2.0)))
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    pairs = lambda values: F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    middle, spread = (k - 1) / 2, (k * k - 1) / 12
-    runs = F.aggregate(pairs(codes), zero, lambda total, p: total + F.when((p["a"] > middle) != (p["b"] > middle), 1.0).otherwise(0.0))
-    runs = (runs - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = F.aggregate(pairs(codes), zero, lambda total, p: total + (p["a"] - middle) * (p["b"] - middle)) / spread / F.sqrt(n - 1)
-    class_of = lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4)
-    classes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), class_of)
-    share = F.aggregate(pairs(classes), zero, lambda total, p: total + F.when(p["a"] != p["b"], 1.0).otherwise(0.0)) / (n - 1)
-    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-    divergence = part(share, F.lit(CHANGE)) + part(1 - share, F.lit(1 - CHANGE))
-    chance = F.when(share > CHANGE, -(n - 1) * divergence).otherwise(0.0)
-    return F.struct(chance.alias("chance"), F.greatest(chi, F.abs(runs), F.abs(serial)).alias("strays"))
+
+    def with_codes(t: Column) -> Column:
+        codes, k = t["codes"], t["k"]
+        n = F.size(codes).cast("double")
+        pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        # An odd number of parts, so that the degrees of freedom are even.
+        parts = F.least(F.floor((n / EXPECTED - 1) / 2) * 2 + 1, F.lit(PARTS), F.floor((k - 1) / 2) * 2 + 1).cast("int")
+        made = F.struct(codes.alias("codes"), k.alias("k"), n.alias("n"), parts.alias("parts"), pairs.alias("pairs"))
+        return _bind(made, tested)
+
+    def tested(t: Column) -> Column:
+        codes, k, n, parts, pairs = (t[c] for c in ("codes", "k", "n", "parts", "pairs"))
+        placed = F.array_sort(F.transform(codes, lambda c: F.floor(c * parts / k).cast("int")))
+        # In order, so that the count of a part is the way from its first place to that of the next one.
+        upto = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.size(F.filter(placed, lambda x: x <= i)).cast("double"))
+        seen = F.zip_with(upto, F.concat(F.array(zero), F.slice(upto, 1, parts - 1)), lambda x, y: x - y)
+        # The alphabet is not always divided evenly: a part expects as many characters as it holds.
+        holds = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: n * (F.ceil((i + 1) * k / parts) - F.ceil(i * k / parts)) / k)
+        chi = F.aggregate(F.zip_with(seen, holds, lambda o, e: (o - e) * (o - e) / e), zero, lambda total, x: total + x)
+        middle, spread = (k - 1) / 2, (k * k - 1) / 12
+        changes = F.aggregate(pairs, zero, lambda total, p: total + F.when((p["a"] > middle) != (p["b"] > middle), 1.0).otherwise(0.0))
+        serial = F.aggregate(pairs, zero, lambda total, p: total + (p["a"] - middle) * (p["b"] - middle)) / spread / F.sqrt(n - 1)
+        return _bind(F.struct(n.alias("n"), parts.alias("parts"), (chi / 2).alias("half"), changes.alias("changes"), serial.alias("serial")), combined)
+
+    def combined(t: Column) -> Column:
+        least = F.lit(1e-300)
+        uniform = F.greatest(_tail(t["half"], F.floor((t["parts"] - 1) / 2).cast("int")), least)
+        three = F.struct(uniform.alias("uniform"), F.greatest(_binomial(t["n"] - 1, t["changes"]), least).alias("runs"), F.greatest(_two_sided(t["serial"]), least).alias("serial"))
+        return _bind(three, lambda c: F.struct(
+            c["uniform"].alias("uniform"), c["runs"].alias("runs"), c["serial"].alias("serial"),
+            _bind(-(F.log(c["uniform"]) + F.log(c["runs"]) + F.log(c["serial"])), lambda half: F.exp(-half) * (1 + half + half * half / 2)).alias("all"),
+        ))
+
+    coded = _bind(alphabet, lambda a: F.struct(
+        F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: (F.position(c, a) - 1).cast("double")).alias("codes"),
+        F.char_length(a).cast("double").alias("k")))
+    return _bind(coded, with_codes)
 
 
 def candidates(text: Column) -> Column:
-    """Tokens that no test of randomness rejects: start, end, group (encoding and class of length), bin of the chance."""
-    size = lambda m: F.char_length(m["value"])
-    group = lambda m: F.concat(encoding(m["value"]), F.lit("-"), sum((F.when(size(m) > n, 1).otherwise(0) for n in LENGTHS), F.lit(0)).cast("string"))
-    mixed = F.filter(located(text, CANDIDATE), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]"))
-    tested = F.transform(mixed, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), group(m).alias("group"), _tests(encoding(m["value"]), m["value"]).alias("t")))
-    random = F.filter(tested, lambda c: (c["t"]["strays"] <= STRAY) & (c["t"]["chance"] < 0))
-    # A bin stands for its largest chance, so that the rule errs on the safe side.
-    return F.transform(random, lambda c: F.struct(
-        c["start"].alias("start"), c["end"].alias("end"), c["group"].alias("group"),
-        F.least(F.floor(-c["t"]["chance"] / BIN_WIDTH), F.lit(BINS)).cast("int").alias("bin")))
+    """All long tokens with an encoding: start, end, group (encoding and class of length), bin of the combined chance."""
+    length = lambda v: sum((F.when(F.char_length(v) > n, 1).otherwise(0) for n in LENGTHS), F.lit(0)).cast("string")
+    named = F.transform(located(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), encoding(m["value"]).alias("encoding")))
+    # A bin stands for its largest chance.
+    bin_of = lambda c: F.least(F.floor(-F.log(F.greatest(c, F.lit(1e-300))) / BIN_WIDTH), F.lit(BINS)).cast("int")
+    return F.transform(F.filter(named, lambda m: m["encoding"].isNotNull()), lambda m: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), F.concat(m["encoding"], F.lit("-"), length(m["value"])).alias("group"),
+        bin_of(chances(m["encoding"], m["value"])["all"]).alias("bin")))
 
 
 def limits(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Per group the lowest bin that the rule accepts; at most BINS counts per group come back."""
+    """Per group the lowest bin that is found not to be random; at most BINS counts per group come back."""
     tested = docs.select(F.explode(F.transform(candidates(F.col(text)), lambda c: F.struct(c["group"].alias("group"), c["bin"].alias("bin")))).alias("c"))
     counts: dict[str, dict[int, int]] = {}
     for row in tested.groupBy("c.group", "c.bin").count().collect():
         counts.setdefault(row["group"], {})[row["bin"]] = row["count"]
-    out = {}
-    for group, bins in counts.items():
-        total, so_far = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            so_far += bins[b]
-            if math.exp(-b * BIN_WIDTH) <= FALSE_DISCOVERY * so_far / total:
-                out[group] = b
+    return {group: found for group, bins in counts.items() if (found := lowest_bin(bins)) is not None}
+
+
+def lowest_bin(bins: dict[int, int]) -> int | None:
+    """Benjamini and Hochberg's rule over counts per bin: the largest chance whose discoveries keep to the share."""
+    total, so_far, out = sum(bins.values()), 0, None
+    for b in sorted(bins, reverse=True):
+        so_far += bins[b]
+        if math.exp(-b * BIN_WIDTH) <= FALSE_DISCOVERY * so_far / total:
+            out = b
     return out
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with n_assign, n_access, n_hex, n_random, base_sha256 and spans."""
     value = F.coalesce(F.col(text), F.lit(""))
-    accepted = limits(docs, text)
-    passes = lambda c: F.coalesce(*[F.when(c["group"] == g, c["bin"] >= b) for g, b in sorted(accepted.items())], F.lit(False))
+    discovered = limits(docs, text)
+    passes = lambda c: F.coalesce(*[F.when(c["group"] == g, c["bin"] < b) for g, b in sorted(discovered.items())], F.lit(True))
     found = docs.withColumns({
         "_assign": F.filter(located(value, ASSIGN, 2), lambda m: F.char_length(m["value"]) >= 8),
         "_access": located(value, ACCESS), "_hex": located(value, HEX), "_random": F.filter(candidates(value), passes),
