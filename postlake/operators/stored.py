@@ -66,7 +66,8 @@ class KeyedTable:
         fits = (lambda v: True) if before_txn is None else (lambda v: v["txn"] is None or v["txn"] < before_txn)
         found = versions.latest(self.spark, self.path, fits)
         if found is None or not found["runs"]:
-            return self.spark.createDataFrame([], self.schema)
+            # known to be empty when the plan is made, so joins with it vanish
+            return self.spark.createDataFrame([], self.schema).filter(F.lit(False))
         if len(found["runs"]) == 1:
             return self._runs(found["runs"]).drop("_run")
         return self._last(self._runs(found["runs"]))

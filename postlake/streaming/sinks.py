@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructType
 
-from postlake.session import is_directory, scratch_path
+from postlake.session import input_bytes, is_directory, scratch_path
+
+#: Bytes of input for one file of ``write_arrivals``.
+ARRIVAL_BYTES = 128 << 20
 
 
 def stream_files(
@@ -26,6 +30,26 @@ def stream_files(
     return reader.option("pathGlobFilter", name).load(folder)
 
 
+def write_arrivals(df: DataFrame, by: str | Column, path: str, parts: int = 4) -> int:
+    """Write a table as files that a file stream takes up in the order of ``by``; returns how many make one of ``parts``.
+
+    One job writes the ranges of ``by`` at the same time; their files then get modification times in that order, a
+    millisecond apart, as a stream goes by those. Rows of one value of ``by`` share a file, and nulls come first. Small
+    tables have ``parts`` files, larger ones as many as their bytes ask for; an empty one has a file without rows.
+    """
+    spark = df.sparkSession
+    wanted = max(parts, (input_bytes(df) or 0) // ARRIVAL_BYTES + 1)
+    df.repartitionByRange(wanted, by).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Names begin with the number of the range.
+    files = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    first = int(time.time() * 1000) - len(files)
+    for number, file in enumerate(files):
+        fs.setTimes(file, first + number, -1)
+    return max(1, -(-len(files) // parts))
+
+
 def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
     """Feed every micro-batch to ``write`` until the input known at the start is used up."""
     spark = stream.sparkSession
