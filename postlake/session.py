@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
+#: Open scratch scopes, the innermost last, with the paths given out in each.
+_SCOPES: list[list[str]] = []
 
 
 def local_session(app: str = "postlake", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -56,7 +60,30 @@ def shared_base(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten in place."""
-    return f"{shared_base(spark)}/postlake/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/postlake/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch folders made inside once it ends, also by an error.
+
+    Whatever is built inside has to be written, to a path from before the scope, when the scope ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder; one that was never written is no error."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

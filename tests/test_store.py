@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from postlake.functions import packing as K
 from postlake.operators import joins as J, search as Q, shards as D, store as S
 from postlake.schema import POST
-from postlake.session import scratch_path
+from postlake.session import exists, scratch_path, scratch_scope
 from postlake.sources import export as E, ingest as I
 
 
@@ -243,7 +243,7 @@ def test_result_keys_differ(spark):
 def test_shards_are_swapped_at_once(spark, monkeypatch):
     """A writer that dies before, or loses against another one at, the swap leaves the table as it was."""
     from postlake.operators import shards
-    from postlake.session import scratch_path
+    from postlake.session import exists, scratch_path, scratch_scope
     from postlake.sources import versions
 
     path, kind = scratch_path(spark, "t-swap"), "id string, seq bigint, v string, shard_key string"
@@ -278,7 +278,7 @@ def test_keyed_table(spark):
     import random
 
     from postlake.operators.stored import FANOUT, KeyedTable
-    from postlake.session import scratch_path
+    from postlake.session import exists, scratch_path, scratch_scope
     from postlake.sources import versions
 
     rnd, kind = random.Random(2), "k string, seq bigint, v int"
@@ -344,3 +344,18 @@ def test_look_up_reads_few_row_groups(spark, monkeypatch):
     assert D.lookup(table, there, "2024_Q1").count() == 1 and D.lookup(table, there).count() == 1 and D.lookup(table, absent).count() == 0
     assert 0 < n < 5_000 and "PartitionFilters: [isnotnull(shard_key" in plan and f"EqualTo(id,{there})" in plan
     assert read(D.lookup(table, there))[0] < 10_000 and read(D.lookup(table, absent))[0] == 0
+
+
+def test_scratch_of_a_scope_goes(spark):
+    """Folders made inside go at its end, also after an error; inner scopes and folders from before are apart."""
+    before = scratch_path(spark, "t-scope")
+    with scratch_scope(spark):
+        outer = scratch_path(spark, "t-scope")
+        spark.range(3).write.parquet(outer)
+        with pytest.raises(ValueError), scratch_scope(spark):
+            inner, never = scratch_path(spark, "t-scope"), scratch_path(spark, "t-scope")
+            spark.range(2).write.parquet(inner)
+            raise ValueError
+        assert exists(spark, outer) and not exists(spark, inner) and not exists(spark, never)
+        spark.read.parquet(outer).write.parquet(before)
+    assert not exists(spark, outer) and spark.read.parquet(before).count() == 3
