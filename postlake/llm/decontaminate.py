@@ -216,11 +216,18 @@ def rarities(docs: DataFrame, text: str, wanted: np.ndarray) -> dict[int, int]:
 
 
 def blocks(items: DataFrame, item_id: str, text: str, limit: int) -> list[DataFrame]:
-    """The items in blocks of about ``limit`` bytes."""
+    """The items in blocks of about ``limit`` bytes, and of one item at least.
+
+    Repeated rows count once, and rows are dealt by id *and* text, so the rows of one id, however many, spread over all
+    blocks; its hits meet again in ``_step``, which goes by the id.
+    """
     rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).alias("text")).filter("name is not null and text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > limit:
+        rows = rows.distinct()
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     n = max(1, -(-total // limit))
-    return [rows.filter(F.pmod(F.xxhash64("name"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
+    return [rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
 
 
 def decontaminate(

@@ -174,6 +174,23 @@ def test_blocks_of_items(spark, texts):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
 
 
+def test_an_id_with_many_items_is_spread(spark):
+    """One item_id holds a third of the rows, others come repeatedly: blocks stay small and the result is that of one block."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [("hot" if i % 3 == 0 else f"i{i}", text(i)) for i in range(120)] + [("same", text(500))] * 60 + [(None, text(1)), ("none", None)]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"before {text(i)} after {text(i + 3)} {text(500)}") for i in range(0, 100, 9)] + [(1000, None), (1001, "clean words")], "doc_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "item_ids", "contaminated"]
+    want = sorted(map(tuple, decontaminate.decontaminate(docs, items).select(columns).collect()))
+    limit = 4_000
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, items, block_bytes=limit).select(columns).collect())) == want
+    assert {"hot", "same"} <= set(want[0][3])
+    blocks = [b.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for b in decontaminate.blocks(items, "item_id", "text", limit)]
+    assert len(blocks) > 3 and max(blocks) <= 3 * limit
+    # the repeated item stands in one block, once
+    assert sum(b.filter("name = 'same'").count() for b in decontaminate.blocks(items, "item_id", "text", limit)) == 1
+
+
 def test_matches_in_pieces(monkeypatch):
     """How many possible matches are compared at once does not change what is found."""
     passage = [" ".join(f"w{i % 40}" for i in range(k, k + 30)) for k in (0, 7, 11)]
