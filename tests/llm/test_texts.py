@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import re
 import time
 
@@ -134,6 +135,10 @@ def test_each_class_is_found(spark):
 def test_pipeline_over_odd_rows(spark, tmp_path):
     """Nulls in every column, empty and repeated rows, a very long text, and no rows at all."""
     import corpus_pipeline as C
+    from postlake.session import shared_base
+
+    def scratch():
+        return set(os.listdir(f"{shared_base(spark)}/postlake")) if os.path.isdir(f"{shared_base(spark)}/postlake") else set()
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -148,7 +153,10 @@ def test_pipeline_over_odd_rows(spark, tmp_path):
         for t in ("labels", "benchmark"):
             part = spark.read.parquet(f"{sf}/{t}.parquet")
             (part.limit(0) if name == "none" else part).write.parquet(f"{base}/{t}.parquet")
+        had = scratch()
         rows = C.run(spark, base).collect()
+        # nothing stays but the result
+        assert [f.split("-")[:2] for f in scratch() - had] == [["pipeline", "bpe"]]
         ids = [r.doc_id for r in rows]
         assert len(rows) <= table.count() and (name == "none") == (not rows)
         if rows:
