@@ -16,8 +16,8 @@ CSV_OPTIONS = {
     "header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
-#: Rows of one JSON array at most; a reader parses an array as a whole.
-ARRAY_ROWS = 100_000
+#: Rows of one JSON array at most, and bytes of its rows; a reader parses an array as a whole.
+ARRAY_ROWS, ARRAY_BYTES = 100_000, 2 << 20
 
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
@@ -29,29 +29,29 @@ def write_json_lines(df: DataFrame, path: str, compression: str = "none") -> Non
     df.write.option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
-def write_json_array(df: DataFrame, path: str, pretty: bool = False, max_rows: int = ARRAY_ROWS) -> None:
-    """Each file is one JSON array of at most ``max_rows`` rows. A partition is streamed through with one row held back."""
+def write_json_array(df: DataFrame, path: str, pretty: bool = False, max_rows: int = ARRAY_ROWS, max_bytes: int = ARRAY_BYTES) -> None:
+    """Each file is one JSON array of at most ``max_rows`` rows and ``max_bytes`` bytes of rows; a longer row is an array of its own."""
     options = {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})}
-    rows = df.select(F.to_json(F.struct("*"), options).alias("value"))
+    text = F.to_json(F.struct("*"), options)
+    rows = df.select(text.alias("value")).withColumn("size", F.octet_length("value"))
+
+    def array(held: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"value": ["[\n" + ",\n".join(held) + "\n]" if held else "[]"]})
 
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = None, 0
+        held, n_bytes, written = [], 0, False
         for batch in batches:
-            ready = []
-            for line in batch["value"]:
-                if held is None:
-                    ready.append("[")
-                elif n == max_rows:
-                    ready += [held, "]", "["]
-                    n = 0
-                else:
-                    ready.append(held + ",")
-                held, n = line, n + 1
-            yield pd.DataFrame({"value": ready}, dtype=object)
-        yield pd.DataFrame({"value": ["[]"] if held is None else [held, "]"]})
-
-    # A full array is its rows and two brackets, so the writer starts a new file right behind it.
-    rows.mapInPandas(wrap, "value string").write.option("maxRecordsPerFile", max_rows + 2).text(path)
+            for line, size in zip(batch["value"], batch["size"], strict=True):
+                if held and (len(held) == max_rows or n_bytes + size > max_bytes):
+                    yield array(held)
+                    held, n_bytes, written = [], 0, True
+                held.append(line)
+                n_bytes += size
+        if held or not written:
+            yield array(held)
+
+    # An array is one record of the writer, and a file holds one record.
+    rows.mapInPandas(wrap, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:
