@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL_BASE: dict[str, str] = {}
 #: Open scratch scopes, the innermost last, with the paths given out in each.
@@ -109,19 +109,31 @@ def input_bytes(df: DataFrame) -> int | None:
     return None if any(x >= 1 << 60 for x in sizes.values()) else sum(sizes.values())
 
 
-#: Tables below this size are dealt out in pieces for heavy text work, so that at most this much is ever shuffled for it.
+#: Tables below this size are dealt out in small pieces for heavy text work.
 SPREAD_BYTES, PIECE_BYTES = 256 << 20, 1 << 20
+#: Larger ones are dealt out, in larger pieces, if one scan split of theirs holds more than this.
+SPLIT_BYTES, LARGE_PIECE_BYTES = 128 << 20, 8 << 20
 
 
 def spread_pieces(df: DataFrame) -> int | None:
-    """In how many pieces a small table is dealt out; None for all others, which their scan splits are enough for.
+    """In how many pieces a table is dealt out; None for a large one whose scan splits are fine enough.
 
-    A file of one row group has one scan split whatever its size. The answer depends on bytes alone, not on the cluster.
+    A row group is one scan split whatever its size, and a file may be one row group. The answer depends on the bytes and
+    on the rows of each split, which are counted without reading a column; not on the cluster.
     """
     size = input_bytes(df)
-    return None if size is None or size > SPREAD_BYTES else size // PIECE_BYTES + 1
+    if size is None:
+        return None
+    if size <= SPREAD_BYTES:
+        return size // PIECE_BYTES + 1
+    rows = df.groupBy(F.spark_partition_id().alias("split")).count()
+    largest, total = rows.agg(F.max("count"), F.sum("count")).first()
+    return size // LARGE_PIECE_BYTES + 1 if total and largest * size > SPLIT_BYTES * total else None
 
 
 def spread(df: DataFrame) -> DataFrame:
     pieces = spread_pieces(df)
-    return df if pieces is None else df.repartition(pieces)
+    if pieces is None:
+        return df
+    # Dealt out by row number: rows without a key would be sorted first, a whole row group in one task.
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(pieces, "_row").drop("_row")
