@@ -17,6 +17,7 @@ from postlake.functions.marks import label_from_compound, label_from_polarity
 from postlake.functions.text import Col, JAVA_SPACE, WHITE_SPACE, _col, clean_text, fold_ascii
 from postlake.operators import lexicon as L
 from postlake.operators.stored import KeyedTable
+from postlake.session import scratch_path
 
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -320,7 +321,12 @@ def score_with_table(df: DataFrame, words: DataFrame, key: str, text: str = "tex
 
     Only words found in the table leave the scan; they carry their true positions, so neighbours
     are compared by distance. All words of one text share a row's bound, hence the window is safe.
+    The table is written first, so that its size is known when the join is planned: a short one is broadcast, and
+    the texts are not dealt out by word, where each frequent word would fill one task.
     """
+    path = scratch_path(df.sparkSession, "words")
+    words.write.parquet(path)
+    words = df.sparkSession.read.parquet(path)
     safe = F.coalesce(F.col(text), F.lit(""))
     cased = df.select(key, tokens(safe).alias("_raw"), punctuation_emphasis(safe).alias("_emphasis"))
     per_text = cased.withColumns(
@@ -329,7 +335,9 @@ def score_with_table(df: DataFrame, words: DataFrame, key: str, text: str = "tex
             "_but": F.array_position(F.transform("_raw", fold_ascii), "but"),
         }
     )
-    exploded = per_text.select(key, "_shout", "_but", F.posexplode("_raw").alias("_i", "_token"))
+    # The outer form: for the plain one the optimizer tests the size of the array below any shuffle of the texts, so that
+    # they would be split once more where few tasks read them. Words that are null find no partner.
+    exploded = per_text.select(key, "_shout", "_but", F.posexplode_outer("_raw").alias("_i", "_token"))
     matched = exploded.join(words, fold_ascii("_token") == F.col("token"), "inner")
     by_text = Window.partitionBy(key).orderBy("_i")
     before = by_text.rowsBetween(-3, -1)

@@ -27,3 +27,20 @@ def test_a_table_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "SPLIT_BYTES", 600_000, raising=False)
     many = spark.read.parquet(str(tmp_path / "many"))
     assert session.spread(many) is many
+
+
+def test_a_derived_word_list_is_broadcast(spark):
+    from postlake.operators import scoring
+
+    words = spark.range(3000).groupBy((F.col("id") % 3).alias("n")).count().select(
+        F.concat(F.lit("w"), "n").alias("token"), F.lit(0.5).alias("valence"), F.lit(None).cast("double").alias("step"),
+        F.lit(None).cast("boolean").alias("negation"),
+    )
+    texts = spark.createDataFrame([("1", "w0 and w1"), ("2", None), ("3", "")], "id string, text string").repartition(2)
+    scored = scoring.score_with_table(texts, words, "id")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # Nothing is split below the shuffle of the texts.
+    optimized = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("split(" in line for line in optimized.partition("RepartitionByExpression")[2].splitlines()[1:2])
+    assert sorted((r["id"], r["label"]) for r in scored.collect()) == [("1", "positive"), ("2", "neutral"), ("3", "neutral")]
