@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.functions.text import Col, _col
 
 #: Smallest payload worth packing, in UTF-8 bytes, and the packing level.
 PACK_THRESHOLD, POST_PACK_THRESHOLD, LEVEL = 100, 200, 6
+#: Bytes of payload that are packed, or unpacked, at a time.
+PART_BYTES = 2 << 20
 
 _PACK: dict[str, Callable[[bytes], bytes]] = {
     "zlib": lambda raw: zlib.compress(raw, LEVEL),
@@ -47,48 +51,56 @@ def estimate(payload: Col, threshold: int = PACK_THRESHOLD) -> list[Column]:
     ]
 
 
+def _parts(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches with at most ``PART_BYTES`` of a column together, or one row: a batch is bounded by rows alone."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            held = int(ends[start - 1]) if start else 0
+            end = max(int(np.searchsorted(ends, held + PART_BYTES, "right")), start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def pack(df: DataFrame, key: str, payload: str, codec: str = "zlib", threshold: int = PACK_THRESHOLD) -> DataFrame:
-    """One packed row per input row, batch by batch inside each partition; nothing is shuffled."""
+    """One packed row per input row, part by part inside each partition; nothing is shuffled."""
     if codec not in _PACK:
         raise ValueError(f"unknown codec: {codec}")
     key_type = df.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, compressed boolean, codec string, original_size bigint, compressed_size bigint, body binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = _PACK[codec]
-        for batch in batches:
-            raw = [None if t is None else t.encode("utf-8") for t in batch[payload]]
+        for part in _parts(batches, payload):
+            raw = [None if t is None else t.encode("utf-8") for t in part.column(payload).to_pylist()]
             big = [r is not None and len(r) >= threshold for r in raw]
             body = [squeeze(r) if b else r for r, b in zip(raw, big)]
-            yield pd.DataFrame(
-                {
-                    key: batch[key],
-                    "compressed": big,
-                    "codec": [codec if b else "none" for b in big],
-                    "original_size": [0 if r is None else len(r) for r in raw],
-                    "compressed_size": [0 if b is None else len(b) for b in body],
-                    "body": body,
-                }
-            )
+            columns = {
+                key: part.column(key),
+                "compressed": pa.array(big, pa.bool_()),
+                "codec": pa.array([codec if b else "none" for b in big], pa.string()),
+                "original_size": pa.array([0 if r is None else len(r) for r in raw], pa.int64()),
+                "compressed_size": pa.array([0 if b is None else len(b) for b in body], pa.int64()),
+                "body": pa.array(body, pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return df.select(key, payload).mapInPandas(run, schema)
+    return df.select(key, payload).mapInArrow(run, schema)
 
 
 def unpack(packed: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     key_type = packed.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, "body"):
             texts = []
-            for body, codec in zip(batch["body"], batch["codec"]):
-                if body is None:
-                    texts.append(None)
-                    continue
-                opened = _UNPACK[codec](bytes(body)) if codec in _UNPACK else bytes(body)
-                texts.append(opened.decode("utf-8"))
-            yield pd.DataFrame({key: batch[key], payload: texts})
-
-    return packed.select(key, "codec", "body").mapInPandas(run, f"{key} {key_type}, {payload} string")
+            for body, codec in zip(part.column("body").to_pylist(), part.column("codec").to_pylist(), strict=True):
+                opened = _UNPACK[codec](body) if body is not None and codec in _UNPACK else body
+                texts.append(None if opened is None else opened.decode("utf-8"))
+            yield pa.RecordBatch.from_pydict({key: part.column(key), payload: pa.array(texts, pa.string())})
+
+    return packed.select(key, "codec", "body").mapInArrow(run, f"{key} {key_type}, {payload} string")
 
 
 def pack_stats(packed: DataFrame) -> DataFrame:

@@ -20,3 +20,16 @@ def test_json_arrays_are_bounded_by_bytes(spark, tmp_path):
         assert all(len(p.encode()) < E.ARRAY_BYTES + 1000 for p, f in zip(parts, found, strict=True) if len(f) > 1)
         back = I.read_json_array(spark, str(path), every.schema)
         assert back.exceptAll(every).count() == 0 and every.exceptAll(back).count() == 0
+
+
+def test_packing_holds_few_payloads_at_a_time():
+    import pyarrow as pa
+
+    from postlake.functions import packing as K
+
+    texts = ["x" * 300_000] * 40 + [None, "", "y" * (3 * K.PART_BYTES)] + ["é" * 1000] * 40
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "payload": texts})
+    parts = list(K._parts([batch.slice(0, 50), batch.slice(50)], "payload"))
+    assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(len(texts)))
+    sizes = [[len((t or "").encode()) for t in p.column("payload").to_pylist()] for p in parts]
+    assert all(sum(s) <= K.PART_BYTES or len(s) == 1 for s in sizes)
