@@ -14,6 +14,8 @@ an empty table gives an empty table; input columns that have the name of a new o
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from postlake.llm import words as W
 from postlake.llm.arrow import batch_of, flat, map_slices
-from postlake.llm.components import components, stored
+from postlake.llm.components import components, stored, stored_light
 
 SHINGLE = 5
 #: Jaccard threshold as a fraction.
@@ -194,21 +196,20 @@ def met(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that met on a chosen path and look alike there."""
     narrow = classes.select("key", "signature")
     rows = narrow.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RUNS - 1).cast("long"))))
-    out = None
+    small = []
     for level in range(DEPTH):
-        paths = stored(split(rows, level), "paths").distinct() if level else stored(split(rows, level), "paths")
-        sizes = stored(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("least")).filter("size > 1"), "path-sizes")
-        inside = paths.join(sizes, "path")
-        small = inside.filter(F.col("size") <= SMALL).select("path", "key").join(narrow, "key")
-        links = brute_force(small)
-        if level == DEPTH - 1:
-            links = links.unionByName(inside.filter(F.col("size") > SMALL).select(F.col("key").alias("a"), F.col("least").alias("b")))
-        out = links if out is None else out.unionByName(links)
-        if level < DEPTH - 1:
-            rows = stored(inside.filter(F.col("size") > SMALL).select("path", "key").join(narrow, "key"), "large-buckets")
-            if rows.isEmpty():
-                break
-    return out
+        # The paths of a class differ from each other, but for a chance of 2^-64; it would meet itself there.
+        paths = stored(split(rows, level), "paths")
+        sizes = stored_light(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("least")).filter("size > 1"), "path-sizes")
+        inside = stored_light(paths.join(sizes, "path"), "shared-paths")
+        small.append(inside.filter(F.col("size") <= SMALL).select("path", "key"))
+        large = inside.filter(F.col("size") > SMALL)
+        if level == DEPTH - 1 or large.isEmpty():
+            break
+        rows = stored_light(large.select("path", "key").join(narrow, "key"), "large-buckets")
+    # The small buckets of all levels are searched together.
+    links = brute_force(reduce(DataFrame.unionByName, small).join(narrow, "key"))
+    return links.unionByName(large.select(F.col("key").alias("a"), F.col("least").alias("b")))
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -294,19 +295,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     rows = stored(describe(docs, doc_id, text), "sets")
     least = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     equal = rows.groupBy("key").agg(F.min(least).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("signature").alias("signature"))
-    equal = stored(equal, "classes")
+    equal = stored_light(equal, "classes")
     groups = components(met(equal))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = groups.join(stored(sizes, "group-sizes"), "component").join(equal, groups["node"] == equal["key"])
+    wanted = groups.join(stored_light(sizes, "group-sizes"), "component").join(equal, groups["node"] == equal["key"])
     wanted = wanted.select("component", "size", "key", "n", "copies", F.col("first.id").alias("id"), F.col("first.row").alias("row"))
     found = stored(exact(stored(_sets(docs, doc_id, text, wanted), "group-sets")), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")))
     named = equal.select("key", "copies", "first").join(links, "key", "left").join(linked.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "first", F.coalesce("component", "key").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    named = stored(named, "named")
-    heads = stored(named.groupBy("component").agg(F.min("first").alias("head")), "heads")
-    named = stored(named.join(heads, "component").select("key", "head", "n_links"), "class-heads")
+    named = stored_light(named, "named")
+    heads = stored_light(named.groupBy("component").agg(F.min("first").alias("head")), "heads")
+    named = stored_light(named.join(heads, "component").select("key", "head", "n_links"), "class-heads")
     mine = rows.select("id", "row", "key").join(named, "key")
     return mine.select("id", "row", F.col("head.id").alias("class_id"), F.col("head").alias("first"), "n_links")
 
@@ -326,7 +327,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     gone = rows.filter(F.col("n_links") > 0).select(F.col("id").alias("_pl_id"), F.col("row").alias("_pl_digest"), (mine != F.col("first")).alias("_pl_gone")).distinct()
     keyed = docs.withColumn("_pl_row", F.xxhash64(text))
     on = keyed[doc_id].eqNullSafe(F.col("_pl_id")) & (F.col("_pl_row") == F.col("_pl_digest"))
-    marked = keyed.join(stored(gone, "later-copies"), on, "left")
+    marked = keyed.join(stored_light(gone, "later-copies"), on, "left")
     single = marked.filter(F.col("_pl_gone").isNull()).select(docs.columns)
     # Rows that are equal even in doc_id: one of them stays.
     heads = marked.filter(~F.col("_pl_gone")).dropDuplicates([doc_id, "_pl_row"]).select(docs.columns)

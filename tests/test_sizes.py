@@ -33,3 +33,27 @@ def test_packing_holds_few_payloads_at_a_time():
     assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(len(texts)))
     sizes = [[len((t or "").encode()) for t in p.column("payload").to_pylist()] for p in parts]
     assert all(sum(s) <= K.PART_BYTES or len(s) == 1 for s in sizes)
+
+
+def test_a_graph_of_few_links_takes_few_tasks(spark):
+    from postlake.llm.components import components
+
+    # A star, a path and a ring: with many shuffle partitions a small graph still costs the driver few task records.
+    pairs = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(200 + i, 200 + (i + 1) % 25) for i in range(25)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    tracker, before = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("few-links", "few links")
+        found = {r.node: r.component for r in components(links).collect()}
+        jobs = tracker.getJobIdsForGroup("few-links")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {n: 100 * (n // 100) for pair in pairs for n in pair}
+    stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks < 2500, tasks
