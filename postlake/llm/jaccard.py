@@ -196,20 +196,23 @@ def met(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that met on a chosen path and look alike there."""
     narrow = classes.select("key", "signature")
     rows = narrow.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RUNS - 1).cast("long"))))
-    small = []
+    small, left = [], None
     for level in range(DEPTH):
         # The paths of a class differ from each other, but for a chance of 2^-64; it would meet itself there.
         paths = stored(split(rows, level), "paths")
         sizes = stored_light(paths.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("least")).filter("size > 1"), "path-sizes")
+        if level == DEPTH - 1:
+            small.append(paths.join(sizes.filter(F.col("size") <= SMALL), "path").select("path", "key"))
+            left = paths.join(sizes.filter(F.col("size") > SMALL), "path").filter("key != least")
+            break
         inside = stored_light(paths.join(sizes, "path"), "shared-paths")
         small.append(inside.filter(F.col("size") <= SMALL).select("path", "key"))
-        large = inside.filter(F.col("size") > SMALL)
-        if level == DEPTH - 1 or large.isEmpty():
+        rows = stored_light(inside.filter(F.col("size") > SMALL).select("path", "key").join(narrow, "key"), "large-buckets")
+        if rows.isEmpty():
             break
-        rows = stored_light(large.select("path", "key").join(narrow, "key"), "large-buckets")
     # The small buckets of all levels are searched together.
     links = brute_force(reduce(DataFrame.unionByName, small).join(narrow, "key"))
-    return links.unionByName(large.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    return links if left is None else links.unionByName(left.select(F.col("key").alias("a"), F.col("least").alias("b")))
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
