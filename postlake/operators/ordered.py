@@ -28,6 +28,8 @@ from postlake.session import input_bytes
 
 #: Bytes of input for one slice, and the bytes of states that all slices together may broadcast.
 SLICE_BYTES, CARRY_BYTES = 64 << 20, 256 << 20
+#: A small table is cut into so many slices, or into slices of so many bytes, if the session asks for more.
+FEW_SLICES, PIECE_BYTES = 16, 1 << 20
 
 
 class Scan:
@@ -211,9 +213,15 @@ _SHIFT = 33  # bits of the row number below the slice in ``monotonically_increas
 
 
 def slices_for(df: DataFrame, state_bytes: int) -> int:
-    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most."""
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(max(usual, (input_bytes(df) or 0) // SLICE_BYTES + 1), CARRY_BYTES // state_bytes))
+    """One slice for so many bytes of input, the session's shuffle partitions at least, as many as may be broadcast at most.
+
+    Every slice is a Python task in each reading, whose fixed cost outweighs the work on few rows. So a table has no more of
+    them than pieces, whatever the session's partitions are; one that does not know its size has as many as those.
+    """
+    wanted, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    if size is not None:
+        wanted = max(min(wanted, max(FEW_SLICES, size // PIECE_BYTES + 1)), size // SLICE_BYTES + 1)
+    return max(1, min(wanted, CARRY_BYTES // state_bytes))
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: int) -> DataFrame:

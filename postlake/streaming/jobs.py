@@ -13,7 +13,7 @@ from postlake.operators.scoring import score
 from postlake.operators.store import keep_last, row_digest
 from postlake.operators.stored import KeyedTable
 from postlake.sources.export import CSV_OPTIONS
-from postlake.session import scratch_path
+from postlake.session import remove, scratch_path
 from postlake.streaming.sinks import batch_writer, collect_stream, run_batches, with_batch
 
 
@@ -87,8 +87,13 @@ def two_buckets(
     stream: DataFrame, own_keys: Sequence[str], app_keys: Sequence[str], ts_us: str, order_id: str,
     own_limits, app_limits, interval_s: float = 1.0, names: tuple[str, str] = ("endpoint", "app"),
 ) -> DataFrame:
-    """Two buckets for every request, both charged even if one denies, decided together in its micro-batch."""
-    columns, path = [*dict.fromkeys([*own_keys, *app_keys, order_id, ts_us])], scratch_path(stream.sparkSession, "decided-twice")
+    """Two buckets for every request, both charged even if one denies, decided together in its micro-batch.
+
+    What the first bucket decides is written before the second one reads it: dealing rows out by range reads them twice,
+    and would decide them twice.
+    """
+    spark, columns = stream.sparkSession, [*dict.fromkeys([*own_keys, *app_keys, order_id, ts_us])]
+    path, once = scratch_path(spark, "decided-twice"), scratch_path(spark, "decided-once")
     kept = [_Buckets(stream, k, f"{n}-buckets") for k, n in zip((own_keys, app_keys), names, strict=True)]
     limits = _limit(own_limits, own_keys[-1]), _limit(app_limits, app_keys[-1])
     added = [StructField(f"{n}_{c}", t) for n in names for c, t in (("allowed", IntegerType()), ("tokens", DoubleType()), ("last", LongType()))]
@@ -96,16 +101,18 @@ def two_buckets(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = batch.select(*columns)
-        for n, keys, bucket, limit in zip(names, (own_keys, app_keys), kept, limits, strict=True):
-            done = replay(done, keys, ts_us, order_id, *limit, interval_s, kept=bucket.of(batch, batch_id)).drop("delay_s")
+        for n, keys, bucket, limit, to in zip(names, (own_keys, app_keys), kept, limits, (once, path), strict=True):
+            done = replay(done, keys, ts_us, order_id, *limit, interval_s, kept=bucket.of(done, batch_id)).drop("delay_s")
             done = done.withColumnsRenamed({"allowed": f"{n}_allowed", "tokens_left": f"{n}_tokens", "last_refill": f"{n}_last"})
-        batch_writer(path)(done.select(*schema.fieldNames()), batch_id)
-        written = batch.sparkSession.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
+            fields = [f for f in schema if f.name in done.columns]
+            batch_writer(to)(done.select(*[f.name for f in fields]), batch_id)
+            done = batch.sparkSession.read.schema(StructType(fields)).parquet(f"{to}/batch_id={batch_id}")
         for n, bucket in zip(names, kept, strict=True):
-            bucket.keep(written, f"{n}_tokens", f"{n}_last", ts_us, order_id, batch_id)
+            bucket.keep(done, f"{n}_tokens", f"{n}_last", ts_us, order_id, batch_id)
+        remove(spark, f"{once}/batch_id={batch_id}")
 
     run_batches(stream, write)
-    out = stream.sparkSession.read.schema(with_batch(schema)).parquet(path)
+    out = spark.read.schema(with_batch(schema)).parquet(path)
     both = F.col(f"{names[0]}_allowed") * F.col(f"{names[1]}_allowed")
     return out.select(*columns, *[f"{n}_allowed" for n in names], both.alias("allowed"), "batch_id")
 

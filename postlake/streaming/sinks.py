@@ -10,8 +10,10 @@ from pyspark.sql.types import LongType, StructType
 
 from postlake.session import input_bytes, is_directory, scratch_path
 
-#: Bytes of input for one file of ``write_arrivals``.
-ARRIVAL_BYTES = 128 << 20
+#: Bytes of input for one file of ``write_arrivals``; for one of the first files of each part.
+ARRIVAL_BYTES, SMALL_ARRIVAL_BYTES = 128 << 20, 8 << 20
+#: How many files of a part may be that small. A file is one scan split, so a micro-batch is read by as many tasks.
+SMALL_ARRIVALS = 32
 
 
 def stream_files(
@@ -35,10 +37,11 @@ def write_arrivals(df: DataFrame, by: str | Column, path: str, parts: int = 4) -
 
     One job writes the ranges of ``by`` at the same time; their files then get modification times in that order, a
     millisecond apart, as a stream goes by those. Rows of one value of ``by`` share a file, and nulls come first. Small
-    tables have ``parts`` files, larger ones as many as their bytes ask for; an empty one has a file without rows.
+    tables have ``parts`` files, larger ones a multiple of it, as their bytes ask for; an empty one has a file without rows.
     """
-    spark = df.sparkSession
-    wanted = max(parts, (input_bytes(df) or 0) // ARRIVAL_BYTES + 1)
+    spark, size = df.sparkSession, input_bytes(df) or 0
+    each = max(min(size // SMALL_ARRIVAL_BYTES // parts + 1, SMALL_ARRIVALS), size // ARRIVAL_BYTES // parts + 1)
+    wanted = parts * each
     df.repartitionByRange(wanted, by).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,7 +50,8 @@ def write_arrivals(df: DataFrame, by: str | Column, path: str, parts: int = 4) -
     first = int(time.time() * 1000) - len(files)
     for number, file in enumerate(files):
         fs.setTimes(file, first + number, -1)
-    return max(1, -(-len(files) // parts))
+    # Rounded down: ranges without rows have no file, and fewer batches than parts would be too few.
+    return max(1, len(files) // parts)
 
 
 def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
