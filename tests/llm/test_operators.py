@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.llm import bpe, decontaminate, html, jaccard, neighbours, pii, secrets, suffix
+from postlake.llm.arrow import slices
 from postlake.llm.queries import ORACLES, PII_KEY, QUERIES, tokenizer_path
 
 SF = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
@@ -80,6 +81,33 @@ def test_partly_equal_phrases(spark):
     assert got == repeated_spans({d: t.encode() for d, t in rows})
 
 
+def test_few_rows_between_the_steps(spark, texts):
+    """A task sends a row per bucket or group of buckets, not one for each of its slices."""
+    some = " ".join(t for t in texts.values() if t)[:200_000]
+    docs = spark.createDataFrame([(i, f"{i} {some}") for i in range(50)], "_id long, _text string").coalesce(1)
+    buckets = 600
+    assert 0 < suffix._triggers(docs, buckets).count() <= buckets / 4
+
+
+@pytest.mark.parametrize("pack_bytes", [1 << 14, 1 << 17])
+def test_suffix_dedup_in_packs_and_groups(spark, monkeypatch, pack_bytes):
+    """Many small slices, packs and buckets, four buckets a row; rows without an id and of one id in between."""
+    for name, value in (("BUCKET_BYTES", 200), ("PACK_BYTES", pack_bytes), ("PARSE_BYTES", 2_000), ("BLOCK", 8)):
+        monkeypatch.setattr(suffix, name, value)
+    monkeypatch.setattr(suffix, "slices", lambda batch, column, limit=8_000: slices(batch, column, limit))
+    words = [f"w{i * i % 7919}" for i in range(4_000)]
+    rows = [(1_000 - i, " ".join(words[i * 53 % 3_000:][:20 + i % 60]) + f" end{i % 7}") for i in range(400)]
+    assert suffix._together(sum(len(t) for _, t in rows) // 200) == 4
+    odd = [(None, rows[3][1]), (None, None), (5_000, None), (5_001, ""), (5_002, words[0])]
+    twice = [(6_000, "only in rows of one id, " * 4), (6_000, "only in rows of one id, " * 4)]
+    docs = spark.createDataFrame([*rows[:200], *odd, *twice, *rows[200:]], "doc_id long, text string").coalesce(3)
+    got = suffix.dedup(docs).collect()
+    want = repeated_spans({d: (t or "").encode() for d, t in [*rows, *odd[2:]]})
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id in want} == want
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got if r.doc_id not in want) == [
+        (0, 0, 0), (0, len(rows[3][1].encode()), 0), (6_000, 96, 0), (6_000, 96, 0)]
+
+
 def links(texts: dict[int, str | None]) -> dict[int, tuple[int, int]]:
     sets = {d: frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else []) for d, w in ((d, words(t)) for d, t in texts.items())}
     near = {d: [e for e in sets if e != d and sets[d] and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])] for d in sets}
